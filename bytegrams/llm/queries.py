@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrams.llm import bpe, chat, decontaminate, secrets, urls
+from bytegrams.llm import bpe, chat, decontaminate, pii, secrets, urls
 from bytegrams.llm.common import sha256_hex, table
 
 
@@ -31,6 +31,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha256_hex(said).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), sha256_hex(F.col("loss_text")).alias("loss_sha256"), "formatted_chars")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    place = F.create_map(*[F.lit(x) for kv in enumerate(pii.KINDS) for x in reversed(kv)])
+    every = F.array_sort(F.transform(F.concat("spans", "added"), lambda s: F.struct(place[s["kind"]].alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return found.select("doc_id", *[count_of(k) for k in pii.KINDS], sha256_hex(secrets.spans_text(F.col("spans"))).alias("base_sha256"), secrets.spans_text(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
@@ -51,6 +58,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
+    "op3_pii": op3_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
     "op9_secret_scan": op9_secret_scan,
