@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrams.llm import bpe, chat, decontaminate, pii, secrets, urls
+from bytegrams.llm import bpe, chat, decontaminate, pii, secrets, toxicity, urls
 from bytegrams.llm.common import sha256_hex, table
 
 
@@ -38,6 +38,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count_of(k) for k in pii.KINDS], sha256_hex(secrets.spans_text(F.col("spans"))).alias("base_sha256"), secrets.spans_text(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
     "op3_pii": op3_pii,
+    "op4_toxicity": op4_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
     "op9_secret_scan": op9_secret_scan,
