@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrams.llm import bpe, chat, decontaminate, pii, secrets, toxicity, urls
+from bytegrams.llm import bpe, chat, decontaminate, order_minhash, pii, secrets, toxicity, urls
 from bytegrams.llm.common import sha256_hex, table
 
 
@@ -53,6 +53,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_minhash.edit_test(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", sha256_hex(F.col("edited")).alias("edited_sha256"),
+        F.array_join("fingerprint", "").alias("fingerprint"), F.array_join("edited_fingerprint", "").alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        order_minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
@@ -66,6 +76,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
+    "op8_order_minhash": op8_order_minhash,
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE, "op9_secret_scan": secrets.ORACLE}
