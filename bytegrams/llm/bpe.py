@@ -27,8 +27,6 @@ from pyspark.sql import DataFrame
 
 from bytegrams.llm.common import texts
 
-#: ASCII white space splits texts into chunks; other white space is left to the word pattern.
-CHUNK = regex.compile(r"[^\x09-\x0D\x20]+")
 SPACE = regex.compile(r"[\x09-\x0D\x20\x85\p{Z}]+")
 #: As in the file: contractions, runs of letters, single digits, runs of other signs. \s is spelled out.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0D\x20\x85\p{Z}\p{L}\p{N}]+")
@@ -60,7 +58,7 @@ class Bpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.most = most
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
@@ -100,13 +98,14 @@ class Bpe:
             symbols, word = symbols[keep], word[keep]
         return done
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks that aren't known yet."""
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks (UTF-8) that aren't known yet."""
         pieces: list[list] = []  # for each chunk its words and special ids
         index: dict[bytes, int] = {}
         for chunk in chunks:
             own: list = []
-            for part in self.split_special.split(chunk) if self.split_special else [chunk]:
+            text = chunk.decode()
+            for part in self.split_special.split(text) if self.split_special else [text]:
                 if part in self.special:
                     own.append(np.array([self.special[part]], np.int32))
                 elif part:
@@ -119,21 +118,30 @@ class Bpe:
             ids = [x if isinstance(x, np.ndarray) else coded[x] for x in own]
             self.known[chunk] = np.concatenate(ids).astype("<u4").tobytes() if ids else b""
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        """Each text's (UTF-8) ids as little-endian unsigned 32-bit integers.
+
+        bytes.split() splits at ASCII white space and nowhere else.
+        """
         if len(self.known) > self.most:
             self.known.clear()
-        new: dict[str, None] = {}
-        for text in batch:
-            new.update(dict.fromkeys(c for c in set(CHUNK.findall(text)) if c not in self.known))
-        self.learn(list(new))
-        known = self.known
-        return [b"".join([known[c] for c in CHUNK.findall(text)]) for text in batch]
+        known, out, late = self.known, [], []
+        for k, text in enumerate(batch):
+            chunks = text.split()
+            try:
+                out.append(b"".join([known[c] for c in chunks]))
+            except KeyError:
+                out.append(b"")
+                late.append((k, chunks))
+        if late:
+            self.learn(list({c: None for _, chunks in late for c in set(chunks) if c not in known}))
+            for k, chunks in late:
+                out[k] = b"".join([known[c] for c in chunks])
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings with blanks between: the file has no decoder."""
-        names = self.names
-        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -142,13 +150,15 @@ def load(path: str) -> Bpe:
         return Bpe(json.load(f))
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes in its column 1, a row at least."""
-    sizes = np.cumsum([len(x or b"") for x in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros(0)
+def _slices(column: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """Parts of a column of about so many bytes, a value at least: where each begins, and its values as bytes."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset + 1 : column.offset + len(column) + 1]
     start = 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + chars, "right")))
-        yield batch.slice(start, stop - start)
+    while start < len(column):
+        begin = ends[start - 1] if start else np.frombuffer(column.buffers()[1], np.int64)[column.offset]
+        stop = max(start + 1, int(np.searchsorted(ends, begin + size, "right")))
+        yield start, [x or b"" for x in column.slice(start, stop - start).to_pylist()]
         start = stop
 
 
@@ -163,10 +173,10 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary if vocabulary.startswith("/") else SparkFiles.get(vocabulary))
-        for whole in batches:
-            for batch in _slices(whole):
-                ids = bpe.encode(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for batch in batches:
+            for start, part in _slices(batch.column(1)):
+                ids = bpe.encode(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return texts(docs).mapInArrow(coded, "doc_id long, n_tokens long, ids binary")
 
@@ -176,9 +186,9 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary if vocabulary.startswith("/") else SparkFiles.get(vocabulary))
-        for whole in batches:
-            for batch in _slices(whole.select(["doc_id", "ids", "n_tokens"])):
-                decoded = pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), decoded], ["doc_id", "n_tokens", "ids", "decoded"])
+        for batch in batches:
+            for start, part in _slices(batch.column("ids")):
+                own = batch.slice(start, len(part))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(map(bpe.decode, part), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(read, "doc_id long, n_tokens long, ids binary, decoded string")

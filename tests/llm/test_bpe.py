@@ -20,7 +20,7 @@ def library():
 
 def agree(library, batch):
     own = bpe.load(PATH)
-    for text, ids in zip(batch, own.encode(batch), strict=True):
+    for text, ids in zip(batch, own.encode([t.encode() for t in batch]), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False), text
