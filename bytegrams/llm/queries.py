@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrams.llm import bpe, chat, decontaminate, order_minhash, pii, secrets, toxicity, urls
+from bytegrams.llm import bpe, chat, decontaminate, order_minhash, pii, secrets, substrings, toxicity, urls
 from bytegrams.llm.common import sha256_hex, table
 
 
@@ -42,6 +42,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
@@ -74,9 +78,10 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
     "op8_order_minhash": op8_order_minhash,
     "op9_secret_scan": op9_secret_scan,
 }
-ORACLES = {"op6_decontaminate": decontaminate.ORACLE, "op9_secret_scan": secrets.ORACLE}
+ORACLES = {"op5_substring_dedup": substrings.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_secret_scan": secrets.ORACLE}
