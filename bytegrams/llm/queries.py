@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrams.llm import bpe, chat, decontaminate, order_minhash, pii, secrets, substrings, toxicity, urls
+from bytegrams.llm import bpe, chat, decontaminate, jaccard, order_minhash, pii, secrets, substrings, toxicity, urls
 from bytegrams.llm.common import sha256_hex, table
 
 
@@ -73,6 +73,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count_of(k) for k in secrets.BASE], sha256_hex(secrets.spans_text(base)).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -83,5 +87,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_order_minhash": op8_order_minhash,
     "op9_secret_scan": op9_secret_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES = {"op5_substring_dedup": substrings.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_secret_scan": secrets.ORACLE}
+ORACLES = {"op10_jaccard_join": jaccard.ORACLE, "op5_substring_dedup": substrings.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_secret_scan": secrets.ORACLE}
