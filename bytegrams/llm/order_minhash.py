@@ -13,6 +13,8 @@ k-mer becomes a row, and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,14 +95,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(some == 0, F.lit(1.0)).otherwise(same / some)
 
 
-def with_next(docs: DataFrame, text: str = "text", ranges: int = 0) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int = 0, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """docs (doc_id, text) with next_text: that of the next row by descending (doc_id, text), of the first for the last.
 
     The rows are dealt into ranges of doc_id by quantiles (as many numbers as
     ranges reach the driver). In a range, a window looks one row ahead; a copy
     of the next range's first row stands at its end. So texts are shuffled
     once, and no task sees more than a range. Null ids come last; rows of one
-    id are not split.
+    id are not split. Columns that ``prepare`` adds to the rows before that
+    come along, the next row's as next_COLUMN.
     """
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn("__o", F.coalesce("doc_id", F.lit(-(2**63))))
@@ -113,9 +116,11 @@ def with_next(docs: DataFrame, text: str = "text", ranges: int = 0) -> DataFrame
     # the text of a range's first row; of several rows of its id, the last text in order
     first = docs.join(F.broadcast(ghosts), F.col("__o") == F.col("__top")).groupBy("__for").agg(F.max("text").alias("text"))
     ends = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(-(2**63)).alias("__o"), F.col("__for").alias("__range"), F.lit(True).alias("__ghost"))
-    rows = dealt.withColumn("__ghost", F.lit(False)).unionByName(ends)
+    rows = prepare(dealt.withColumn("__ghost", F.lit(False)).unionByName(ends))
     window = Window.partitionBy("__range").orderBy("__ghost", F.desc("__o"), F.desc("text"))
-    return rows.withColumn("next_text", F.lead("text").over(window)).filter(~F.col("__ghost")).select("doc_id", "text", "next_text")
+    added = [c for c in rows.columns if c not in ("doc_id", "__o", "__range", "__ghost")]
+    ahead = rows.withColumn("__next", F.lead(F.struct(*added)).over(window)).filter(~F.col("__ghost"))
+    return ahead.select("doc_id", *added, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in added])
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 2, sketches: int = 64) -> DataFrame:
@@ -133,7 +138,6 @@ def edit_test(docs: DataFrame, k: int = 2, sketches: int = 64) -> DataFrame:
     """
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = with_next(texts(docs)).select("doc_id", "text", "next_text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
-    for text, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
-        rows = fingerprints(rows, text, out, k, sketches)
-    return rows.drop("text", "next_text")
+    marked = with_next(texts(docs), prepare=lambda rows: fingerprints(rows, "text", "fingerprint", k, sketches))
+    rows = marked.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    return fingerprints(rows, "edited", "edited_fingerprint", k, sketches)
