@@ -43,7 +43,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + (1 << 18)
             self.up, self.down = (np.cumprod(np.r_[U64(1), np.full(size - 1, b, U64)]) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
@@ -95,7 +95,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(buffer, hashes, start, end, np.searchsorted(start, offsets))
 
 
-def parts(batch: pa.RecordBatch, text: str, size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text: str, size: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about so many bytes of text, a row at least."""
     column = batch.column(text).cast(pa.large_binary())
     if not len(column):

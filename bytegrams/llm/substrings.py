@@ -33,103 +33,121 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _shared(keys: list[np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Groups of equal keys: order (by key, then owner), for each row in that order its group's first row, and the least owner."""
+#: Anchors and windows of so many rows of a batch are settled together.
+TOGETHER = 500_000
+
+
+def groups(keys: list[np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of keys, then owner: that order, whether a row is its group's first, and the group's number."""
     order = np.lexsort((owner, *keys))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order, first, owner[order][first] if len(order) else owner
+    first = np.ones(len(order), bool)
+    first[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, first, np.cumsum(first) - 1
+
+
+def gathered(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """Arrays of several parts as one, about TOGETHER rows at a time."""
+    held, rows = [], 0
+    for arrays in found:
+        held.append(arrays)
+        rows += len(arrays[0])
+        if rows >= TOGETHER:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (row, doc_id, text) -> (hash, row, at, known): anchors of documents that have a window. known: a batch has
-    seen it in two documents; such rows have a hash of their own but for one."""
+    """docs (content, text) -> (hash, content, place): anchors of texts that have a window, copies of a batch once.
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place is the word that an anchor begins at, or -1 minus that where the
+    batch has seen the anchor in another text: such rows have a hash of their
+    own, but for one of each group.
+    """
+
+    def of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            hashes, rows, places = [], [], []
             for part in kn.parts(batch, "text"):
+                content = part.column("content").to_numpy()
+                own = np.zeros(len(content), bool)
+                own[np.unique(content, return_index=True)[1]] = True
                 w = kn.words(part.column("text"))
-                counts = np.where(w.counts >= window, w.counts - anchor + 1, 0)
+                counts = np.where(own & (w.counts >= window), w.counts - anchor + 1, 0)
                 at = kn.spread(counts)
                 keep = IN_COVER[at % PERIOD]
-                doc = np.repeat(np.arange(len(counts)), counts)[keep]
-                at = at[keep]
+                doc, at = np.repeat(np.arange(len(counts)), counts)[keep], at[keep]
                 begin = w.first[doc] + at
-                hashes.append(kn.window_hashes(w.hash, begin, begin + anchor))
-                rows.append(part.column("row").to_numpy()[doc])
-                places.append(at)
-            if not hashes:
-                continue
-            h, row, at = np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
-            order, first, least = _shared([h], row)
-            h, row, at = h[order], row[order], at[order]
-            last = np.r_[np.diff(first) > 0, True][: len(h)]
-            many = np.zeros(len(h), bool)
-            many[first[last]] = row[first[last]] != row[np.flatnonzero(last)]
-            known = many[first]
-            head = first == np.arange(len(h))
-            # known rows go on under keys of their own, but for the first of each group
-            key = np.where(known & ~head, kn.mix(h + (np.arange(len(h)) - first).astype(kn.U64) * kn.U64(0x9E3779B97F4A7C15) + row.astype(kn.U64)), h)
-            yield pa.RecordBatch.from_arrays([kn.signed(key), pa.array(row), pa.array(at.astype(np.int32)), pa.array(known)], ["hash", "row", "at", "known"])
-
-    return docs.select("row", "text").mapInArrow(found, "hash long, row long, at int, known boolean")
-
-
-def windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (row, doc_id, text, anchors array<int>) -> (a, b, doc_id, row, at, size, known): windows around anchors.
-
-    Unknown rows are single windows under their hash. Known ones, which a
-    smaller doc_id of the batch has too, are runs of ``size`` windows under a key of their own.
-    """
+                yield kn.window_hashes(w.hash, begin, begin + anchor), content[doc], at.astype(np.int32)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, content, at in gathered(of_parts(batches)):
+            order, first, number = groups([h], content)
+            h, content, at = h[order], content[order], at[order]
+            begin = np.flatnonzero(first)
+            end = np.r_[begin[1:], len(h)] - 1
+            known = (content[begin] != content[end])[number]
+            own = kn.mix(h + kn.mix(content.view(np.uint64) + at.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([kn.signed(np.where(known & ~first, own, h)), pa.array(content), pa.array(np.where(known, -1 - at, at))], ["hash", "content", "place"])
+
+    return docs.select("content", "text").mapInArrow(found, "hash long, content long, place int")
+
+
+def windows(docs: DataFrame, window: int) -> DataFrame:
+    """docs (content, doc_id, text, anchors array<int>) -> (a, b, content, doc_id, place): windows around anchors.
+
+    place is the word that a window begins at. Windows that a smaller doc_id
+    of the batch has too are runs: place also has their number above 2 ** 32, and the key is their own.
+    """
+
+    def of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            out = []
             for part in kn.parts(batch, "text"):
                 w = kn.words(part.column("text"))
                 lists = part.column("anchors")
                 sizes = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().to_numpy()
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                # mark window starts from anchor - (window - anchor) to anchor, within the document
-                begin = w.first[doc] + np.maximum(flat - (window - anchor), 0)
+                # a window around an anchor begins at most PERIOD - 1 words before it
+                begin = w.first[doc] + np.maximum(flat - (PERIOD - 1), 0)
                 stop = w.first[doc] + np.minimum(flat, w.counts[doc] - window) + 1
-                marks = np.zeros(len(w.hash) + 1, np.int64)
+                marks = np.zeros(len(w.hash) + 1, np.int32)
                 np.add.at(marks, begin, 1)
                 np.add.at(marks, stop, -1)
                 start = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
                 of = np.searchsorted(w.first, start, "right") - 1
-                out.append((kn.window_hashes(w.hash, start, start + window), kn.window_hashes(w.hash, start, start + window, 1), part.column("doc_id").to_numpy()[of], part.column("row").to_numpy()[of], start - w.first[of]))
-            if not out:
-                continue
-            a, b, doc_id, row, at = map(np.concatenate, zip(*out, strict=True))
-            order, first, least = _shared([a, b], doc_id)
+                yield kn.window_hashes(w.hash, start, start + window), (kn.window_hashes(w.hash, start, start + window, 1) >> np.uint64(32)).astype(np.int32), part.column("content").to_numpy()[of], part.column("doc_id").to_numpy()[of], (start - w.first[of])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, content, doc_id, at in gathered(of_parts(batches)):
+            order, first, number = groups([a, b], doc_id)
             known = np.zeros(len(a), bool)
-            known[order] = least < doc_id[order]
-            free = ~known
+            known[order] = doc_id[order] > doc_id[order][first][number]
             k = np.flatnonzero(known)  # in the order of documents and places
-            new = np.r_[True, (np.diff(row[k]) != 0) | (np.diff(at[k]) != 1)][: len(k)]
+            new = np.ones(len(k), bool)
+            new[1:] = (content[k][1:] != content[k][:-1]) | (np.diff(at[k]) != 1)
             runs = k[new]
             size = np.diff(np.r_[np.flatnonzero(new), len(k)])
-            own = kn.mix(row[runs].astype(kn.U64) + at[runs].astype(kn.U64))
+            own = kn.mix(content[runs].view(np.uint64) + kn.mix(at[runs].astype(np.uint64) + np.uint64(1 << 40)))
+            rows = np.r_[np.flatnonzero(~known), runs]
+            free = len(rows) - len(runs)
             yield pa.RecordBatch.from_arrays([
-                kn.signed(np.r_[a[free], own]), kn.signed(np.r_[b[free], own]), pa.array(np.r_[doc_id[free], doc_id[runs]]), pa.array(np.r_[row[free], row[runs]]),
-                pa.array(np.r_[at[free], at[runs]].astype(np.int32)), pa.array(np.r_[np.ones(free.sum(), np.int32), size.astype(np.int32)]), pa.array(np.r_[np.zeros(free.sum(), bool), np.ones(len(runs), bool)]),
-            ], ["a", "b", "doc_id", "row", "at", "size", "known"])
+                kn.signed(np.r_[a[rows[:free]], own]), pa.array(b[rows]), pa.array(content[rows]), pa.array(doc_id[rows]), pa.array(at[rows] + (np.r_[np.zeros(free, np.int64), size] << 32)),
+            ], ["a", "b", "content", "doc_id", "place"])
 
-    return docs.select("row", "doc_id", "text", "anchors").mapInArrow(found, "a long, b long, doc_id long, row long, at int, size int, known boolean")
+    return docs.select("content", "doc_id", "text", "anchors").mapInArrow(found, "a long, b int, content long, doc_id long, place long")
 
 
-def removals(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (row, doc_id, text) -> (row, runs array<struct<at,size>>): runs of windows that a smaller doc_id has too."""
+def removals(docs: DataFrame, firsts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """docs (content, doc_id, text), firsts (content, first_id) -> (content, doc_id, runs array<long>): windows that a
+    smaller doc_id has too, in the first document of each content. A run is (number of windows) * 2 ** 32 + place."""
     by_hash = Window.partitionBy("hash")
-    seen = anchors(docs, window, anchor).withColumn("two", F.min("row").over(by_hash) != F.max("row").over(by_hash))
-    flagged = seen.filter("known OR two").groupBy("row").agg(F.collect_list("at").alias("anchors"))
-    around = windows(docs.join(flagged, "row"), window, anchor).withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
-    return around.filter("known OR least < doc_id").groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
+    seen = anchors(docs, window, anchor).withColumn("least", F.min("content").over(by_hash)).withColumn("most", F.max("content").over(by_hash))
+    flagged = seen.filter("place < 0 OR least <> most").groupBy("content").agg(F.collect_list(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))).alias("anchors"))
+    first = docs.join(flagged.join(firsts, "content"), "content").filter("doc_id = first_id")
+    around = windows(first, window).withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
+    gone = around.filter(f"place >= {1 << 32} OR least < doc_id")
+    return gone.groupBy("content", "doc_id").agg(F.collect_list(F.when(F.col("place") >= 1 << 32, F.col("place")).otherwise(F.col("place") + (1 << 32))).alias("runs"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -139,30 +157,35 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     document of smaller doc_id. Null and empty texts have no words. Rows of
     one id don't remove each other's words; a null id is larger than all
     others. No rows: no rows. Further columns are ignored.
+
+    Texts go by a hash of their content, so copies share all work up to the
+    last step: a copy that isn't the first loses all words if it has a window.
     """
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"a window has {PERIOD} words at least")
-    rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    alone = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    # the id names a row if no other has it, else id and text do: equal rows are treated alike
-    rows = rows.select((F.col("doc_id") if alone else F.xxhash64("doc_id", "text")).alias("row"), "doc_id", "text")
-    gone = removals(rows, window, anchor)
+    rows = texts(docs).select(F.xxhash64("text").alias("content"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
+    firsts = rows.groupBy("content").agg(F.min("doc_id").alias("first_id"))
+    gone = removals(rows, firsts, window, anchor).select("content", "runs")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kn.parts(batch, "text", 8_000_000):
+            for part in kn.parts(batch, "text"):
                 w = kn.words(part.column("text"))
+                copy = part.column("copy").to_numpy(zero_copy_only=False) & (w.counts >= window)
                 lists = part.column("runs")
                 sizes = np.diff(lists.offsets.to_numpy())
-                runs = lists.flatten()
+                runs = lists.flatten().to_numpy()
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                begin = w.first[doc] + runs.field("at").to_numpy()
-                marks = np.zeros(len(w.hash) + 1, np.int64)
+                begin = w.first[doc] + (runs & 0xFFFFFFFF)
+                marks = np.zeros(len(w.hash) + 1, np.int32)
                 np.add.at(marks, begin, 1)
-                np.add.at(marks, begin + runs.field("size").to_numpy() + window - 1, -1)
+                np.add.at(marks, begin + (runs >> 32) + window - 1, -1)
+                np.add.at(marks, w.first[:-1][copy], 1)
+                np.add.at(marks, w.first[1:][copy], -1)
                 stays = np.cumsum(marks)[:-1] == 0
-                n_kept = np.add.reduceat(np.r_[stays, False].astype(np.int64), w.first[:-1]) * (w.counts > 0)
+                total = np.r_[0, np.cumsum(stays)]
+                n_kept = total[w.first[1:]] - total[w.first[:-1]]
                 buffer = w.buffer.tobytes()
                 out = []
                 for d in range(len(sizes)):
@@ -174,7 +197,8 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                         out.append(b" ".join([buffer[s:e] for s, e in zip(w.start[k].tolist(), w.end[k].tolist(), strict=True)]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array((w.counts - n_kept).astype(np.int64)), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    marked = rows.join(gone, "row", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<at:int,size:int>>")).alias("runs"))
+    marked = rows.join(firsts.join(gone, "content", "left"), "content")
+    marked = marked.select("doc_id", "text", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
     done = marked.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
 
