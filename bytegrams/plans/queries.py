@@ -196,7 +196,7 @@ def lz_features(spark, sf_dir):
 
 
 def approx_topk(spark, sf_dir):
-    return sketch.approx_top_grams(turns(spark, sf_dir), N, K, 2000)
+    return sketch.approx_top_grams(turns(spark, sf_dir), N, K, 100_000)
 
 
 NAMES = (
