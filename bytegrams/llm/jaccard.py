@@ -35,6 +35,8 @@ from bytegrams.llm.components import components
 GROUPS = 64
 #: Counts from here on mean "any number".
 FULL = np.iinfo(np.uint16).max
+#: A node's fine point has about a group for each four shingles, a byte each, in powers of two between these.
+FINE, FINE_FULL = (64, 1 << 16), 255
 #: Ids that may be broadcast: 8 bytes each, a few times that as a hash table.
 MOST_IDS = 500_000
 #: Nodes of a block that are compared in one piece.
@@ -70,8 +72,25 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return size, kn.mix(_sums(kn.mix(h), doc, n) + size.astype(np.uint64))
 
 
+def fine_points(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Counts by the first bits of the hash; a point folds into one of fewer groups by adding neighbours."""
+    bits = np.clip(np.frexp(np.maximum(n, 1) / 4)[1], *(x.bit_length() - 1 for x in FINE))
+    base = np.r_[0, np.cumsum(1 << bits)]
+    count = np.bincount(base[doc] + (h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64), minlength=int(base[-1]))
+    raw = np.minimum(count, FINE_FULL).astype(np.uint8).tobytes()
+    return [raw[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def fine_shared(a: bytes, b: bytes) -> int:
+    """The sum of the minima of two fine points."""
+    x, y = (np.frombuffer(p, np.uint8).astype(np.int64) for p in (a, b))
+    x, y = (np.where(p == FINE_FULL, 1 << 40, p) for p in (x, y))
+    fewer = min(len(x), len(y))
+    return int(np.minimum(x.reshape(fewer, -1).sum(1), y.reshape(fewer, -1).sum(1)).sum())
+
+
 def nodes_of(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n, sig, point binary); sig and point are null for empty sets."""
+    """docs (doc_id, content, text) -> (doc_id, content, n, sig, point binary, fine binary); the last three are null for empty sets."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,9 +101,11 @@ def nodes_of(docs: DataFrame, size: int) -> DataFrame:
                 raw = np.minimum(point, FULL).astype("<u2").tobytes()
                 width = 2 * GROUPS
                 none = n == 0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64), mask=none), pa.array([None if none[k] else raw[k * width : (k + 1) * width] for k in range(len(n))], pa.binary())], ["doc_id", "n", "sig", "point"])
+                points = [None if none[k] else raw[k * width : (k + 1) * width] for k in range(len(n))]
+                fine = [None if none[k] else p for k, p in enumerate(fine_points(doc, h, n))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64), mask=none), pa.array(points, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "content", "n", "sig", "point", "fine"])
 
-    return docs.mapInArrow(found, "doc_id long, n long, sig long, point binary")
+    return docs.mapInArrow(found, "doc_id long, content long, n long, sig long, point binary, fine binary")
 
 
 def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, level: np.ndarray, may_differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,22 +227,24 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose points allow a link."""
+    """The pairs (u, v) whose fine points allow a link."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                shared = np.minimum(_points(batch.column("pu")), _points(batch.column("pv"))).sum(1)
+                shared = np.array([fine_shared(a, b) for a, b in zip(batch.column("pu").to_pylist(), batch.column("pv").to_pylist(), strict=True)])
                 ok = _may_link(shared, batch.column("nu").to_numpy(), batch.column("nv").to_numpy(), percent)
                 yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    u, v = (points.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "uv")
-    sized = pairs.join(u, "u").join(v, "v")
+    u, v = (points.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"p{x}")) for x in "uv")
+    sized = pairs.join(u, "u").join(v, "v").filter("100 * least(nu, nv) >= %d * greatest(nu, nv)" % percent)
     return sized.select("u", "v", "nu", "nv", "pu", "pv").mapInArrow(found, "u long, v long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes that link, by their sets; pairs is a checkpoint."""
+    if pairs.isEmpty():
+        return pairs
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,11 +254,10 @@ def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, pe
                 yield pa.RecordBatch.from_arrays([part.column("sig"), pa.ListArray.from_arrays(pa.array(edge), kn.signed(h))], ["sig", "shingles"])
 
     ends = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    needed = points.join(ends, "sig").select(F.col("doc_id").alias("needed"), "sig")
+    # a node's text is found by id and content: several texts may have one id
+    needed = points.join(ends, "sig").select(F.col("doc_id").alias("needed"), F.col("content").alias("wanted"), "sig")
     needed = F.broadcast(needed) if bounded_rows(needed, MOST_IDS) else needed
-    sets = docs.join(needed, F.col("doc_id") == F.col("needed")).select("sig", "text").mapInArrow(shingled, "sig long, shingles array<long>")
-    # an id that several texts have: only the node's own text counts
-    sets = sets.groupBy("sig").agg(F.max("shingles").alias("shingles")) if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() else sets
+    sets = docs.join(needed, (F.col("doc_id") == F.col("needed")) & (F.col("content") == F.col("wanted"))).select("sig", "text").mapInArrow(shingled, "sig long, shingles array<long>")
     one = pairs.join(sets.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), "u")
     two = one.join(sets.select(F.col("sig").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
@@ -249,20 +271,24 @@ def link_nodes(docs: DataFrame, points: DataFrame, size: int, percent: int, roun
     shared = cut(marked.filter("leader <> last").select("key", "sig", "leader").distinct())
     links = shared.sparkSession.createDataFrame([], "u long, v long")
     rows = shared.select("key", "sig", F.col("sig").alias("component"), "leader", F.col("leader").alias("leader_component"))
+    many = 0
     for _ in range(rounds):
         # every node meets the leader that it shares most blocks with
         meets = rows.filter("component <> leader_component").groupBy("sig", "leader").agg(F.count(F.lit(1)).alias("n"))
         best = meets.groupBy("sig").agg(F.max(F.struct("n", F.col("leader").alias("v"))).alias("best")).select(F.col("sig").alias("u"), "best.v")
         pairs = cut(bounded_pairs(best, points, percent))
         links = cut(links.unionByName(verified(pairs, docs, points, size, percent)))
+        before, many = many, links.count()
         found = cut(components(links))
         rows = with_components(shared, found)
         open_blocks = rows.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key)).filter("least <> most")
         rows = cut(open_blocks.select("key", "sig", "component", "leader", "leader_component"))
         if rows.isEmpty():
             return links
+        if many < 1.1 * before + 1:  # what is left has little to do with leaders
+            break
     pieces = pieces_of(rows, points)
-    pairs = cut(block_pairs(pieces, percent).distinct())
+    pairs = cut(bounded_pairs(block_pairs(pieces, percent).distinct(), points, percent))
     return links.unionByName(verified(pairs, docs, points, size, percent))
 
 
@@ -283,7 +309,7 @@ def pieces_of(rows: DataFrame, points: DataFrame) -> DataFrame:
     return placed.join(points.select("sig", "n", "point"), "sig").groupBy("key", "i", "j").agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Null and empty texts have no shingles and are linked with nothing.
@@ -292,9 +318,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     null id are linked, but name no component; one of such rows alone has
     null. No rows: no rows. Further columns are ignored.
     """
-    docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    docs = texts(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     nodes = cut(nodes_of(docs, size))
-    points = cut(nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "point")).alias("x")).select("sig", "x.doc_id", "x.n", "x.point"))
+    points = cut(nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "content", "n", "point", "fine")).alias("x")).select("sig", "x.*"))
     found = components(link_nodes(docs, points, size, percent, rounds))
     least = nodes.join(found, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "sig").alias("class"))
     smallest = points.join(found, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("component", "sig").alias("class")).agg(F.min("doc_id").alias("component_id"))

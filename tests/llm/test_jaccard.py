@@ -1,0 +1,109 @@
+import random
+import re
+
+import numpy as np
+
+from bytegrams.llm import jaccard
+from bytegrams.llm.components import components
+
+
+def shingles(text, size=5):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+
+
+def brute(rows):
+    """Sorted (doc_id, n_shingles, component_id) by comparing all pairs."""
+    ids = [2**63 - 1 if i is None else i for i, _ in rows]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    least = {}
+    for k in range(len(rows)):
+        least[find(k)] = min(least.get(find(k), ids[k]), ids[k])
+    name = lambda i: None if i == 2**63 - 1 else i
+    return sorted(((name(ids[k]), len(sets[k]), name(least[find(k)])) for k in range(len(rows))), key=str)
+
+
+def run(spark, rows):
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, sig int, content string").repartition(4)
+    return sorted(map(tuple, jaccard.near_duplicates(docs).collect()), key=str)
+
+
+def edited(rng, words, n):
+    words = words[:]
+    for _ in range(n):
+        k = rng.randrange(len(words))
+        words[k : k + 1] = rng.choice([[], ["new%d" % rng.randrange(10**6)], [words[k], "more%d" % rng.randrange(10**6)]])
+    return words
+
+
+def test_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda n: ["W" * (rng.random() < 0.1) + "w%d" % rng.randrange(3000) for _ in range(n)]
+    hot = word(60)
+    rows = [(None, "null id one of its own kind"), (5, None), (6, ""), (7, " \t"), (8, "one"), (9, "ONE"), (10, "a b c d"), (11, "a b c d"), (12, "a b c d e"), (13, "x " * 500), (14, "x " * 5)]
+    for base in (5, 6, 8, 12, 20, 63, 64, 65, 90, 255, 257, 400, 1500):
+        first = word(base)
+        for k in range(14):
+            rows.append((rng.randrange(10_000), " ".join(edited(rng, first, max(0, int(rng.gauss(base * 0.025, base * 0.02)))))))
+        chain = first
+        for _ in range(6):
+            chain = edited(rng, chain, max(1, base // 40))
+            rows.append((rng.randrange(10_000), " ".join(chain)))
+    for _ in range(120):  # a hot passage in texts of their own
+        rows.append((rng.randrange(10_000), " ".join(word(rng.randrange(150)) + hot + word(rng.randrange(30)))))
+    rows += [rows[20], rows[20], (None, rows[20][1]), (rows[40][0], rows[60][1])]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, [(3, "only one")]) == [(3, 1, 3)]
+    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_group(spark):
+    """Many near copies of one text and a chain: links by leaders, blocks in several pieces."""
+    rng = random.Random(8)
+    base = ["b%d" % k for k in range(150)]
+    rows = [(k, " ".join(edited(rng, base, rng.randrange(1, 5)))) for k in range(700)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)])
+        pa_, pb = (jaccard.fine_points(np.zeros(len(x), int), np.sort(x), np.array([len(x)]))[0] for x in (a, b))
+        assert jaccard.fine_shared(pa_, pb) >= len(np.intersect1d(a, b))
+
+
+def test_tree_loses_nothing():
+    rng = np.random.default_rng(3)
+    points = rng.poisson(3, (300, jaccard.GROUPS)).astype(np.int64)
+    points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, (150, jaccard.GROUPS)) * (rng.random((150, jaccard.GROUPS)) < 0.3), 0)
+    n, every = points.sum(1), np.arange(300)
+    got = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, n, every, every, 80)), strict=True))
+    want = {(a, b) for a in range(300) for b in range(300) if jaccard._may_link(np.minimum(points[a], points[b]).sum(), n[a], n[b], 80)}
+    assert got == want
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(100)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(40)] + [(7, 7), (400, 300)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in list(root)}
