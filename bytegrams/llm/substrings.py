@@ -144,7 +144,8 @@ def removals(docs: DataFrame, firsts: DataFrame, window: int, anchor: int) -> Da
     by_hash = Window.partitionBy("hash")
     seen = anchors(docs, window, anchor).withColumn("least", F.min("content").over(by_hash)).withColumn("most", F.max("content").over(by_hash))
     flagged = seen.filter("place < 0 OR least <> most").groupBy("content").agg(F.collect_list(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))).alias("anchors"))
-    first = docs.join(flagged.join(firsts, "content"), "content").filter("doc_id = first_id")
+    # no id is below first_id; "=" would become a key of the join, and the texts would be shuffled by other keys than at the end
+    first = docs.join(flagged.join(firsts, "content"), "content").filter("doc_id <= first_id")
     around = windows(first, window).withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
     gone = around.filter(f"place >= {1 << 32} OR least < doc_id")
     return gone.groupBy("content", "doc_id").agg(F.collect_list(F.when(F.col("place") >= 1 << 32, F.col("place")).otherwise(F.col("place") + (1 << 32))).alias("runs"))
