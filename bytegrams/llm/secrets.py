@@ -92,14 +92,14 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per row of docs: doc_id, spans (by start, then the rules' order). Only blobs with findings are joined back."""
+    """Per row of docs: doc_id, blob, spans (by start, then the rules' order). Only blobs with findings are joined back."""
     order = {r.kind: k for k, r in enumerate(rules)}
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     found = ledger.filter((F.size("spans") > 0) & F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     sort = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
     found = found.select("blob", F.transform(sort, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     paths = blobs_of(docs).select("doc_id", "blob")
-    return paths.join(found, "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -119,9 +119,12 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with each finding replaced by <KIND>; overlapping spans are merged under the first one's kind."""
-    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
+    """docs, all columns, with each finding replaced by <KIND>; of overlapping spans the first one's kind stands for all.
+
+    Findings belong to a text, so they are joined by its blob.
+    """
+    spans = found.filter(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    joined = docs.join(spans, F.unhex(F.sha2(F.encode(F.col(f"`{text_col}`"), "utf-8"), 256)) == F.col("__blob"), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col(f"`{text_col}`")
 
@@ -131,7 +134,7 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFra
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull() & text.isNotNull(), done).otherwise(text)).drop("__id", "__spans")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull() & text.isNotNull(), done).otherwise(text)).drop("__blob", "__spans")
 
 
 
