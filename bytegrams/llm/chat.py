@@ -19,6 +19,7 @@ group because the result is one string per conversation.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -125,3 +126,15 @@ def read_chat(formatted: DataFrame) -> DataFrame:
         F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "").alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def oracle(forged: str) -> str:
+    """DuckDB SQL for the digests of conversations and of a conversation -7 with that text; each escape adds one character."""
+    controls = "|".join(re.escape(c) for c in ChatTemplate().controls())
+    size = lambda x: f"len(regexp_replace(replace({x}, '\\', '\\\\'), '({controls})', '\\1+', 'g'))"
+    marks = len(TURN) + len(TEXT) + len(END)
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+UNION ALL SELECT -7, 0, 'user', '{forged}' UNION ALL SELECT -7, 1, 'assistant', '{forged}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(len(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({marks} + {size('r')} + {size('x')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
