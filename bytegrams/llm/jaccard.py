@@ -11,8 +11,11 @@ prune little. The trees are built inside blocks that lose no link:
 
 * sets of like size are dealt into finer groups, more than can differ between
   linked sets, so they have a group with equal contents; a node's block keys
-  are the hashes of its d + 1 smallest group contents, where d bounds how many
+  are the hashes of its first d + 1 group contents, where d bounds how many
   groups a linked set can change (prefix filter);
+* contents that many documents have come last in that order, whatever their
+  hash, so a common passage makes blocks only for texts that are little else.
+  Any order is right; this one only saves work;
 * in each block, every node first meets the block's smallest node; links that
   hold make components, and settled blocks are done;
 * what is left goes through R-trees, in pieces of bounded size, for pairs of
@@ -42,6 +45,8 @@ MOST_IDS = 500_000
 #: Nodes of a block that are compared in one piece.
 PIECE = 256
 LEAF = 16
+#: Contents that come last: the most frequent ones, so many at most, of those counted so often at least.
+MOST_COMMON, COMMON = 100_000, 8
 
 
 def sets_of(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +94,51 @@ def fine_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(fewer, -1).sum(1), y.reshape(fewer, -1).sum(1)).sum())
 
 
-def nodes_of(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, content, text) -> (doc_id, content, n, sig, point binary, fine binary); the last three are null for empty sets."""
+def levels_of(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(level, next level or -1): sizes from 4 ** k to below 4 ** (k + 1) are level k. A set whose linked ones may lie in
+    the next level belongs to both; the empty set to none."""
+    own = np.where(n > 0, (np.frexp(np.maximum(n, 1))[1] - 1) // 2, -1)
+    return own, np.where((n > 0) & (n * 100 // percent >= 4 ** (own + 1)), own + 1, -1)
+
+
+def contents_of(doc: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of the groups of each document's set at its level: hashes of what is in them."""
+    inside = level[doc] >= 0
+    doc, h = doc[inside], h[inside]
+    groups = np.maximum(64, 3 * 4 ** np.maximum(level, 0)).astype(np.uint64)
+    g = kn.mix(h + np.uint64(77)) % groups[doc]
+    order = np.lexsort((g, doc))
+    doc, h, g = doc[order], h[order], g[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
+    begin = np.flatnonzero(new)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(kn.mix(h), out=total[1:])
+    content = total[np.r_[begin[1:], len(h)]] - total[begin] if len(h) else np.zeros(0, np.uint64)
+    of = doc[begin]
+    return of, kn.mix(content + kn.mix(g[begin] * np.uint64(64) + level[of].astype(np.uint64)))
+
+
+def once(n: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Sizes with 0 for all but the first of equal sets."""
+    first = np.zeros(len(n), bool)
+    first[np.unique(sig, return_index=True)[1]] = True
+    return np.where(first, n, 0)
+
+
+def nodes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """docs (doc_id, content, text) -> (doc_id, content, n, sig, point binary, fine binary, key, times).
+
+    A row a document, whose last two columns are null, and whose sig and
+    points are null for an empty set; and rows (key, times) for contents that
+    a batch has more than once.
+    """
+    names = ["doc_id", "content", "n", "sig", "point", "fine", "key", "times"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = []
             for part in kn.parts(batch, "text"):
                 doc, h = sets_of(part.column("text"), size)
                 n, sig = signatures(doc, h, part.num_rows)
@@ -103,61 +148,53 @@ def nodes_of(docs: DataFrame, size: int) -> DataFrame:
                 none = n == 0
                 points = [None if none[k] else raw[k * width : (k + 1) * width] for k in range(len(n))]
                 fine = [None if none[k] else p for k, p in enumerate(fine_points(doc, h, n))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64), mask=none), pa.array(points, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "content", "n", "sig", "point", "fine"])
+                empty = [pa.nulls(len(n), t) for t in types[6:]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64), mask=none), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), *empty], names)
+                keys += [contents_of(doc, h, level)[1] for level in levels_of(once(n, sig), percent)]
+            if keys:
+                key, times = np.unique(np.concatenate(keys), return_counts=True)
+                key, times = key[times > 1], times[times > 1]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(key), t) for t in types[:6]], kn.signed(key), pa.array(times.astype(np.int64))], names)
+
+    return docs.mapInArrow(found, "doc_id long, content long, n long, sig long, point binary, fine binary, key long, times long")
 
-    return docs.mapInArrow(found, "doc_id long, content long, n long, sig long, point binary, fine binary")
 
+def common_contents(nodes: DataFrame) -> np.ndarray:
+    """Sorted keys of the contents that come last; MOST_COMMON numbers at most reach the driver."""
+    counted = nodes.filter("key IS NOT NULL").groupBy("key").agg(F.sum("times").alias("times")).filter(F.col("times") >= COMMON)
+    rows = counted.orderBy(F.desc("times"), "key").limit(MOST_COMMON).select("key").collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
-def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, level: np.ndarray, may_differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key): the may_differ + 1 smallest content hashes of the groups of a level.
 
-    A set with too few groups for that gives all of them, and the level's common key.
+def block_keys(doc: np.ndarray, h: np.ndarray, level: np.ndarray, may_differ: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key): the first may_differ + 1 contents of each document, by whether they are common, then by hash.
+
+    A set with too few contents for that gives all of them, and the level's own key.
     """
-    groups = np.maximum(64, 6 * 4 ** np.maximum(level - 1, 0)).astype(np.uint64)
-    inside = level[doc] >= 0
-    doc, h = doc[inside], h[inside]
-    g = kn.mix(h + np.uint64(77)) % groups[doc]
-    order = np.lexsort((g, doc))
-    doc, h, g = doc[order], h[order], g[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
-    begin = np.flatnonzero(new)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(kn.mix(h), out=total[1:])
-    content = total[np.r_[begin[1:], len(h)]] - total[begin] if len(h) else np.zeros(0, np.uint64)
-    of = doc[begin]
-    key = kn.mix(content + kn.mix(g[begin] * np.uint64(64) + level[of].astype(np.uint64)))
-    order = np.lexsort((key, of))
+    of, key = contents_of(doc, h, level)
+    at = np.minimum(np.searchsorted(common, key), max(len(common) - 1, 0))
+    last = common[at] == key if len(common) else np.zeros(len(key), bool)
+    order = np.lexsort((key, last, of))
     of, key = of[order], key[order]
-    have = np.bincount(of, minlength=len(size))
+    have = np.bincount(of, minlength=len(level))
     keep = kn.spread(have) <= may_differ[of]
     few = np.flatnonzero((have <= may_differ) & (have > 0))
     return np.r_[of[keep], few], np.r_[key[keep], kn.mix(level[few].astype(np.uint64) + np.uint64(1 << 50))]
 
 
-def keys_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """docs (doc_id, text) -> (key, sig), once a batch.
-
-    Levels are sizes from 4 ** k to below 4 ** (k + 1). A set whose linked ones may lie in the next level has keys of both.
-    """
+def keys_of(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+    """docs (doc_id, text) -> (key, sig), equal sets of a part once."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kn.parts(batch, "text"):
                 doc, h = sets_of(part.column("text"), size)
                 n, sig = signatures(doc, h, part.num_rows)
-                own = np.unique(np.where(n > 0, sig, np.uint64(0)), return_index=True)[1]
-                first = np.zeros(len(n), bool)
-                first[own] = True
-                first &= n > 0
-                level = np.where(first, (np.frexp(np.maximum(n, 1))[1] - 1) // 2, -1)
-                # |A u B| <= |A| 100 / percent, and (100 - percent) percent of it differ
+                # |A u B| <= |A| 100 / percent, of which (100 - percent) percent differ
                 differ = n * (100 - percent) // percent
-                upper = np.where(first & (n * 100 // percent >= 4 ** (level + 1)), level + 1, -1)
-                both = [block_keys(doc, h, n, lv, differ) for lv in (level, upper) if (lv >= 0).any()]
-                if both:
-                    of, key = (np.concatenate(x) for x in zip(*both, strict=True))
-                    yield pa.RecordBatch.from_arrays([kn.signed(key), kn.signed(sig[of])], ["key", "sig"])
+                both = [block_keys(doc, h, level, differ, common) for level in levels_of(once(n, sig), percent)]
+                of, key = (np.concatenate(x) for x in zip(*both, strict=True))
+                yield pa.RecordBatch.from_arrays([kn.signed(key), kn.signed(sig[of])], ["key", "sig"])
 
     return docs.select("text").mapInArrow(found, "key long, sig long")
 
@@ -264,10 +301,10 @@ def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, pe
     return two.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("union")).filter(100 * F.col("shared") >= percent * F.col("union")).select("u", "v")
 
 
-def link_nodes(docs: DataFrame, points: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
+def link_nodes(docs: DataFrame, points: DataFrame, common: np.ndarray, size: int, percent: int, rounds: int) -> DataFrame:
     """(u, v): links between nodes, enough to connect all that the full graph of links connects."""
     by_key = Window.partitionBy("key")
-    marked = keys_of(docs, size, percent).withColumn("leader", F.min("sig").over(by_key)).withColumn("last", F.max("sig").over(by_key))
+    marked = keys_of(docs, size, percent, common).withColumn("leader", F.min("sig").over(by_key)).withColumn("last", F.max("sig").over(by_key))
     shared = cut(marked.filter("leader <> last").select("key", "sig", "leader").distinct())
     links = shared.sparkSession.createDataFrame([], "u long, v long")
     rows = shared.select("key", "sig", F.col("sig").alias("component"), "leader", F.col("leader").alias("leader_component"))
@@ -319,9 +356,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     null. No rows: no rows. Further columns are ignored.
     """
     docs = texts(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    nodes = cut(nodes_of(docs, size))
+    every = cut(nodes_of(docs, size, percent))
+    nodes = every.filter("key IS NULL")
     points = cut(nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "content", "n", "point", "fine")).alias("x")).select("sig", "x.*"))
-    found = components(link_nodes(docs, points, size, percent, rounds))
+    found = components(link_nodes(docs, points, common_contents(every), size, percent, rounds))
     least = nodes.join(found, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "sig").alias("class"))
     smallest = points.join(found, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("component", "sig").alias("class")).agg(F.min("doc_id").alias("component_id"))
     out = least.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
