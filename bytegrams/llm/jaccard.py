@@ -9,11 +9,12 @@ over points bounds a whole box by its corner of largest coordinates.
 Boxes of random sets overlap in 64 dimensions, so one tree over a corpus would
 prune little. The trees are built inside blocks that lose no link:
 
-* sets of like size are dealt into finer groups, more than can differ between
-  linked sets, so they have a group with equal contents; a node's block keys
-  are the hashes of its first d + 1 group contents, where d bounds how many
-  groups a linked set can change (prefix filter);
-* contents that many documents have come last in that order, whatever their
+* a set's first d + 1 shingles in a fixed order are its block keys, where d
+  bounds how many of its shingles a linked set can lack (prefix filter), so
+  linked sets have a block in common. The first shingle that they share tells
+  that all before it differ: the places of both add up to what may differ at
+  most (positional filter);
+* shingles that many documents have come last in that order, whatever their
   hash, so a common passage makes blocks only for texts that are little else.
   Any order is right; this one only saves work;
 * in each block, every node first meets the block's smallest node; links that
@@ -45,8 +46,8 @@ MOST_IDS = 500_000
 #: Nodes of a block that are compared in one piece.
 PIECE = 256
 LEAF = 16
-#: Contents that come last: the most frequent ones, so many at most, of those counted so often at least.
-MOST_COMMON, COMMON = 100_000, 8
+#: Shingles that come last: the most frequent ones, so many at most, of those counted so often at least.
+MOST_COMMON, COMMON = 500_000, 8
 
 
 def sets_of(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -94,31 +95,6 @@ def fine_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(fewer, -1).sum(1), y.reshape(fewer, -1).sum(1)).sum())
 
 
-def levels_of(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(level, next level or -1): sizes from 4 ** k to below 4 ** (k + 1) are level k. A set whose linked ones may lie in
-    the next level belongs to both; the empty set to none."""
-    own = np.where(n > 0, (np.frexp(np.maximum(n, 1))[1] - 1) // 2, -1)
-    return own, np.where((n > 0) & (n * 100 // percent >= 4 ** (own + 1)), own + 1, -1)
-
-
-def contents_of(doc: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of the groups of each document's set at its level: hashes of what is in them."""
-    inside = level[doc] >= 0
-    doc, h = doc[inside], h[inside]
-    groups = np.maximum(64, 3 * 4 ** np.maximum(level, 0)).astype(np.uint64)
-    g = kn.mix(h + np.uint64(77)) % groups[doc]
-    order = np.lexsort((g, doc))
-    doc, h, g = doc[order], h[order], g[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
-    begin = np.flatnonzero(new)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(kn.mix(h), out=total[1:])
-    content = total[np.r_[begin[1:], len(h)]] - total[begin] if len(h) else np.zeros(0, np.uint64)
-    of = doc[begin]
-    return of, kn.mix(content + kn.mix(g[begin] * np.uint64(64) + level[of].astype(np.uint64)))
-
-
 def once(n: np.ndarray, sig: np.ndarray) -> np.ndarray:
     """Sizes with 0 for all but the first of equal sets."""
     first = np.zeros(len(n), bool)
@@ -126,11 +102,11 @@ def once(n: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return np.where(first, n, 0)
 
 
-def nodes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def nodes_of(docs: DataFrame, size: int) -> DataFrame:
     """docs (doc_id, content, text) -> (doc_id, content, n, sig, point binary, fine binary, key, times).
 
     A row a document, whose last two columns are null, and whose sig and
-    points are null for an empty set; and rows (key, times) for contents that
+    points are null for an empty set; and rows (key, times) for shingles that
     a batch has more than once.
     """
     names = ["doc_id", "content", "n", "sig", "point", "fine", "key", "times"]
@@ -150,7 +126,7 @@ def nodes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 fine = [None if none[k] else p for k, p in enumerate(fine_points(doc, h, n))]
                 empty = [pa.nulls(len(n), t) for t in types[6:]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64), mask=none), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), *empty], names)
-                keys += [contents_of(doc, h, level)[1] for level in levels_of(once(n, sig), percent)]
+                keys.append(h[once(n, sig)[doc] > 0])
             if keys:
                 key, times = np.unique(np.concatenate(keys), return_counts=True)
                 key, times = key[times > 1], times[times > 1]
@@ -159,44 +135,34 @@ def nodes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(found, "doc_id long, content long, n long, sig long, point binary, fine binary, key long, times long")
 
 
-def common_contents(nodes: DataFrame) -> np.ndarray:
-    """Sorted keys of the contents that come last; MOST_COMMON numbers at most reach the driver."""
+def common_shingles(nodes: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that come last; MOST_COMMON numbers at most reach the driver."""
     counted = nodes.filter("key IS NOT NULL").groupBy("key").agg(F.sum("times").alias("times")).filter(F.col("times") >= COMMON)
-    rows = counted.orderBy(F.desc("times"), "key").limit(MOST_COMMON).select("key").collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
-
-
-def block_keys(doc: np.ndarray, h: np.ndarray, level: np.ndarray, may_differ: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key): the first may_differ + 1 contents of each document, by whether they are common, then by hash.
-
-    A set with too few contents for that gives all of them, and the level's own key.
-    """
-    of, key = contents_of(doc, h, level)
-    at = np.minimum(np.searchsorted(common, key), max(len(common) - 1, 0))
-    last = common[at] == key if len(common) else np.zeros(len(key), bool)
-    order = np.lexsort((key, last, of))
-    of, key = of[order], key[order]
-    have = np.bincount(of, minlength=len(level))
-    keep = kn.spread(have) <= may_differ[of]
-    few = np.flatnonzero((have <= may_differ) & (have > 0))
-    return np.r_[of[keep], few], np.r_[key[keep], kn.mix(level[few].astype(np.uint64) + np.uint64(1 << 50))]
+    found = counted.orderBy(F.desc("times"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
 
 
 def keys_of(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) -> (key, sig), equal sets of a part once."""
+    """docs (doc_id, text) -> (key, sig, place): the first shingles of each set, by whether they are common, then by hash,
+    and where in that order they are. Equal sets of a part are taken once."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kn.parts(batch, "text"):
                 doc, h = sets_of(part.column("text"), size)
                 n, sig = signatures(doc, h, part.num_rows)
-                # |A u B| <= |A| 100 / percent, of which (100 - percent) percent differ
-                differ = n * (100 - percent) // percent
-                both = [block_keys(doc, h, level, differ, common) for level in levels_of(once(n, sig), percent)]
-                of, key = (np.concatenate(x) for x in zip(*both, strict=True))
-                yield pa.RecordBatch.from_arrays([kn.signed(key), kn.signed(sig[of])], ["key", "sig"])
+                inside = once(n, sig)[doc] > 0
+                doc, h = doc[inside], h[inside]
+                at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+                last = common[at] == h if len(common) else np.zeros(len(h), bool)
+                order = np.lexsort((h, last, doc))
+                doc, h = doc[order], h[order]
+                place = kn.spread(np.bincount(doc, minlength=part.num_rows))
+                # a linked set has percent percent of these at least
+                keep = place <= n[doc] - (n[doc] * percent + 99) // 100
+                yield pa.RecordBatch.from_arrays([kn.signed(h[keep]), kn.signed(sig[doc[keep]]), pa.array(place[keep].astype(np.int32))], ["key", "sig", "place"])
 
-    return docs.select("text").mapInArrow(found, "key long, sig long")
+    return docs.select("text").mapInArrow(found, "key long, sig long, place int")
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -210,31 +176,40 @@ def _may_link(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return 100 * shared >= percent * (a + b - shared)
 
 
-def tree_pairs(points: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of left, one of right) whose points allow a link, by a packed R-tree over right.
+def _may_differ(places: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether linked sets of these sizes, added up, can have so many shingles before the first that they share."""
+    return places * (100 + percent) <= sizes * (100 - percent)
+
+
+def tree_pairs(points: np.ndarray, n: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of left, one of right) whose points and places allow a link, by a packed R-tree over right.
 
     The tree is sorted by size, then by its two coordinates of largest spread; a leaf's box is kept as its largest
-    coordinates and its range of sizes.
+    coordinates, its range of sizes and its smallest place.
     """
-    if len(left) > 0 and len(right) > 2 * LEAF:
+    if len(right) > 2 * LEAF:
         axes = np.argsort(-points[right].astype(float).var(0))[:2]
-        right = right[np.lexsort((points[right, axes[1]], points[right, axes[0]], n[right]))]
+        right = right[np.lexsort((points[right, axes[1]], points[right, axes[0]], place[right], n[right]))]
     begin = np.arange(0, len(right), LEAF)
     corner = np.maximum.reduceat(points[right], begin, axis=0)
-    small, large = np.minimum.reduceat(n[right], begin), np.maximum.reduceat(n[right], begin)
+    small, large, near = np.minimum.reduceat(n[right], begin), np.maximum.reduceat(n[right], begin), np.minimum.reduceat(place[right], begin)
     nq = n[left][:, None]
-    bound = np.minimum(points[left][:, None, :], corner[None, :, :]).sum(2)
     nearest = np.clip(nq, small, large)  # the size in the box that suits the query best
-    hit_q, hit_leaf = np.nonzero(_may_link(np.minimum(bound, large), nq, nearest, percent))
+    hit_q, hit_leaf = np.nonzero(_may_differ(place[left][:, None] + near, nq + large, percent) & _may_link(np.minimum(nq, large), nq, nearest, percent))
+    bound = np.minimum(points[left[hit_q]], corner[hit_leaf]).sum(1)
+    ok = _may_link(np.minimum(bound, large[hit_leaf]), n[left[hit_q]], nearest[hit_q, hit_leaf], percent)
+    hit_q, hit_leaf = hit_q[ok], hit_leaf[ok]
     inside = np.minimum(LEAF, len(right) - begin[hit_leaf])
     q = left[np.repeat(hit_q, inside)]
     p = right[np.repeat(begin[hit_leaf], inside) + kn.spread(inside)]
+    ok = _may_differ(place[q] + place[p], n[q] + n[p], percent)
+    q, p = q[ok], p[ok]
     ok = _may_link(np.minimum(points[q], points[p]).sum(1), n[q], n[p], percent)
     return q[ok], p[ok]
 
 
 def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """blocks (members array<struct<half,sig,component,n,point>>) -> (u, v), once a batch: pairs of different components.
+    """blocks (members array<struct<half,sig,component,place,n,point>>) -> (u, v), once a batch: pairs of different components.
 
     half 0 meets half 1; where all are of half 0, they meet each other.
     """
@@ -244,7 +219,8 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
             lists = batch.column(0)
             edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
-            half, sig, comp, n = (flat.field(k).to_numpy() for k in ("half", "sig", "component", "n"))
+            half, sig, comp, place, n = (flat.field(k).to_numpy() for k in ("half", "sig", "component", "place", "n"))
+            place = place.astype(np.int64)
             points = _points(flat.field("point"))
             us, vs = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -252,7 +228,7 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 left, right = rows[half[lo:hi] == 0], rows[half[lo:hi] == 1]
                 if not len(left) or not len(right):
                     left = right = rows
-                q, p = tree_pairs(points, n, left, right, percent)
+                q, p = tree_pairs(points, n, place, left, right, percent)
                 ok = comp[q] != comp[p]
                 us.append(np.maximum(sig[q], sig[p])[ok])
                 vs.append(np.minimum(sig[q], sig[p])[ok])
@@ -305,21 +281,22 @@ def link_nodes(docs: DataFrame, points: DataFrame, common: np.ndarray, size: int
     """(u, v): links between nodes, enough to connect all that the full graph of links connects."""
     by_key = Window.partitionBy("key")
     marked = keys_of(docs, size, percent, common).withColumn("leader", F.min("sig").over(by_key)).withColumn("last", F.max("sig").over(by_key))
-    shared = cut(marked.filter("leader <> last").select("key", "sig", "leader").distinct())
+    shared = cut(marked.filter("leader <> last").select("key", "sig", "place", "leader").distinct())
     links = shared.sparkSession.createDataFrame([], "u long, v long")
-    rows = shared.select("key", "sig", F.col("sig").alias("component"), "leader", F.col("leader").alias("leader_component"))
-    many = 0
+    rows = shared.select("key", "sig", "place", F.col("sig").alias("component"), "leader", F.col("leader").alias("leader_component"))
+    tried, many = links, 0
     for _ in range(rounds):
-        # every node meets the leader that it shares most blocks with
-        meets = rows.filter("component <> leader_component").groupBy("sig", "leader").agg(F.count(F.lit(1)).alias("n"))
-        best = meets.groupBy("sig").agg(F.max(F.struct("n", F.col("leader").alias("v"))).alias("best")).select(F.col("sig").alias("u"), "best.v")
+        # every node meets the leader that it shares most blocks with, each time another one
+        meets = rows.filter("component <> leader_component").groupBy(F.col("sig").alias("u"), F.col("leader").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        best = cut(meets.join(tried, ["u", "v"], "left_anti").groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", "best.v"))
+        tried = tried.unionByName(best)
         pairs = cut(bounded_pairs(best, points, percent))
         links = cut(links.unionByName(verified(pairs, docs, points, size, percent)))
         before, many = many, links.count()
         found = cut(components(links))
         rows = with_components(shared, found)
         open_blocks = rows.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key)).filter("least <> most")
-        rows = cut(open_blocks.select("key", "sig", "component", "leader", "leader_component"))
+        rows = cut(open_blocks.select("key", "sig", "place", "component", "leader", "leader_component"))
         if rows.isEmpty():
             return links
         if many < 1.1 * before + 1:  # what is left has little to do with leaders
@@ -332,17 +309,17 @@ def link_nodes(docs: DataFrame, points: DataFrame, common: np.ndarray, size: int
 def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows (key, sig, leader) with the components of sig and of leader: their own names where they have no link."""
     one, two = (found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in ("sig", "leader"))
-    joined = rows.select("key", "sig", "leader").join(one, "sig", "left").join(two, "leader", "left")
-    return joined.select("key", "sig", "leader", F.coalesce("sig_c", "sig").alias("component"), F.coalesce("leader_c", "leader").alias("leader_component"))
+    joined = rows.select("key", "sig", "place", "leader").join(one, "sig", "left").join(two, "leader", "left")
+    return joined.select("key", "sig", "place", "leader", F.coalesce("sig_c", "sig").alias("component"), F.coalesce("leader_c", "leader").alias("leader_component"))
 
 
 def pieces_of(rows: DataFrame, points: DataFrame) -> DataFrame:
     """Blocks cut into pieces of about PIECE nodes; each two pieces of a block meet in one row."""
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    cutup = rows.select("key", "sig", "component").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int"))
+    cutup = rows.select("key", "sig", "place", "component").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int"))
     meets = cutup.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"), "sig", "component")
-    member = F.struct("half", "sig", "component", "n", "point")
+    placed = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"), "sig", "component", "place")
+    member = F.struct("half", "sig", "component", "place", "n", "point")
     return placed.join(points.select("sig", "n", "point"), "sig").groupBy("key", "i", "j").agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1)
 
 
@@ -356,10 +333,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     null. No rows: no rows. Further columns are ignored.
     """
     docs = texts(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    every = cut(nodes_of(docs, size, percent))
+    every = cut(nodes_of(docs, size))
     nodes = every.filter("key IS NULL")
     points = cut(nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "content", "n", "point", "fine")).alias("x")).select("sig", "x.*"))
-    found = components(link_nodes(docs, points, common_contents(every), size, percent, rounds))
+    found = components(link_nodes(docs, points, common_shingles(every), size, percent, rounds))
     least = nodes.join(found, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "sig").alias("class"))
     smallest = points.join(found, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("component", "sig").alias("class")).agg(F.min("doc_id").alias("component_id"))
     out = least.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -90,9 +90,9 @@ def test_tree_loses_nothing():
     rng = np.random.default_rng(3)
     points = rng.poisson(3, (300, jaccard.GROUPS)).astype(np.int64)
     points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, (150, jaccard.GROUPS)) * (rng.random((150, jaccard.GROUPS)) < 0.3), 0)
-    n, every = points.sum(1), np.arange(300)
-    got = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, n, every, every, 80)), strict=True))
-    want = {(a, b) for a in range(300) for b in range(300) if jaccard._may_link(np.minimum(points[a], points[b]).sum(), n[a], n[b], 80)}
+    n, every, place = points.sum(1), np.arange(300), rng.integers(0, 40, 300)
+    got = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, n, place, every, every, 80)), strict=True))
+    want = {(a, b) for a in range(300) for b in range(300) if jaccard._may_link(np.minimum(points[a], points[b]).sum(), n[a], n[b], 80) and 180 * (place[a] + place[b]) <= 20 * (n[a] + n[b])}
     assert got == want
 
 
