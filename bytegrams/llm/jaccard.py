@@ -208,6 +208,21 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, place: np.ndarray, left: np.nd
     return q[ok], p[ok]
 
 
+def leaf_pairs(points: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for blocks that are no larger than two leaves, all of them at once; pairs of different components only."""
+    rest = np.repeat(size, size) - 1 - kn.spread(size)  # rows of the block after each row
+    row = np.repeat(begin, size) + kn.spread(size)
+    q = np.repeat(row, rest)
+    p = q + 1 + kn.spread(rest)
+    ok = (comp[q] != comp[p]) & _may_differ(place[q] + place[p], n[q] + n[p], percent) & _may_link(np.minimum(n[q], n[p]), n[q], n[p], percent)
+    q, p = q[ok], p[ok]
+    ok = np.zeros(len(q), bool)
+    for k in range(0, len(q), 100_000):
+        a, b = q[k : k + 100_000], p[k : k + 100_000]
+        ok[k : k + 100_000] = _may_link(np.minimum(points[a], points[b]).sum(1), n[a], n[b], percent)
+    return q[ok], p[ok]
+
+
 def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     """blocks (members array<struct<half,sig,component,place,n,point>>) -> (u, v), once a batch: pairs of different components.
 
@@ -216,14 +231,19 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lists = batch.column(0)
             edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
             half, sig, comp, place, n = (flat.field(k).to_numpy() for k in ("half", "sig", "component", "place", "n"))
             place = place.astype(np.int64)
             points = _points(flat.field("point"))
-            us, vs = [], []
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            size = np.diff(edges)
+            small = (size <= 2 * LEAF) & (np.maximum.reduceat(half, edges[:-1]) == 0)
+            q, p = leaf_pairs(points, n, place, comp, edges[:-1][small], size[small], percent)
+            us, vs = [np.maximum(sig[q], sig[p])], [np.minimum(sig[q], sig[p])]
+            for lo, hi in zip(edges[:-1][~small].tolist(), edges[1:][~small].tolist(), strict=True):
                 rows = np.arange(lo, hi)
                 left, right = rows[half[lo:hi] == 0], rows[half[lo:hi] == 1]
                 if not len(left) or not len(right):
@@ -232,9 +252,8 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 ok = comp[q] != comp[p]
                 us.append(np.maximum(sig[q], sig[p])[ok])
                 vs.append(np.minimum(sig[q], sig[p])[ok])
-            if us:
-                pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     return blocks.select("members").mapInArrow(found, "u long, v long")
 
