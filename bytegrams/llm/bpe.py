@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """One vocabulary. Chunks that are known are kept, at most ``most`` of them."""
 
-    def __init__(self, spec: dict, most: int = 200_000):
+    def __init__(self, spec: dict, most: int = 100_000):
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         suffix = spec["model"]["end_of_word_suffix"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]

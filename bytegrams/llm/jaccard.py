@@ -46,6 +46,8 @@ MOST_IDS = 500_000
 #: Nodes of a block that are compared in one piece.
 PIECE = 256
 LEAF = 16
+#: Shingles whose repeats are counted together before Spark adds them up.
+TOGETHER = 2_000_000
 #: Shingles that come last: the most frequent ones, so many at most, of those counted so often at least.
 MOST_COMMON, COMMON = 500_000, 8
 
@@ -107,14 +109,19 @@ def nodes_of(docs: DataFrame, size: int) -> DataFrame:
 
     A row a document, whose last two columns are null, and whose sig and
     points are null for an empty set; and rows (key, times) for shingles that
-    a batch has more than once.
+    several documents of a part of the input have.
     """
     names = ["doc_id", "content", "n", "sig", "point", "fine", "key", "times"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
+    def repeated(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
+        key, times = key[times > 1], times[times > 1]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(key), t) for t in types[:6]], kn.signed(key), pa.array(times.astype(np.int64))], names)
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
         for batch in batches:
-            keys = []
             for part in kn.parts(batch, "text"):
                 doc, h = sets_of(part.column("text"), size)
                 n, sig = signatures(doc, h, part.num_rows)
@@ -127,10 +134,11 @@ def nodes_of(docs: DataFrame, size: int) -> DataFrame:
                 empty = [pa.nulls(len(n), t) for t in types[6:]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64), mask=none), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), *empty], names)
                 keys.append(h[once(n, sig)[doc] > 0])
-            if keys:
-                key, times = np.unique(np.concatenate(keys), return_counts=True)
-                key, times = key[times > 1], times[times > 1]
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(key), t) for t in types[:6]], kn.signed(key), pa.array(times.astype(np.int64))], names)
+                if sum(map(len, keys)) > TOGETHER:
+                    yield repeated(keys)
+                    keys = []
+        if keys:
+            yield repeated(keys)
 
     return docs.mapInArrow(found, "doc_id long, content long, n long, sig long, point binary, fine binary, key long, times long")
 
