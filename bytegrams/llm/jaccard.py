@@ -205,7 +205,9 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, place: np.ndarray, left: np.nd
     nearest = np.clip(nq, small, large)  # the size in the box that suits the query best
     hit_q, hit_leaf = np.nonzero(_may_differ(place[left][:, None] + near, nq + large, percent) & _may_link(np.minimum(nq, large), nq, nearest, percent))
     bound = np.minimum(points[left[hit_q]], corner[hit_leaf]).sum(1)
-    ok = _may_link(np.minimum(bound, large[hit_leaf]), n[left[hit_q]], nearest[hit_q, hit_leaf], percent)
+    # where no more than bound can be shared, a smaller set suits better
+    nearest = np.clip(np.minimum(n[left[hit_q]], bound), small[hit_leaf], large[hit_leaf])
+    ok = _may_link(bound, n[left[hit_q]], nearest, percent)
     hit_q, hit_leaf = hit_q[ok], hit_leaf[ok]
     inside = np.minimum(LEAF, len(right) - begin[hit_leaf])
     q = left[np.repeat(hit_q, inside)]

@@ -96,6 +96,39 @@ def test_tree_loses_nothing():
     assert got == want
 
 
+def sparse(rng, n):
+    """n random sets of shingles' groups; every second one lacks a few of the one before it. Then their points."""
+    sets = []
+    for k in range(n):
+        sets.append(rng.integers(0, jaccard.GROUPS, rng.integers(5, 40)) if k % 2 == 0 else sets[-1][: -(-len(sets[-1]) * 8 // 10)])
+    return np.array([np.bincount(x, minlength=jaccard.GROUPS) for x in sets]).astype(np.int64)
+
+
+def test_tree_of_two_halves_loses_nothing():
+    """Larger sets on the left, smaller ones on the right, which share the leaves with others."""
+    points = sparse(np.random.default_rng(7), 1200)
+    n, place = points.sum(1), np.zeros(1200, np.int64)
+    left, right = np.arange(0, 1200, 2), np.arange(1, 1200, 2)
+    right = np.r_[right, left[:300]]
+    left = left[300:]
+    got = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, n, place, left, right, 80)), strict=True))
+    want = {(a, b) for a in left.tolist() for b in right[jaccard._may_link(np.minimum(points[a], points[right]).sum(1), n[a], n[right], 80)].tolist()}
+    assert len(want) >= 300 and got == want
+
+
+def test_pieces_lose_nothing(spark):
+    """One block of three pieces, where the larger set of every pair is in the first piece."""
+    points = sparse(np.random.default_rng(9), 600)
+    n = points.sum(1)
+    own = {r.id: r.own for r in spark.range(2000).selectExpr("id", "pmod(xxhash64(id), 3) AS own").collect()}
+    larger, smaller = iter([i for i in own if own[i] == 0]), iter([i for i in own if own[i] > 0])
+    name = [next(smaller) if k % 2 else next(larger) for k in range(600)]
+    rows = spark.createDataFrame([(1, s, 0, s) for s in name], "key long, sig long, place int, component long")
+    nodes = spark.createDataFrame([(s, int(n[k]), points[k].astype("<u2").tobytes()) for k, s in enumerate(name)], "sig long, n long, point binary")
+    got = {(r.u, r.v) for r in jaccard.block_pairs(jaccard.pieces_of(rows, nodes), 80).collect()}
+    assert {(max(name[k : k + 2]), min(name[k : k + 2])) for k in range(0, 600, 2)} <= got
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(100)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(40)] + [(7, 7), (400, 300)]
