@@ -135,17 +135,19 @@ def discover(mentioned: DataFrame, settings: Bootstrap) -> DataFrame:
     edges = cut(mentioned.select("instance", "kind", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern")).groupBy("pattern", "instance", "kind").agg(F.lit(1).alias("one")).drop("one"))
     links = edges.select("pattern", "instance").distinct()
     size = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    seeds = edges.filter(F.col("kind").isNotNull()).select("instance", "kind").distinct().withColumn("confidence", F.lit(1.0))
+    seeds = edges.filter(F.col("kind").isNotNull()).select("instance", "kind").distinct().withColumn("doubt", F.lit(float("-inf"))).withColumn("seed", F.lit(True))
     unseen = links.join(seeds.select("instance").distinct(), "instance", "left_anti")
+    # doubt is the log of what is missing to 1, which doubles can't hold of an instance with much evidence
+    confidence = 1 - F.exp("doubt")
     known = seeds
     for _ in range(settings.rounds):
-        worth = links.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("sum"), F.sum((F.col("confidence") == 1.0).cast("int")).alias("seeds")).join(size, "pattern")
+        worth = links.join(known, "instance").groupBy("pattern", "kind").agg(F.sum(confidence).alias("sum"), F.sum(F.col("seed").cast("int")).alias("seeds")).join(size, "pattern")
         # one more instance of no kind: small patterns are worth less
         worth = worth.withColumn("worth", F.col("sum") / (F.col("size") + 1)).filter((F.col("seeds") >= settings.support) & (F.col("worth") >= settings.confident))
-        found = unseen.join(worth, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.99)))))).alias("confidence"))
+        found = unseen.join(worth, "pattern").groupBy("instance", "kind").agg(F.sum(F.log(1 - F.least("worth", F.lit(0.99)))).alias("doubt")).withColumn("seed", F.lit(False))
         known = cut(seeds.unionByName(found))
-    best = known.filter((F.col("confidence") < 1.0) & (F.col("confidence") >= settings.confident)).groupBy("instance").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
-    return best
+    sure = known.filter(~F.col("seed") & (confidence >= settings.confident))
+    return sure.groupBy("instance").agg(F.max_by("kind", F.struct(-F.col("doubt"), "kind")).alias("kind"), F.max(confidence).alias("confidence"))
 
 
 def find_pii(docs: DataFrame, settings: Bootstrap | None = None) -> DataFrame:

@@ -52,6 +52,18 @@ def test_contexts_find_unseen(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_much_evidence(spark):
+    """An unseen instance in 30 patterns that 120 seeds confirm: its confidence is 1 in doubles, and it isn't a seed."""
+    rows = [(kind, f"{kind}{k}", f"x{c} y{c}", "") for c in range(30) for kind, k in [("email", k) for k in range(120)]]
+    rows += [(None, "someone@localhost", f"x{c} y{c}", "") for c in range(30)]
+    # the surer of two kinds wins where both are 1 in doubles
+    for kind, n in (("card", 12), ("phone", 10)):
+        rows += [(kind, f"{kind}{k}", f"{kind} {c}", "") for c in range(n) for k in range(120)] + [(None, "55-12345", f"{kind} {c}", "") for c in range(n)]
+    mentioned = spark.createDataFrame(rows, "kind string, instance string, before string, after string")
+    got = {r["instance"]: (r.kind, r.confidence) for r in pii.discover(mentioned, pii.Bootstrap()).collect()}
+    assert got == {"someone@localhost": ("email", 1.0), "55-12345": ("card", 1.0)}
+
+
 def test_query(spark, sf_dir):
     from bytegrams.llm.queries import op3_pii
 
