@@ -15,6 +15,8 @@ there are at most 2 ** (number of voters). Everything else stays in Spark.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
 from collections import Counter
@@ -66,10 +68,27 @@ def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kn.parts(batch, "text", 4_000_000)
 
 
+def word_key(word: str) -> str:
+    """What a lexicon has for a word: itself, or a digest of the whole word beyond 40 letters."""
+    return word if len(word) <= 40 else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+@functools.cache
+def _signs() -> np.ndarray:
+    """By code point: 1 for a letter, and 2 more for an upper-case sign."""
+    return np.fromiter((c.isalpha() + 2 * c.isupper() for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
+def is_shouting(text: str) -> bool:
+    """Whether more than half as many signs of the whole text are upper-case as are letters."""
+    found = np.bincount(_signs()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], minlength=4)
+    return bool(found[2] + found[3] > 0.5 * (found[1] + found[3]))
+
+
 def terms_of(text: str) -> set[str]:
-    """Distinct lower-cased words as w:WORD and their beginnings as 4:, 5:, 6:."""
+    """Distinct lower-cased words as w:KEY and their beginnings as 4:, 5:, 6:."""
     words = set(WORD.findall(text.lower()))
-    return {f"w:{w[:40]}" for w in words} | {f"{k}:{w[:k]}" for w in words if len(w) > 4 for k in (4, 5, 6) if len(w) >= k}
+    return {f"w:{word_key(w)}" for w in words} | {f"{k}:{w[:k]}" for w in words if len(w) > 4 for k in (4, 5, 6) if len(w) >= k}
 
 
 def evidence(text: str, lexicon: Lexicon) -> np.ndarray:
@@ -78,7 +97,7 @@ def evidence(text: str, lexicon: Lexicon) -> np.ndarray:
     words = WORD.findall(low)
     unique = set(words)
     seed = [w for w in unique if w in SEEDS]
-    learned = [w for w in unique if w in lexicon.words]
+    learned = [w for w in unique if word_key(w) in lexicon.words]
     heads = {}
     if lexicon.heads:
         for w in unique:
@@ -88,13 +107,13 @@ def evidence(text: str, lexicon: Lexicon) -> np.ndarray:
                     heads[w] = best
     n_seed = sum(low.count(w) for w in seed) if seed else 0
     n_word = sum(low.count(w) for w in learned) if learned else 0
-    odds = [lexicon.words[w] for w in learned]
+    odds = [lexicon.words[word_key(w)] for w in learned]
     letters = sum(map(len, unique))
     votes = [
         bool(seed), n_seed >= 2,
         bool(learned), any(o >= STRONG for o in odds), n_word >= 2,
         bool(heads), any(o >= STRONG for o in heads.values()), len(heads) >= 2,
-        letters > 20 and sum(c.isupper() for c in text[:2000]) > 0.5 * sum(c.isalpha() for c in text[:2000]), "!!" in text,
+        letters > 20 and is_shouting(text), "!!" in text,
     ]
     amounts = [math.log1p(min(n_seed, 20)), math.log1p(min(n_word, 20)), math.log1p(len(heads)), math.log1p(sum(odds) + sum(heads.values()))]
     return np.array(votes + amounts, float)

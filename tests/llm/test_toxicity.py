@@ -72,6 +72,25 @@ def test_label_model_finds_accuracies():
     assert any({q, k} == {0, 1} for q, k in zip(model.parents[1], range(m), strict=True))
 
 
+def test_shouting_reads_the_whole_text():
+    calm, loud = "some calm words that go on and on. ", "SOME LOUD WORDS THAT GO ON AND ON! "
+    vote = lambda t: tox.evidence(t, tox.Lexicon())[tox.VOTERS.index("shouting")]
+    assert vote(calm * 60 + loud * 100) == 1 and vote(loud * 60 + calm * 100) == 0
+    rng = random.Random(2)
+    for _ in range(2000):
+        text = "".join(rng.choice("aB1 éÉßǅⅠⒶ文😀ʰ") for _ in range(rng.randrange(30)))
+        assert tox.is_shouting(text) == (sum(c.isupper() for c in text) > 0.5 * sum(c.isalpha() for c in text)), text
+
+
+def test_long_words_vote(spark):
+    """Words beyond 40 letters are learned whole: one of the same beginning and other ending has no vote."""
+    bad, good = "文" * 60 + "甲", "文" * 60 + "乙"
+    rows = [(k, f"{bad} b{'xyz'[k % 3] * (k % 7)} {k}" if k % 2 else f"{good} {k}", k % 2) for k in range(300)]
+    lexicon = tox.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), tox.Settings())
+    word = tox.VOTERS.index("word")
+    assert tox.evidence(f"a {bad}.", lexicon)[word] == 1 and tox.evidence(f"a {good}.", lexicon)[word] == 0
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = op4_toxicity(spark, sf_dir).collect()
