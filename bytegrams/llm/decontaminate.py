@@ -101,9 +101,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_grams:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_grams: int = 200_000) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id isn't contaminated."""
-    bad = decontaminate(docs, benchmark, n, max_grams).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of docs, all columns, whose own text isn't contaminated, whatever other rows have their id."""
+    content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    # the text's hash goes through in the place of the id, as it is the text that is judged
+    named = docs.select(content.alias("doc_id"), "text")
+    bad = decontaminate(named, benchmark, n, max_grams).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, content == F.col("__bad"), "left_anti")
 
 
 ORACLE = r"""

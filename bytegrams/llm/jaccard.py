@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytegrams.llm import kernels as kn
-from bytegrams.llm.common import bounded_rows, cut, texts
+from bytegrams.llm.common import bounded_rows, cut
 from bytegrams.llm.components import components
 
 GROUPS = 64
@@ -352,6 +352,31 @@ def pieces_of(rows: DataFrame, points: DataFrame) -> DataFrame:
     return placed.join(points.select("sig", "n", "point"), "sig").groupBy("key", "i", "j").agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1)
 
 
+#: Stands for a null id.
+NO_ID = 2**63 - 1
+
+
+def _id_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+
+
+def _content_of(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def classed(docs: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
+    """Per row of docs: doc_id (NO_ID for null), content, n, and the smallest (doc_id, content) of what it is linked with
+    as the struct ``least``, which is null for a row without shingles."""
+    docs = docs.select(_id_of(docs).alias("doc_id"), _content_of(docs).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
+    every = cut(nodes_of(docs, size))
+    nodes = every.filter("key IS NULL")
+    points = cut(nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "content", "n", "point", "fine")).alias("x")).select("sig", "x.*"))
+    found = components(link_nodes(docs, points, common_shingles(every), size, percent, rounds))
+    rows = nodes.join(found, F.col("sig") == F.col("node"), "left").select("doc_id", "content", "n", F.coalesce("component", "sig").alias("class"))
+    least = points.join(found, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("component", "sig").alias("class")).agg(F.min(F.struct("doc_id", "content")).alias("least"))
+    return rows.join(least, "class", "left").select("doc_id", "content", "n", "least")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -361,26 +386,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     null id are linked, but name no component; one of such rows alone has
     null. No rows: no rows. Further columns are ignored.
     """
-    docs = texts(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    every = cut(nodes_of(docs, size))
-    nodes = every.filter("key IS NULL")
-    points = cut(nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "content", "n", "point", "fine")).alias("x")).select("sig", "x.*"))
-    found = components(link_nodes(docs, points, common_shingles(every), size, percent, rounds))
-    least = nodes.join(found, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "sig").alias("class"))
-    smallest = points.join(found, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("component", "sig").alias("class")).agg(F.min("doc_id").alias("component_id"))
-    out = least.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    none = lambda c: F.when(F.col(c) != 2**63 - 1, F.col(c)).alias(c)
+    out = classed(docs, size, percent, rounds).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
+    none = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(none("doc_id"), "n_shingles", none("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that stand for their component: those with its smallest id.
+    """The rows of docs, all columns, that stand for what they are linked with: one row of each component, of its smallest
+    id and of that id's smallest content. Null ids come last.
 
-    Rows of null id stay if they are linked with nothing.
+    Rows are told apart by id and text. Rows of null id, and rows that share an id, stay unless they are themselves linked
+    with a row that stays. Any one stays of rows whose id and text are the same; those without shingles all stay.
     """
-    found = near_duplicates(docs, size, percent)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    rows = classed(docs, size, percent, 4).filter("least IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("times"))
+    stands = (F.col("least.doc_id") == F.col("__id")) & (F.col("least.content") == F.col("__content"))
+    moved = cut(rows.select("__id", "__content", stands.alias("stands"), "times").filter("NOT stands OR times > 1"))
+    same = lambda: (_id_of(docs) == F.col("__id")) & (_content_of(docs) == F.col("__content"))
+    kept = docs.join(moved.select("__id", "__content"), same(), "left_anti")
+    repeated = moved.filter("stands").select("__id", "__content")
+    if repeated.isEmpty():
+        return kept
+    return kept.union(docs.join(repeated, same()).dropDuplicates(["__id", "__content"]).drop("__id", "__content"))
 
 
 #: All pairs that share a shingle; fit for small tables.

@@ -55,3 +55,14 @@ def test_brute_force(spark, most):
     nothing = dec.decontaminate(d, b.limit(0)).collect()
     assert len(nothing) == len(docs) and not any(r.contaminated or r.n_hit or r.n_items for r in nothing)
     assert dec.decontaminate(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_clean_rows_stay(spark, most):
+    """One contaminated row takes no other row of null id or of its own id with it."""
+    bad, clean = "a b c d e f g h i j k l", "nothing of it"
+    rows = [(None, bad), (None, clean), (None, clean), (None, None), (3, bad + " m"), (3, clean), (3, "else"), (4, bad)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_hit int").repartition(3)
+    kept = dec.keep_clean(docs, spark.createDataFrame([(1, bad)], "item_id long, text string"), max_grams=most)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in rows if not (t or "").startswith(bad)), key=str)

@@ -77,6 +77,20 @@ def test_large_group(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows of null or repeated id are judged one by one, and copies of one id leave a row."""
+    text = lambda k: " ".join("t%d_%d" % (k, j) for j in range(20))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (None, None), (None, None), (None, "")]
+    rows += [(5, text(1) + " more"), (5, text(4)), (5, text(5)), (6, text(6)), (6, text(6)), (6, text(7)), (7, text(7)), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, sig int, content string").repartition(3)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (None, None), (None, None), (None, ""), (5, text(4)), (5, text(5)), (6, text(6)), (6, text(7)), (8, ""), (8, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    unique = docs.dropDuplicates(["doc_id", "text"]).filter("text <> ''")
+    assert sorted(((r.doc_id, r.text) for r in jaccard.keep_one(unique).collect()), key=str) == sorted((w for w in want if w[1]), key=str)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     for _ in range(300):
