@@ -1,51 +1,62 @@
 """N-gram Jaccard join with count vectors in R-trees.
 
 Documents link when 100 |A n B| >= 80 |A u B| for their sets of word shingles.
-Equal sets are one node. Shingles are dealt into 64 groups by hash, and a
-set's counts by group are its point. Two sets share at most the sum of the
-coordinate minima of their points, which bounds their similarity; an R-tree
-over points bounds a whole box by its corner of largest coordinates.
+Equal sets are one node. Shingles are dealt into groups by hash, and a set's
+counts by group are its point. Two sets share at most the sum of the minima of
+their coordinates; an R-tree over points bounds a whole box by its corner of
+largest coordinates.
 
-Boxes of random sets overlap in 64 dimensions, so one tree over a corpus would
-prune little. The trees are built inside blocks that lose no link:
+Boxes of random sets overlap in many dimensions, so one tree over a corpus
+would prune little. The trees are built in blocks that lose no link:
 
 * a set's first d + 1 shingles in a fixed order are its block keys, where d
   bounds how many of its shingles a linked set can lack (prefix filter), so
   linked sets have a block in common. The first shingle that they share tells
   that all before it differ: the places of both add up to what may differ at
   most (positional filter);
-* shingles that many documents have come last in that order, whatever their
-  hash, so a common passage makes blocks only for texts that are little else.
-  Any order is right; this one only saves work;
-* in each block, every node first meets the block's smallest node; links that
-  hold make components, and settled blocks are done;
-* what is left goes through R-trees, in pieces of bounded size, for pairs of
-  different components. All surviving pairs are verified on their sets.
+* shingles that many documents have come last in that order, so a common
+  passage makes blocks only for texts that are little else. Any order is right;
+* the tree of a block joins its nodes to clusters by pairs that finer points
+  allow. Of these pairs only a spanning forest leaves the task, so a block of m
+  nodes makes m - 1 rows at most, however many of them are alike;
+* linked sets are in one cluster, and few others are. Clusters get their sets,
+  and a tree in each finds the pairs that are verified, again a spanning forest.
+
+A block or cluster too large for a task is cut into pieces by size, and every
+two pieces whose sizes allow a link meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytegrams.llm import kernels as kn
 from bytegrams.llm.common import bounded_rows, cut
 from bytegrams.llm.components import components
 
+#: Coordinates of a point in a tree.
 GROUPS = 64
+#: A node's fine point has about a group for each eight shingles, a byte each, in powers of two between these.
+FINE, FINE_FULL = (GROUPS, 1024), 255
 #: Counts from here on mean "any number".
 FULL = np.iinfo(np.uint16).max
-#: A node's fine point has about a group for each four shingles, a byte each, in powers of two between these.
-FINE, FINE_FULL = (64, 1 << 16), 255
-#: Ids that may be broadcast: 8 bytes each, a few times that as a hash table.
+#: Ids that may be broadcast: 16 bytes each, a few times that as a hash table.
 MOST_IDS = 500_000
-#: Nodes of a block that are compared in one piece.
-PIECE = 256
-LEAF = 16
+#: Nodes of a block, and shingles of a cluster, that a task compares among themselves.
+PIECE, PIECE_SHINGLES = 8192, 2_000_000
+#: Children of a box.
+FAN = 16
+#: Groups of so many rows at most are trees of one level, which are searched all at once.
+SMALL = 32
+#: Nodes nearest to the middle of a group, which ask first.
+LEADERS = 4
 #: Shingles whose repeats are counted together before Spark adds them up.
 TOGETHER = 2_000_000
 #: Shingles that come last: the most frequent ones, so many at most, of those counted so often at least.
@@ -74,27 +85,66 @@ def _sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(size, signature) of each document's set; equal sets have equal signatures."""
+def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two signatures) of each document's set; together they name the set with 128 bits."""
     size = np.bincount(doc, minlength=n)
-    return size, kn.mix(_sums(kn.mix(h), doc, n) + size.astype(np.uint64))
+    one = kn.mix(h)
+    return size, *(kn.mix(_sums(x, doc, n) + size.astype(np.uint64)) for x in (one, kn.mix(one + np.uint64(1))))
 
 
 def fine_points(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Counts by the first bits of the hash; a point folds into one of fewer groups by adding neighbours."""
-    bits = np.clip(np.frexp(np.maximum(n, 1) / 4)[1], *(x.bit_length() - 1 for x in FINE))
+    bits = np.clip(np.frexp(np.maximum(n, 1) / 8)[1], *(x.bit_length() - 1 for x in FINE))
     base = np.r_[0, np.cumsum(1 << bits)]
     count = np.bincount(base[doc] + (h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64), minlength=int(base[-1]))
     raw = np.minimum(count, FINE_FULL).astype(np.uint8).tobytes()
     return [raw[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
 
-def fine_shared(a: bytes, b: bytes) -> int:
-    """The sum of the minima of two fine points."""
-    x, y = (np.frombuffer(p, np.uint8).astype(np.int64) for p in (a, b))
-    x, y = (np.where(p == FINE_FULL, 1 << 40, p) for p in (x, y))
-    fewer = min(len(x), len(y))
-    return int(np.minimum(x.reshape(fewer, -1).sum(1), y.reshape(fewer, -1).sum(1)).sum())
+class FinePoints:
+    """Fine points of a batch of nodes, by their number of groups."""
+
+    def __init__(self, raw: list[bytes]):
+        width = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.width, self.row = width, np.zeros(len(raw), np.int64)
+        self.of: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            self.row[at] = np.arange(len(at))
+            counts = np.frombuffer(b"".join([raw[k] for k in at.tolist()]), np.uint8).reshape(len(at), w).astype(np.uint16)
+            self.of[w, w] = np.where(counts == FINE_FULL, np.uint16(FULL), counts)
+
+    def folded(self, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self.of:
+            full = self.of[width, width].reshape(-1, to, width // to).astype(np.int64).sum(2)
+            self.of[width, to] = np.minimum(full, FULL).astype(np.uint16)
+        return self.of[width, to]
+
+    def coarse(self) -> np.ndarray:
+        out = np.zeros((len(self.row), GROUPS), np.uint16)
+        for w in np.unique(self.width).tolist():
+            out[self.width == w] = self.folded(w, GROUPS)
+        return out
+
+    def shared(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """At most so many shingles do the nodes q and p share, pair by pair."""
+        out = np.zeros(len(q), np.int64)
+        kinds = self.width[q] << 20 | self.width[p]
+        for kind in np.unique(kinds).tolist():
+            at = np.flatnonzero(kinds == kind)
+            a, b = kind >> 20, kind & (1 << 20) - 1
+            fewer = min(a, b)
+            out[at] = least_sums(self.folded(a, fewer), self.row[q[at]], self.folded(b, fewer), self.row[p[at]])
+        return out
+
+
+def least_sums(a: np.ndarray, q: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Sums of the minima of a[q] and b[p], pair by pair."""
+    out = np.empty(len(q), np.int64)
+    step = max(1, (1 << 23) // max(1, a.shape[1]))
+    for k in range(0, len(q), step):
+        out[k : k + step] = np.minimum(a[q[k : k + step]], b[p[k : k + step]]).sum(1)
+    return out
 
 
 def once(n: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -105,34 +155,29 @@ def once(n: np.ndarray, sig: np.ndarray) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, content, text) -> (doc_id, content, n, sig, point binary, fine binary, key, times).
+    """docs (row, doc_id, content, text) -> (row, doc_id, content, n, sig, sig2, fine binary, key, times).
 
-    A row a document, whose last two columns are null, and whose sig and
-    points are null for an empty set; and rows (key, times) for shingles that
-    several documents of a part of the input have.
+    A row a document, whose last two columns are null, and whose signatures
+    and point are null for an empty set; and rows (key, times) for shingles
+    that several documents of a part of the input have.
     """
-    names = ["doc_id", "content", "n", "sig", "point", "fine", "key", "times"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    schema = pa.schema([(c, pa.int64()) for c in ("row", "doc_id", "content", "n", "sig", "sig2")] + [("fine", pa.binary()), ("key", pa.int64()), ("times", pa.int64())])
 
     def repeated(keys: list[np.ndarray]) -> pa.RecordBatch:
         key, times = np.unique(np.concatenate(keys), return_counts=True)
         key, times = key[times > 1], times[times > 1]
-        return pa.RecordBatch.from_arrays([*[pa.nulls(len(key), t) for t in types[:6]], kn.signed(key), pa.array(times.astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(key), t) for t in schema.types[:7]], kn.signed(key), pa.array(times.astype(np.int64))], schema=schema)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         for batch in batches:
             for part in kn.parts(batch, "text"):
                 doc, h = sets_of(part.column("text"), size)
-                n, sig = signatures(doc, h, part.num_rows)
-                point = np.bincount(doc * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=part.num_rows * GROUPS).reshape(-1, GROUPS)
-                raw = np.minimum(point, FULL).astype("<u2").tobytes()
-                width = 2 * GROUPS
+                n, sig, sig2 = signatures(doc, h, part.num_rows)
                 none = n == 0
-                points = [None if none[k] else raw[k * width : (k + 1) * width] for k in range(len(n))]
-                fine = [None if none[k] else p for k, p in enumerate(fine_points(doc, h, n))]
-                empty = [pa.nulls(len(n), t) for t in types[6:]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64), mask=none), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), *empty], names)
+                fine = [None if empty else p for empty, p in zip(none.tolist(), fine_points(doc, h, n), strict=True)]
+                names = [pa.array(x.view(np.int64), mask=none) for x in (sig, sig2)]
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("row", "doc_id", "content")), pa.array(n.astype(np.int64)), *names, pa.array(fine, pa.binary()), *[pa.nulls(len(n), pa.int64())] * 2], schema=schema)
                 keys.append(h[once(n, sig)[doc] > 0])
                 if sum(map(len, keys)) > TOGETHER:
                     yield repeated(keys)
@@ -140,7 +185,7 @@ def nodes_of(docs: DataFrame, size: int) -> DataFrame:
         if keys:
             yield repeated(keys)
 
-    return docs.mapInArrow(found, "doc_id long, content long, n long, sig long, point binary, fine binary, key long, times long")
+    return docs.mapInArrow(found, "row long, doc_id long, content long, n long, sig long, sig2 long, fine binary, key long, times long")
 
 
 def common_shingles(nodes: DataFrame) -> np.ndarray:
@@ -151,31 +196,27 @@ def common_shingles(nodes: DataFrame) -> np.ndarray:
 
 
 def keys_of(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) -> (key, sig, place): the first shingles of each set, by whether they are common, then by hash,
-    and where in that order they are. Equal sets of a part are taken once."""
+    """docs (text) -> (key, sig, n, place): the first shingles of each set, by whether they are common, then by hash, and
+    where in that order they are. Equal sets of a part are taken once."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kn.parts(batch, "text"):
                 doc, h = sets_of(part.column("text"), size)
-                n, sig = signatures(doc, h, part.num_rows)
+                n, sig, _ = signatures(doc, h, part.num_rows)
                 inside = once(n, sig)[doc] > 0
                 doc, h = doc[inside], h[inside]
                 at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
                 last = common[at] == h if len(common) else np.zeros(len(h), bool)
-                order = np.lexsort((h, last, doc))
+                order = np.lexsort((last, doc))  # by hash already
                 doc, h = doc[order], h[order]
                 place = kn.spread(np.bincount(doc, minlength=part.num_rows))
                 # a linked set has percent percent of these at least
                 keep = place <= n[doc] - (n[doc] * percent + 99) // 100
-                yield pa.RecordBatch.from_arrays([kn.signed(h[keep]), kn.signed(sig[doc[keep]]), pa.array(place[keep].astype(np.int32))], ["key", "sig", "place"])
+                of = doc[keep]
+                yield pa.RecordBatch.from_arrays([kn.signed(h[keep]), kn.signed(sig[of]), pa.array(n[of].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["key", "sig", "n", "place"])
 
-    return docs.select("text").mapInArrow(found, "key long, sig long, place int")
-
-
-def _points(column: pa.Array) -> np.ndarray:
-    out = np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64)
-    return np.where(out == FULL, 1 << 40, out)
+    return docs.select("text").mapInArrow(found, "key long, sig long, n int, place int")
 
 
 def _may_link(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -189,206 +230,371 @@ def _may_differ(places: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarr
     return places * (100 + percent) <= sizes * (100 - percent)
 
 
-def tree_pairs(points: np.ndarray, n: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of left, one of right) whose points and places allow a link, by a packed R-tree over right.
+@dataclass
+class Tree:
+    """A packed R-tree. levels[0] are the rows in ``order``; each further level has a box for FAN of the one below: its
+    corner of largest counts, its smallest and largest size, its smallest place."""
+
+    order: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def packed(points: np.ndarray, n: np.ndarray, place: np.ndarray) -> Tree:
+    """Rows are sorted into slabs by size, and in a slab by the two coordinates of largest spread."""
+    slab = np.argsort(np.argsort(n, kind="stable"), kind="stable") // (FAN * FAN)
+    one, two = np.argsort(-points.var(0))[:2]
+    order = np.lexsort((points[:, two], points[:, one], slab))
+    levels = [(points[order], n[order], n[order], place[order])]
+    while len(levels[-1][1]) > FAN:
+        corner, small, large, near = levels[-1]
+        begin = np.arange(0, len(small), FAN)
+        levels.append((np.maximum.reduceat(corner, begin, axis=0), np.minimum.reduceat(small, begin), np.maximum.reduceat(large, begin), np.minimum.reduceat(near, begin)))
+    return Tree(order, levels)
+
+
+def search(tree: Tree, points: np.ndarray, n: np.ndarray, place: np.ndarray, queries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, bound): the pairs that points, sizes and places allow, and how many shingles they share at most."""
+    top = len(tree.levels[-1][1])
+    q, box = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
+    bound = np.zeros(0, np.int64)
+    for depth in range(len(tree.levels) - 1, -1, -1):
+        corner, small, large, near = tree.levels[depth]
+        # the size in the box that suits the query best
+        ok = _may_differ(place[q] + near[box], n[q] + large[box], percent) & _may_link(large[box], n[q], np.clip(n[q], small[box], large[box]), percent)
+        q, box = q[ok], box[ok]
+        bound = least_sums(points, q, corner, box)
+        # where no more than bound can be shared, a smaller set suits better
+        ok = _may_link(bound, n[q], np.clip(np.minimum(n[q], bound), small[box], large[box]), percent)
+        q, box, bound = q[ok], box[ok], bound[ok]
+        if depth:
+            inside = np.minimum(FAN, len(tree.levels[depth - 1][1]) - box * FAN)
+            q, box = np.repeat(q, inside), np.repeat(box * FAN, inside) + kn.spread(inside)
+    return q, tree.order[box], bound
 
-    The tree is sorted by size, then by its two coordinates of largest spread; a leaf's box is kept as its largest
-    coordinates, its range of sizes and its smallest place.
-    """
-    if len(right) > 2 * LEAF:
-        axes = np.argsort(-points[right].astype(float).var(0))[:2]
-        right = right[np.lexsort((points[right, axes[1]], points[right, axes[0]], place[right], n[right]))]
-    begin = np.arange(0, len(right), LEAF)
-    corner = np.maximum.reduceat(points[right], begin, axis=0)
-    small, large, near = np.minimum.reduceat(n[right], begin), np.maximum.reduceat(n[right], begin), np.minimum.reduceat(place[right], begin)
-    nq = n[left][:, None]
-    nearest = np.clip(nq, small, large)  # the size in the box that suits the query best
-    hit_q, hit_leaf = np.nonzero(_may_differ(place[left][:, None] + near, nq + large, percent) & _may_link(np.minimum(nq, large), nq, nearest, percent))
-    bound = np.minimum(points[left[hit_q]], corner[hit_leaf]).sum(1)
-    # where no more than bound can be shared, a smaller set suits better
-    nearest = np.clip(np.minimum(n[left[hit_q]], bound), small[hit_leaf], large[hit_leaf])
-    ok = _may_link(bound, n[left[hit_q]], nearest, percent)
-    hit_q, hit_leaf = hit_q[ok], hit_leaf[ok]
-    inside = np.minimum(LEAF, len(right) - begin[hit_leaf])
-    q = left[np.repeat(hit_q, inside)]
-    p = right[np.repeat(begin[hit_leaf], inside) + kn.spread(inside)]
-    ok = _may_differ(place[q] + place[p], n[q] + n[p], percent)
-    q, p = q[ok], p[ok]
-    ok = _may_link(np.minimum(points[q], points[p]).sum(1), n[q], n[p], percent)
-    return q[ok], p[ok]
 
+Check = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def leaf_pairs(points: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for blocks that are no larger than two leaves, all of them at once; pairs of different components only."""
-    rest = np.repeat(size, size) - 1 - kn.spread(size)  # rows of the block after each row
+
+class Forest:
+    """Components of the rows 0 to m - 1, and the pairs that joined them."""
+
+    def __init__(self, m: int):
+        self.of, self.pairs = np.arange(m), []
+
+    def join(self, q: np.ndarray, p: np.ndarray) -> None:
+        for a, b in zip(q.tolist(), p.tolist(), strict=True):
+            if self.of[a] != self.of[b]:
+                self.pairs.append((a, b))
+                self.of[self.of == self.of[b]] = self.of[a]
+
+
+def tree_forest(points: np.ndarray, n: np.ndarray, place: np.ndarray, half: np.ndarray, percent: int, check: Check) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that the tree finds and check(q, p) confirms.
+
+    Pairs are of different halves where there are two. The rows nearest to
+    the middle ask first. What they are joined with need not ask any more:
+    whoever isn't in that component asks, and meets it.
+    """
+    tree, forest, across = packed(points, n, place), Forest(len(n)), bool(half.any())
+    middle = np.median(points, axis=0)
+    central = np.argsort(-np.minimum(points, middle).sum(1) / np.maximum(points, middle).sum(1), kind="stable")
+
+    def settle(queries: np.ndarray) -> None:
+        q, p, bound = search(tree, points, n, place, queries, percent)
+        keep = (forest.of[q] != forest.of[p]) & ((half[q] != half[p]) | (not across))
+        q, p, bound = q[keep], p[keep], bound[keep]
+        order = np.argsort(-bound / (n[q] + n[p]), kind="stable")
+        q, p = q[order], p[order]
+        tries = 1
+        while len(q):  # of each query and component the likeliest first, then more at a time
+            group = np.lexsort((np.arange(len(q)), forest.of[p], q))
+            new = np.ones(len(q), bool)
+            new[1:] = (q[group][1:] != q[group][:-1]) | (forest.of[p[group]][1:] != forest.of[p[group]][:-1])
+            rank = np.empty(len(q), np.int64)
+            rank[group] = kn.spread(np.diff(np.r_[np.flatnonzero(new), len(q)]))
+            now = rank < tries
+            ok = check(q[now], p[now])
+            forest.join(q[now][ok], p[now][ok])
+            q, p = q[~now], p[~now]
+            keep = forest.of[q] != forest.of[p]
+            q, p = q[keep], p[keep]
+            tries *= 4
+
+    settle(central[:1])
+    settle(central[1:LEADERS])
+    step = max(1, (1 << 19) // len(n))
+    k = LEADERS
+    while k < len(central):
+        queries = central[k : k + step]
+        k += step
+        if len(queries := queries[forest.of[queries] != forest.of[central[0]]]):
+            settle(queries)
+    return forest.pairs
+
+
+def small_forest(points: np.ndarray, n: np.ndarray, place: np.ndarray, half: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int, check: Check) -> list[tuple[int, int]]:
+    """The same for many small groups at once: rows begin to begin + size are a group, whose tree has one level."""
+    if not len(begin):
+        return []
+    rest = np.repeat(size, size) - 1 - kn.spread(size)  # rows of the group after each row
     row = np.repeat(begin, size) + kn.spread(size)
+    across = np.repeat(np.maximum.reduceat(half[row], np.cumsum(size) - size) > 0, size)
     q = np.repeat(row, rest)
     p = q + 1 + kn.spread(rest)
-    ok = (comp[q] != comp[p]) & _may_differ(place[q] + place[p], n[q] + n[p], percent) & _may_link(np.minimum(n[q], n[p]), n[q], n[p], percent)
+    ok = (half[q] != half[p]) | ~np.repeat(across, rest)
+    q, p = q[ok], p[ok]
+    ok = _may_differ(place[q] + place[p], n[q] + n[p], percent) & _may_link(n[p], n[q], n[p], percent)
     q, p = q[ok], p[ok]
-    ok = np.zeros(len(q), bool)
-    for k in range(0, len(q), 100_000):
-        a, b = q[k : k + 100_000], p[k : k + 100_000]
-        ok[k : k + 100_000] = _may_link(np.minimum(points[a], points[b]).sum(1), n[a], n[b], percent)
-    return q[ok], p[ok]
+    ok = _may_link(least_sums(points, q, points, p), n[q], n[p], percent)
+    q, p = q[ok], p[ok]
+    ok = check(q, p)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(y, y)
+        return x
+
+    pairs = []
+    for a, b in zip(q[ok].tolist(), p[ok].tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            pairs.append((a, b))
+    return pairs
+
+
+def forests(points: np.ndarray, n: np.ndarray, place: np.ndarray, half: np.ndarray, begin: np.ndarray, percent: int, check: Check) -> np.ndarray:
+    """Pairs of rows that span the components of each group; groups begin at ``begin`` and end where the next begins."""
+    size = np.diff(np.r_[begin, len(n)])
+    small = (size <= SMALL) & (size > 1)
+    pairs = []
+    few, few_size = begin[small], size[small]
+    share = np.cumsum(few_size**2) // 1_000_000
+    for k in np.unique(share):
+        at = share == k
+        pairs += small_forest(points, n, place, half, few[at], few_size[at], percent, check)
+    for lo, m in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        s = slice(lo, lo + m)
+        pairs += [(a + lo, b + lo) for a, b in tree_forest(points[s], n[s], place[s], half[s], percent, lambda q, p, lo=lo: check(q + lo, p + lo))]
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+MEET = ["group", "i", "j"]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of a part that is sorted by MEET, in batches that end between groups, and where the groups begin."""
+    held: list[pa.RecordBatch] = []
+
+    def ends(batch: pa.RecordBatch) -> np.ndarray:
+        keys = [batch.column(c).to_numpy() for c in MEET]
+        return np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        first, last = held[0], batch
+        if all(first.column(c)[0] == last.column(c)[-1] for c in MEET):
+            continue  # one group so far
+        rows = pa.concat_batches(held)
+        begin = ends(rows)
+        yield rows.slice(0, int(begin[-1])), begin[:-1]
+        held = [rows.slice(int(begin[-1]))]
+    if held:
+        yield pa.concat_batches(held), np.zeros(1, np.int64)
+
+
+def meeting(rows: DataFrame, weight: Column, most: int, percent: int, name: str) -> DataFrame:
+    """rows (group, n, a column called name, ...) with meets array<struct<i,j,half>>: where each row meets others of its group.
+
+    A group whose weights add up to ``most`` is one piece. A larger one is cut
+    by size into classes that are so wide that linked sets are of the same or
+    of neighbouring ones, and a class that is too large by ``name``. Every two
+    pieces that may have links meet in (i, j): half 0 of them with half 1.
+    """
+    step = math.log(100 / percent) * 1.001
+    rows = rows.withColumn("class", F.floor(F.log("n") / F.lit(step)).cast("int"))
+    weights = rows.groupBy("group", "class").agg(F.sum(weight).alias("weight"))
+    large = weights.groupBy("group").agg(F.sum("weight").alias("weight"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("weight") / most).cast("int").alias("parts")))).alias("parts"))
+    joined = rows.join(large.filter(F.col("weight") > most).select("group", "parts"), "group", "left")
+    parts = lambda c: F.coalesce(F.try_element_at("parts", c), F.lit(0))
+    piece = lambda c, r: c.cast("long") * (1 << 32) + r
+    own = piece(F.col("class"), F.pmod(F.xxhash64(name), parts(F.col("class"))))
+    others = F.flatten(F.transform(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1), lambda c: F.when(parts(c) > 0, F.transform(F.sequence(F.lit(0), parts(c) - 1), lambda r: piece(c, r))).otherwise(F.array().cast("array<bigint>"))))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("half")))
+    meets = F.transform(others, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), (own > o).cast("int").alias("half")))
+    return joined.withColumn("meets", F.when(F.col("parts").isNull(), whole).otherwise(meets)).drop("class", "parts")
 
 
-def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """blocks (members array<struct<half,sig,component,place,n,point>>) -> (u, v), once a batch: pairs of different components.
+def met(rows: DataFrame) -> DataFrame:
+    """rows with meets -> a row for each of them, those of one meeting together."""
+    each = rows.withColumn("m", F.explode("meets")).select("m.*", *[c for c in rows.columns if c != "meets"])
+    return each.repartition(*MEET).sortWithinPartitions(*MEET)
 
-    half 0 meets half 1; where all are of half 0, they meet each other.
-    """
+
+def partnered(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (group, i, j, half, sig, n, place) that another one of their meeting suits in size and place; repeats once."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(0)
-            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            half, sig, comp, place, n = (flat.field(k).to_numpy() for k in ("half", "sig", "component", "place", "n"))
-            place = place.astype(np.int64)
-            points = _points(flat.field("point"))
-            size = np.diff(edges)
-            small = (size <= 2 * LEAF) & (np.maximum.reduceat(half, edges[:-1]) == 0)
-            q, p = leaf_pairs(points, n, place, comp, edges[:-1][small], size[small], percent)
-            us, vs = [np.maximum(sig[q], sig[p])], [np.minimum(sig[q], sig[p])]
-            for lo, hi in zip(edges[:-1][~small].tolist(), edges[1:][~small].tolist(), strict=True):
-                rows = np.arange(lo, hi)
-                left, right = rows[half[lo:hi] == 0], rows[half[lo:hi] == 1]
-                if not len(left) or not len(right):
-                    left = right = rows
-                q, p = tree_pairs(points, n, place, left, right, percent)
-                ok = comp[q] != comp[p]
-                us.append(np.maximum(sig[q], sig[p])[ok])
-                vs.append(np.minimum(sig[q], sig[p])[ok])
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        for batch, begin in whole_groups(batches):
+            half, sig, n, place = (batch.column(c).to_numpy().astype(np.int64) for c in ("half", "sig", "n", "place"))
+            number = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(n)]))
+            order = np.lexsort((half, sig, number))
+            same = (number[order][1:] == number[order][:-1]) & (sig[order][1:] == sig[order][:-1])
+            order = order[np.r_[True, ~same]]
+            half, n, place, number = half[order], n[order], place[order], number[order]
+            begin = np.searchsorted(number, np.arange(len(begin)))
+            size = np.diff(np.r_[begin, len(n)])
+            keep = size[number] > SMALL
+            few = (size <= SMALL) & (size > 1)
+            share = np.cumsum(np.where(few, size**2, 0)) // 1_000_000
+            for k in np.unique(share[few]):
+                b, s = begin[few & (share == k)], size[few & (share == k)]
+                row = np.repeat(b, s) + kn.spread(s)
+                rest = np.repeat(s, s) - 1 - kn.spread(s)
+                q = np.repeat(row, rest)
+                p = q + 1 + kn.spread(rest)
+                ok = _may_differ(place[q] + place[p], n[q] + n[p], percent) & _may_link(n[p], n[q], n[p], percent)
+                keep[q[ok]] = keep[p[ok]] = True
+            yield batch.take(pa.array(order[keep]))
+
+    return rows.mapInArrow(found, rows.schema)
+
+
+def block_forests(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (group, i, j, half, node, n, place, fine), meeting by meeting -> (u, v): nodes that finer points let link."""
 
-    return blocks.select("members").mapInArrow(found, "u long, v long")
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begin in whole_groups(batches):
+            half, node, n, place = (batch.column(c).to_numpy().astype(np.int64) for c in ("half", "node", "n", "place"))
+            fine = FinePoints(batch.column("fine").to_pylist())
+            pairs = node[forests(fine.coarse(), n, place, half, begin, percent, lambda q, p: _may_link(fine.shared(q, p), n[q], n[p], percent))]
+            pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
+    return rows.mapInArrow(found, "u long, v long")
 
-def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose fine points allow a link."""
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                shared = np.array([fine_shared(a, b) for a, b in zip(batch.column("pu").to_pylist(), batch.column("pv").to_pylist(), strict=True)])
-                ok = _may_link(shared, batch.column("nu").to_numpy(), batch.column("nv").to_numpy(), percent)
-                yield batch.select(["u", "v"]).filter(pa.array(ok))
+def shared_shingles(ids: np.ndarray, edge: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How many ids the sets q and p share, pair by pair; set k has ids[edge[k] : edge[k + 1]], each once."""
+    out = np.zeros(len(q), np.int64)
+    mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    order = np.argsort(q, kind="stable")
+    begin = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]]) if len(q) else np.zeros(0, np.int64)
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(q)], strict=True):
+        own = ids[edge[q[order[lo]]] : edge[q[order[lo]] + 1]]
+        mark[own] = True
+        for k in range(lo, hi, 256):
+            at = order[k : min(k + 256, hi)]
+            size = edge[p[at] + 1] - edge[p[at]]
+            hit = mark[ids[np.repeat(edge[p[at]], size) + kn.spread(size)]]
+            out[at] = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        mark[own] = False
+    return out
 
-    u, v = (points.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"p{x}")) for x in "uv")
-    sized = pairs.join(u, "u").join(v, "v").filter("100 * least(nu, nv) >= %d * greatest(nu, nv)" % percent)
-    return sized.select("u", "v", "nu", "nv", "pu", "pv").mapInArrow(found, "u long, v long")
 
+def verified_forests(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (group, i, j, half, node, shingles), meeting by meeting -> (u, v): links that span its linked nodes."""
 
-def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes that link, by their sets; pairs is a checkpoint."""
-    if pairs.isEmpty():
-        return pairs
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begin in whole_groups(batches):
+            lists = batch.column("shingles")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            h = lists.values.to_numpy().view(np.uint64)
+            half, node = (batch.column(c).to_numpy().astype(np.int64) for c in ("half", "node"))
+            # groups go in parts of about PIECE_SHINGLES shingles
+            part = (offsets[begin] - offsets[0]) // PIECE_SHINGLES
+            starts = begin[np.r_[True, part[1:] != part[:-1]]]
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+                edge = offsets[lo : hi + 1] - offsets[lo]
+                own = h[offsets[lo] : offsets[hi]]
+                n = np.diff(edge)
+                doc = np.repeat(np.arange(hi - lo), n)
+                points = np.bincount(doc * GROUPS + (own >> np.uint64(58)).astype(np.int64), minlength=(hi - lo) * GROUPS).reshape(-1, GROUPS)
+                points = np.minimum(points, FULL).astype(np.uint16)
+                ids = np.unique(own, return_inverse=True)[1]
+                inside = begin[(begin >= lo) & (begin < hi)] - lo
+                check = lambda q, p, ids=ids, edge=edge, n=n: _may_link(shared_shingles(ids, edge, q, p), n[q], n[p], percent)
+                pairs = node[lo:hi][forests(points, n, np.zeros(hi - lo, np.int64), half[lo:hi], inside, percent, check)]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], ["u", "v"])
+
+    return rows.mapInArrow(found, "u long, v long")
+
+
+def shingled(rows: DataFrame, size: int) -> DataFrame:
+    """rows (group, meets, node, text) with the shingles of text in its place."""
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kn.parts(batch, "text"):
                 doc, h = sets_of(part.column("text"), size)
                 edge = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.ListArray.from_arrays(pa.array(edge), kn.signed(h))], ["sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("group", "meets", "node")), pa.ListArray.from_arrays(pa.array(edge), kn.signed(h))], ["group", "meets", "node", "shingles"])
 
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    # a node's text is found by id and content: several texts may have one id
-    needed = points.join(ends, "sig").select(F.col("doc_id").alias("needed"), F.col("content").alias("wanted"), "sig")
-    needed = F.broadcast(needed) if bounded_rows(needed, MOST_IDS) else needed
-    sets = docs.join(needed, (F.col("doc_id") == F.col("needed")) & (F.col("content") == F.col("wanted"))).select("sig", "text").mapInArrow(shingled, "sig long, shingles array<long>")
-    one = pairs.join(sets.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), "u")
-    two = one.join(sets.select(F.col("sig").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return two.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("union")).filter(100 * F.col("shared") >= percent * F.col("union")).select("u", "v")
+    return rows.select("group", "meets", "node", "text").mapInArrow(found, "group long, meets array<struct<i:long,j:long,half:int>>, node long, shingles array<long>")
 
 
-def link_nodes(docs: DataFrame, points: DataFrame, common: np.ndarray, size: int, percent: int, rounds: int) -> DataFrame:
+def clusters_of(docs: DataFrame, nodes: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(node, component): nodes that links connect are in one component; it may hold others."""
+    keys = keys_of(docs, size, percent, common)
+    several = keys.groupBy("key").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least <> most")
+    shared = cut(keys.join(several.select("key"), "key", "left_semi").withColumnRenamed("key", "group"))
+    blocks = partnered(met(meeting(shared, F.lit(1), PIECE, percent, "sig")), percent)
+    with_points = blocks.join(nodes.select("sig", "node", "fine"), "sig")
+    return components(block_forests(with_points.repartition(*MEET).sortWithinPartitions(*MEET), percent))
+
+
+def link_nodes(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): links between nodes, enough to connect all that the full graph of links connects."""
-    by_key = Window.partitionBy("key")
-    marked = keys_of(docs, size, percent, common).withColumn("leader", F.min("sig").over(by_key)).withColumn("last", F.max("sig").over(by_key))
-    shared = cut(marked.filter("leader <> last").select("key", "sig", "place", "leader").distinct())
-    links = shared.sparkSession.createDataFrame([], "u long, v long")
-    rows = shared.select("key", "sig", "place", F.col("sig").alias("component"), "leader", F.col("leader").alias("leader_component"))
-    tried, many = links, 0
-    for _ in range(rounds):
-        # every node meets the leader that it shares most blocks with, each time another one
-        meets = rows.filter("component <> leader_component").groupBy(F.col("sig").alias("u"), F.col("leader").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        best = cut(meets.join(tried, ["u", "v"], "left_anti").groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", "best.v"))
-        tried = tried.unionByName(best)
-        pairs = cut(bounded_pairs(best, points, percent))
-        links = cut(links.unionByName(verified(pairs, docs, points, size, percent)))
-        before, many = many, links.count()
-        found = cut(components(links))
-        rows = with_components(shared, found)
-        open_blocks = rows.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key)).filter("least <> most")
-        rows = cut(open_blocks.select("key", "sig", "place", "component", "leader", "leader_component"))
-        if rows.isEmpty():
-            return links
-        if many < 1.1 * before + 1:  # what is left has little to do with leaders
-            break
-    pieces = pieces_of(rows, points)
-    pairs = cut(bounded_pairs(block_pairs(pieces, percent).distinct(), points, percent))
-    return links.unionByName(verified(pairs, docs, points, size, percent))
-
-
-def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (key, sig, leader) with the components of sig and of leader: their own names where they have no link."""
-    one, two = (found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in ("sig", "leader"))
-    joined = rows.select("key", "sig", "place", "leader").join(one, "sig", "left").join(two, "leader", "left")
-    return joined.select("key", "sig", "place", "leader", F.coalesce("sig_c", "sig").alias("component"), F.coalesce("leader_c", "leader").alias("leader_component"))
-
-
-def pieces_of(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """Blocks cut into pieces of about PIECE nodes; each two pieces of a block meet in one row."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    cutup = rows.select("key", "sig", "place", "component").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int"))
-    meets = cutup.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"), "sig", "component", "place")
-    member = F.struct("half", "sig", "component", "place", "n", "point")
-    return placed.join(points.select("sig", "n", "point"), "sig").groupBy("key", "i", "j").agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1)
-
-
-#: Stands for a null id.
-NO_ID = 2**63 - 1
-
-
-def _id_of(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    members = clusters.select("node", F.col("component").alias("group")).join(nodes.select("node", "n", "doc_id", "content"), "node")
+    needed = cut(meeting(members, F.col("n"), PIECE_SHINGLES, percent, "node").select("group", "meets", "node", F.col("doc_id").alias("needed"), F.col("content").alias("wanted")))
+    if needed.isEmpty():
+        return needed.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    small = F.broadcast(needed) if bounded_rows(needed, MOST_IDS) else needed
+    # a node's text is found by id and content: several texts may have one id, and several rows may be the same
+    found = docs.join(small, F.col("doc_id").eqNullSafe(F.col("needed")) & (F.col("content") == F.col("wanted"))).groupBy("node").agg(*[F.first(c).alias(c) for c in ("group", "meets", "text")])
+    return verified_forests(met(shingled(found, size)), percent)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, content, text)."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), _content_of(docs).alias("content"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
 def _content_of(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
-def classed(docs: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
-    """Per row of docs: doc_id (NO_ID for null), content, n, and the smallest (doc_id, content) of what it is linked with
-    as the struct ``least``, which is null for a row without shingles."""
-    docs = docs.select(_id_of(docs).alias("doc_id"), _content_of(docs).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
-    every = cut(nodes_of(docs, size))
-    nodes = every.filter("key IS NULL")
-    points = cut(nodes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "content", "n", "point", "fine")).alias("x")).select("sig", "x.*"))
-    found = components(link_nodes(docs, points, common_shingles(every), size, percent, rounds))
-    rows = nodes.join(found, F.col("sig") == F.col("node"), "left").select("doc_id", "content", "n", F.coalesce("component", "sig").alias("class"))
-    least = points.join(found, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("component", "sig").alias("class")).agg(F.min(F.struct("doc_id", "content")).alias("least"))
-    return rows.join(least, "class", "left").select("doc_id", "content", "n", "least")
+def classed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row of docs: doc_id, content, n, and the smallest row that it is linked with as the struct ``least`` of
+    (none: whether the id is null, doc_id, content); null for a row without shingles."""
+    docs = _named(docs)
+    every = cut(nodes_of(docs.withColumn("row", F.monotonically_increasing_id()), size))
+    rows = every.filter("key IS NULL").select("row", "doc_id", "content", "n", "sig", "sig2", "fine")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
+    nodes = cut(rows.filter("sig IS NOT NULL").groupBy("sig", "sig2").agg(F.min("row").alias("node"), F.min(own).alias("least"), F.first("n").alias("n"), F.first("fine").alias("fine")))
+    clusters = clusters_of(docs, nodes, common_shingles(every), size, percent)
+    found = components(link_nodes(docs, nodes.select("node", "n", "least.doc_id", "least.content"), clusters, size, percent))
+    named = nodes.join(found, "node", "left").select("sig", "sig2", "least", F.coalesce("component", "node").alias("class"))
+    least = named.groupBy("class").agg(F.min("least").alias("least"))
+    of = named.select("sig", "sig2", "class").join(least, "class").select("sig", "sig2", "least")
+    return rows.join(of, ["sig", "sig2"], "left").select("doc_id", "content", "n", "least")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Null and empty texts have no shingles and are linked with nothing.
     Repeated rows and copies have one node; rows of one id but different
     texts are nodes of their own and share no component for that. Rows of
     null id are linked, but name no component; one of such rows alone has
-    null. No rows: no rows. Further columns are ignored.
+    null. Very long texts are sets like others. No rows: no rows. Further
+    columns are ignored.
     """
-    out = classed(docs, size, percent, rounds).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
-    none = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(none("doc_id"), "n_shingles", none("component_id"))
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return classed(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -398,10 +604,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Rows are told apart by id and text. Rows of null id, and rows that share an id, stay unless they are themselves linked
     with a row that stays. Any one stays of rows whose id and text are the same; those without shingles all stay.
     """
-    rows = classed(docs, size, percent, 4).filter("least IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("times"))
-    stands = (F.col("least.doc_id") == F.col("__id")) & (F.col("least.content") == F.col("__content"))
+    rows = classed(docs, size, percent).filter("least IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("times"))
+    stands = F.col("least.doc_id").eqNullSafe(F.col("__id")) & (F.col("least.content") == F.col("__content"))
     moved = cut(rows.select("__id", "__content", stands.alias("stands"), "times").filter("NOT stands OR times > 1"))
-    same = lambda: (_id_of(docs) == F.col("__id")) & (_content_of(docs) == F.col("__content"))
+    same = lambda: docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (_content_of(docs) == F.col("__content"))
     kept = docs.join(moved.select("__id", "__content"), same(), "left_anti")
     repeated = moved.filter("stands").select("__id", "__content")
     if repeated.isEmpty():

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from bytegrams.llm import jaccard
 from bytegrams.llm.components import components
@@ -14,7 +15,7 @@ def shingles(text, size=5):
 
 def brute(rows):
     """Sorted (doc_id, n_shingles, component_id) by comparing all pairs."""
-    ids = [2**63 - 1 if i is None else i for i, _ in rows]
+    ids = [2**63 if i is None else i for i, _ in rows]
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -31,12 +32,13 @@ def brute(rows):
     least = {}
     for k in range(len(rows)):
         least[find(k)] = min(least.get(find(k), ids[k]), ids[k])
-    name = lambda i: None if i == 2**63 - 1 else i
+    name = lambda i: None if i == 2**63 else i
     return sorted(((name(ids[k]), len(sets[k]), name(least[find(k)])) for k in range(len(rows))), key=str)
 
 
 def run(spark, rows):
-    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, sig int, content string").repartition(4)
+    """Further columns have the names that the operator uses itself."""
+    docs = spark.createDataFrame([(i, t, 5, "x", 0) for i, t in rows], "doc_id long, text string, sig int, content string, group int").repartition(4)
     return sorted(map(tuple, jaccard.near_duplicates(docs).collect()), key=str)
 
 
@@ -63,6 +65,8 @@ def test_brute_force(spark):
             rows.append((rng.randrange(10_000), " ".join(chain)))
     for _ in range(120):  # a hot passage in texts of their own
         rows.append((rng.randrange(10_000), " ".join(word(rng.randrange(150)) + hot + word(rng.randrange(30)))))
+    long = word(60_000)
+    rows += [(20_000, " ".join(long)), (20_001, " ".join(edited(rng, long, 500))), (20_002, " ".join(edited(rng, long, 2500))), (2**63 - 1, " ".join(first)), (20_003, "w" * 3_000_000)]
     rows += [rows[20], rows[20], (None, rows[20][1]), (rows[40][0], rows[60][1])]
     assert run(spark, rows) == brute(rows)
     assert run(spark, [(3, "only one")]) == [(3, 1, 3)]
@@ -70,7 +74,7 @@ def test_brute_force(spark):
 
 
 def test_large_group(spark):
-    """Many near copies of one text and a chain: links by leaders, blocks in several pieces."""
+    """Many near copies of one text, most of them linked."""
     rng = random.Random(8)
     base = ["b%d" % k for k in range(150)]
     rows = [(k, " ".join(edited(rng, base, rng.randrange(1, 5)))) for k in range(700)]
@@ -93,54 +97,118 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(2)
-    for _ in range(300):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
-        b = np.unique(np.r_[a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)])
-        pa_, pb = (jaccard.fine_points(np.zeros(len(x), int), np.sort(x), np.array([len(x)]))[0] for x in (a, b))
-        assert jaccard.fine_shared(pa_, pb) >= len(np.intersect1d(a, b))
+    sets = []
+    for _ in range(150):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 20)) ** 3).astype(np.uint64) << np.uint64(1))
+        sets += [a, np.unique(np.r_[a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64) << np.uint64(1)])]
+    sets += [np.arange(20_000, dtype=np.uint64), np.arange(19_000, dtype=np.uint64)]  # all in one group
+    n = np.array([len(x) for x in sets])
+    fine = jaccard.FinePoints(jaccard.fine_points(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n))
+    q, p = rng.integers(0, len(sets), 500), rng.integers(0, len(sets), 500)
+    q, p = np.r_[q, np.arange(0, len(sets), 2)], np.r_[p, np.arange(1, len(sets), 2)]
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(q, p, strict=True)])
+    assert (fine.shared(q, p) >= both).all() and (jaccard.least_sums(fine.coarse(), q, fine.coarse(), p) >= both).all()
+    assert fine.shared(q, p)[:500].mean() < 1.5 * np.minimum(n[q], n[p])[:500].mean()
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    assert (jaccard.shared_shingles(ids, np.r_[0, np.cumsum(n)], q, p) == both).all()
+
+
+def joined(m, pairs):
+    """Components as the smallest row of each."""
+    root = list(range(m))
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-def test_tree_loses_nothing():
-    rng = np.random.default_rng(3)
-    points = rng.poisson(3, (300, jaccard.GROUPS)).astype(np.int64)
-    points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, (150, jaccard.GROUPS)) * (rng.random((150, jaccard.GROUPS)) < 0.3), 0)
-    n, every, place = points.sum(1), np.arange(300), rng.integers(0, 40, 300)
-    got = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, n, place, every, every, 80)), strict=True))
-    want = {(a, b) for a in range(300) for b in range(300) if jaccard._may_link(np.minimum(points[a], points[b]).sum(), n[a], n[b], 80) and 180 * (place[a] + place[b]) <= 20 * (n[a] + n[b])}
-    assert got == want
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(m)]
 
 
-def sparse(rng, n):
-    """n random sets of shingles' groups; every second one lacks a few of the one before it. Then their points."""
-    sets = []
-    for k in range(n):
-        sets.append(rng.integers(0, jaccard.GROUPS, rng.integers(5, 40)) if k % 2 == 0 else sets[-1][: -(-len(sets[-1]) * 8 // 10)])
-    return np.array([np.bincount(x, minlength=jaccard.GROUPS) for x in sets]).astype(np.int64)
-
-
-def test_tree_of_two_halves_loses_nothing():
-    """Larger sets on the left, smaller ones on the right, which share the leaves with others."""
-    points = sparse(np.random.default_rng(7), 1200)
-    n, place = points.sum(1), np.zeros(1200, np.int64)
-    left, right = np.arange(0, 1200, 2), np.arange(1, 1200, 2)
-    right = np.r_[right, left[:300]]
-    left = left[300:]
-    got = set(zip(*(x.tolist() for x in jaccard.tree_pairs(points, n, place, left, right, 80)), strict=True))
-    want = {(a, b) for a in left.tolist() for b in right[jaccard._may_link(np.minimum(points[a], points[right]).sum(1), n[a], n[right], 80)].tolist()}
-    assert len(want) >= 300 and got == want
-
-
-def test_pieces_lose_nothing(spark):
-    """One block of three pieces, where the larger set of every pair is in the first piece."""
-    points = sparse(np.random.default_rng(9), 600)
-    n = points.sum(1)
-    own = {r.id: r.own for r in spark.range(2000).selectExpr("id", "pmod(xxhash64(id), 3) AS own").collect()}
-    larger, smaller = iter([i for i in own if own[i] == 0]), iter([i for i in own if own[i] > 0])
-    name = [next(smaller) if k % 2 else next(larger) for k in range(600)]
-    rows = spark.createDataFrame([(1, s, 0, s) for s in name], "key long, sig long, place int, component long")
-    nodes = spark.createDataFrame([(s, int(n[k]), points[k].astype("<u2").tobytes()) for k, s in enumerate(name)], "sig long, n long, point binary")
-    got = {(r.u, r.v) for r in jaccard.block_pairs(jaccard.pieces_of(rows, nodes), 80).collect()}
-    assert {(max(name[k : k + 2]), min(name[k : k + 2])) for k in range(0, 600, 2)} <= got
+def some_points(rng, m):
+    """Families of points around middles, few of them near enough to link, and their places."""
+    middles = rng.poisson(3, (6, jaccard.GROUPS))
+    points = np.maximum(middles[rng.integers(0, 6, m)] + rng.integers(-1, 2, (m, jaccard.GROUPS)) * (rng.random((m, jaccard.GROUPS)) < rng.random((m, 1)) * 0.9), 0)
+    return points.astype(np.uint16), points.sum(1), rng.integers(0, 30, m)
+
+
+def allowed(points, n, place):
+    a, b = np.triu_indices(len(n), 1)
+    ok = jaccard._may_link(np.minimum(points[a], points[b]).sum(1).astype(int), n[a], n[b], 80) & (180 * (place[a] + place[b]) <= 20 * (n[a] + n[b]))
+    return a[ok], b[ok]
+
+
+def test_tree_loses_nothing():
+    rng = np.random.default_rng(3)
+    points, n, place = some_points(rng, 1200)
+    tree = jaccard.packed(points, n, place)
+    assert len(tree.levels) == 3 and sorted(tree.order.tolist()) == list(range(1200))
+    q, p, bound = jaccard.search(tree, points, n, place, np.arange(1200), 80)
+    assert (bound == np.minimum(points[q], points[p]).sum(1)).all()
+    want = set(zip(*(x.tolist() for x in allowed(points, n, place)), strict=True))
+    assert {(a, b) for a, b in zip(q.tolist(), p.tolist(), strict=True) if a < b} == want and len(want) > 1000
+
+
+def test_small_sets_in_a_large_box():
+    """A pair at exactly 0.8 whose leaf also has a set that only its size makes look near."""
+    points = np.zeros((40, jaccard.GROUPS), np.uint16)
+    points[:, :2] = [5, 5]
+    points[1, :2] = [4, 4]
+    n, place = points.sum(1).astype(int), np.zeros(40, int)
+    q, p, _ = jaccard.search(jaccard.packed(points, n, place), points, n, place, np.array([0]), 80)
+    assert 1 in p.tolist()
+
+
+def test_forest_spans_what_the_check_confirms():
+    rng = np.random.default_rng(5)
+    for m in (2, 33, 40, 300, 900):
+        points, n, place = some_points(rng, m)
+        secret = rng.random((m, m)) < 0.3
+        secret |= secret.T
+        asked = []
+
+        def check(q, p, secret=secret, asked=asked):
+            asked.append(len(q))
+            return secret[q, p]
+
+        a, b = allowed(points, n, place)
+        ok = secret[a, b]
+        for half in (np.zeros(m, int), rng.integers(0, 2, m)):
+            right = ok & ((half[a] != half[b]) | (not half.any()))
+            want = joined(m, zip(a[right].tolist(), b[right].tolist(), strict=True))
+            pairs = jaccard.tree_forest(points, n, place, half, 80, check) if m > jaccard.SMALL else jaccard.small_forest(points, n, place, half, np.array([0]), np.array([m]), 80, check)
+            assert len(pairs) < m and joined(m, pairs) == want
+            # many groups at once, each on its own
+            pairs = jaccard.forests(np.tile(points, (3, 1)), np.tile(n, 3), np.tile(place, 3), np.tile(half, 3), np.arange(3) * m, 80, lambda q, p, m=m: check(q % m, p % m))
+            assert all(a // m == b // m for a, b in pairs) and joined(3 * m, pairs.tolist()) == [x + k * m for k in range(3) for x in want]
+
+
+def test_pieces_lose_nothing(spark, monkeypatch):
+    """Blocks and clusters in many pieces: near copies that mostly don't link, of sizes that differ."""
+    rng = random.Random(11)
+    base = ["b%d" % k for k in range(120)]
+    rows = [(k, " ".join(edited(rng, base[: rng.randrange(70, 121)], rng.randrange(1, 6)))) for k in range(700)]
+    want = brute(rows)
+    assert 20 < len({c for *_, c in want}) < 650
+    assert run(spark, rows) == want
+    monkeypatch.setattr(jaccard, "PIECE", 60)
+    monkeypatch.setattr(jaccard, "PIECE_SHINGLES", 3000)
+    assert run(spark, rows) == want
+
+
+def test_batches_end_between_groups():
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 60, 500) ** 2)
+    table = pa.table({"group": keys, "i": keys * 0, "j": keys % 3, "x": np.arange(500)})
+    for size in (1, 7, 200, 600):
+        got = list(jaccard.whole_groups(iter(table.to_batches(max_chunksize=size))))
+        assert pa.Table.from_batches([b for b, _ in got]).equals(table)
+        groups = [g for b, begin in got for g in np.split(b.column("group").to_numpy(), begin[1:])]
+        assert len(groups) == len(set(keys.tolist())) and all(len(set(g.tolist())) == 1 for g in groups)
+    assert list(jaccard.whole_groups(iter([]))) == []
 
 
 def test_components(spark):
