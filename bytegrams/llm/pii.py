@@ -11,6 +11,9 @@ point to become spans of that kind. The base spans stay as they are.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytegrams.llm import kernels as kn
 from bytegrams.llm.common import cut, texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,9 +33,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SOME = re.compile(r"[0-9@]")
-#: Tokens that look like identifiers: four digits, or an at sign between other signs.
 TOKEN = re.compile(r"\S+")
-LOOKS = re.compile(r"(?:[^0-9]*[0-9]){4}|.@.", re.S)
+DIGIT = re.compile(r"[0-9]")
+#: Longer words and instances go by a digest of the whole.
+LONGEST = 64
 EDGE = "\"'.,;:!?()[]{}<>"
 
 
@@ -65,26 +70,54 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def looks(token: str) -> bool:
+    """Whether a token looks like an identifier: four digits, or an at sign between other signs."""
+    return token.find("@", 1, len(token) - 1) > 0 or len(DIGIT.findall(token)) >= 4
+
+
+def name_of(word: str) -> str:
+    return word if len(word) <= LONGEST else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, str, str]]:
     """(kind or None, start, end, instance, words before, words after) of the base spans and of other tokens that look
-    like identifiers; two words on either side, lower-cased."""
+    like identifiers, in order; two words on either side, lower-cased. What a slot leaves of its own tokens, up to the next slot there, are words too."""
     if not SOME.search(text):
         return []
+    starts, ends = [], []
     taken, slots = sorted((s, e) for _, s, e in base), [(k, s, e) for k, s, e in base]
     k = 0
     for m in TOKEN.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
+        start, end = m.span()
+        starts.append(start)
+        ends.append(end)
+        while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if (k >= len(taken) or taken[k][0] >= m.end()) and LOOKS.search(m[0]):
+        if (k >= len(taken) or taken[k][0] >= end) and SOME.search(text, start, end) and looks(m[0]):
             token = m[0].strip(EDGE)
             if token:
-                start = m.start() + m[0].index(token)
+                start += m[0].index(token)
                 slots.append((None, start, start + len(token)))
+    names: dict[int, str] = {}  # of tokens
+
+    def token(k: int) -> str:
+        if k not in names:
+            names[k] = name_of(text[starts[k] : ends[k]].lower())
+        return names[k]
+
+    slots.sort(key=lambda x: x[1:])
+    begins, reach = [s for _, s, _ in slots], list(itertools.accumulate((e for *_, e in slots), max))
     out = []
     for kind, s, e in slots:
-        before = text[max(0, s - 80) : s].lower().split()[-2:]
-        after = text[e : e + 80].lower().split()[:2]
-        out.append((kind, s, e, text[s:e][:200], " ".join(before), " ".join(after)))
+        first, last = bisect.bisect_right(ends, s), bisect.bisect_left(starts, e) - 1
+        # in its own tokens a slot has what lies between it and the slots next to it
+        k = bisect.bisect_left(begins, s)
+        left = max(starts[first], reach[k - 1] if k else 0)
+        k = bisect.bisect_left(begins, e)
+        right = min(ends[last], begins[k] if k < len(begins) else len(text))
+        before = [token(k) for k in range(max(0, first - 2), first)] + [name_of(text[left:s].lower())] * (left < s)
+        after = [name_of(text[e:right].lower())] * (right > e) + [token(k) for k in range(last + 1, min(last + 3, len(starts)))]
+        out.append((kind, s, e, name_of(text[s:e]), " ".join(before[-2:]), " ".join(after[:2])))
     return out
 
 
@@ -102,12 +135,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, around = [], []
-            for text in batch.column(2).to_pylist():
-                base = base_spans(text)
-                spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in base])
-                around.append([dict(zip(("kind", "start", "end", "instance", "before", "after"), x, strict=True)) for x in mentions(text, base)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _ARROW.field(2).type), pa.array(around, _ARROW.field(3).type)], schema=_ARROW)
+            for part in kn.parts(batch, "text", 4_000_000):
+                spans, around = [], []
+                for text in part.column(2).to_pylist():
+                    base = base_spans(text)
+                    spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in base])
+                    around.append([dict(zip(("kind", "start", "end", "instance", "before", "after"), x, strict=True)) for x in mentions(text, base)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, _ARROW.field(2).type), pa.array(around, _ARROW.field(3).type)], schema=_ARROW)
 
     return texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(found, _SCAN)
 
@@ -155,7 +189,10 @@ def find_pii(docs: DataFrame, settings: Bootstrap | None = None) -> DataFrame:
 
     Offsets are code points, ends exclusive. Null and empty texts have no
     spans. Repeated rows each get theirs and count once in the graph. Without
-    seeds nothing is added. No rows: no rows. Further columns are ignored.
+    seeds nothing is added. Texts and tokens of any length are read whole, in
+    time that grows with their length. An instance that patterns of two kinds
+    point to is of the surer one, on a tie of the kind that is last in the
+    alphabet. No rows: no rows. Further columns are ignored.
     """
     settings = settings or Bootstrap()
     rows = cut(scan(docs))
