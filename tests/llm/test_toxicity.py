@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -57,6 +58,43 @@ def test_nothing_to_learn(spark):
     assert tox.score_toxicity(d.limit(0), none).count() == 0
 
 
+def test_words_are_counted_whole():
+    vote = lambda t: dict(zip(tox.VOTERS, tox.evidence(t, tox.Lexicon()), strict=False))
+    assert vote("kill skill skills")["seed_twice"] == 0 and vote("kill, Kill")["seed_twice"] == 1
+    x = tox.Lexicon({}, {}, {"zork": 2.0})
+    one = lambda t: tox.evidence(t, x)[tox.VOTERS.index("family")]
+    assert one("zorka zorkb zorka zork") == 0 and one("zorka zorkb Zorkc") == 1
+    few = tox.Voters(x)
+    texts = [" ".join(f"zork{k + j}" for j in range(k % 5)) for k in range(300)]
+    assert all((few(t) == tox.evidence(t, x)).all() for t in texts + texts)
+
+
+def test_labels_of_no_worth_change_nothing():
+    rng = np.random.default_rng(1)
+    post, toxic = rng.random(5000), (rng.random(5000) < 0.2).astype(float)
+    assert np.abs(tox.with_labels(post, toxic) - post).max() < 0.05
+    right = (post > 0.5).astype(float)
+    assert (tox.with_labels(post, right)[right > 0] >= post[right > 0]).all()
+
+
+def test_sample_is_bounded(spark):
+    """One labelled id with very many texts: no more than ``sample`` rows are taken, and repeats once."""
+    k = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.range(3000).selectExpr(f"{k}L AS doc_id", "concat('text ', id % 1000) AS text")
+    labels = spark.createDataFrame([(k, 1), (k, 0), (k + 1, 0)], "doc_id long, toxic int")
+    rows = tox.labelled_texts(docs, labels, tox.Settings()).collect()
+    assert len(rows) == 1000 and {r.toxic for r in rows} == {1}
+    assert tox.labelled_texts(docs, labels, tox.Settings(sample=50)).count() == 50
+
+
+def test_held_out_recall(spark):
+    """A tenth of the larger table's labels is noise in junk texts, which bounds the recall."""
+    d, la = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = tox.score_toxicity(d, la).filter("held_out").join(la, "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("predicted").alias("found")).collect()
+    by = {r.toxic: (r.found, r.n) for r in rows}
+    assert by[1][1] > 100 and by[1][0] >= 0.9 * by[1][1] and by[0][0] <= 0.01 * by[0][1]
+
+
 def test_label_model_finds_accuracies():
     """Votes drawn from a known model: posteriors agree with the truth, and a copied voter counts once."""
     rng = np.random.default_rng(0)
@@ -74,11 +112,15 @@ def test_label_model_finds_accuracies():
 
 def test_shouting_reads_the_whole_text():
     calm, loud = "some calm words that go on and on. ", "SOME LOUD WORDS THAT GO ON AND ON! "
-    vote = lambda t: tox.evidence(t, tox.Lexicon())[tox.VOTERS.index("shouting")]
+    vote = lambda t, name="shouting": tox.evidence(t, tox.Lexicon())[tox.VOTERS.index(name)]
     assert vote(calm * 60 + loud * 100) == 1 and vote(loud * 60 + calm * 100) == 0
+    assert vote(calm * 3000 + "noooo", "stretched") == 1 and vote(calm + "nooo 1111", "stretched") == 0
+    assert vote(calm * 3000 + "b**d", "masked") == 1 and vote(calm + "* b* *d # $", "masked") == 0
     rng = random.Random(2)
     for _ in range(2000):
-        text = "".join(rng.choice("aB1 éÉßǅⅠⒶ文😀ʰ") for _ in range(rng.randrange(30)))
+        text = "".join(rng.choice("aaaB*$1 éÉßǅⅠⒶ文😀ʰ") for _ in range(rng.randrange(30)))
+        assert tox.writing(text)[1] == any(a.isalpha() and text[k : k + 4] == 4 * a for k, a in enumerate(text)), text
+        assert tox.writing(text)[2] == any(a.isalpha() and b.isalpha() for a, b in re.findall(r"(?=(.)[*#$]+([^*#$]))", text)), text
         assert tox.is_shouting(text) == (sum(c.isupper() for c in text) > 0.5 * sum(c.isalpha() for c in text)), text
 
 
