@@ -13,12 +13,10 @@ k-mer becomes a row, and nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytegrams.llm.common import texts
+from bytegrams.llm.common import cut, texts
 
 PIECE = r"[^\x20\x09-\x0D]{1,8}"
 #: Low bits of a packed number hold the position; texts of more pieces than that share the last one.
@@ -95,32 +93,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(some == 0, F.lit(1.0)).otherwise(same / some)
 
 
-def with_next(docs: DataFrame, ranges: int = 0, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """docs (doc_id, text) with next_text: that of the next row by descending (doc_id, text), of the first for the last.
+def next_keys(keys: DataFrame) -> DataFrame:
+    """Distinct keys (o, content) with next: the next key by descending (o, content), the first for the last.
 
-    The rows are dealt into ranges of doc_id by quantiles (as many numbers as
-    ranges reach the driver). In a range, a window looks one row ahead; a copy
-    of the next range's first row stands at its end. So texts are shuffled
-    once, and no task sees more than a range. Null ids come last; rows of one
-    id are not split. Columns that ``prepare`` adds to the rows before that
-    come along, the next row's as next_COLUMN.
+    The keys are dealt into ranges; only the first key of each range meets
+    those of the others, which are as many as there are ranges.
+    """
+    order = (F.desc("o"), F.desc("content"))
+    ranged = cut(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    own = F.struct("o", "content")
+    by_part = Window.orderBy("part")
+    heads = ranged.groupBy("part").agg(F.max(own).alias("head"))
+    follows = heads.select("part", F.coalesce(F.lead("head").over(by_part), F.first("head").over(by_part)).alias("head"))  # a row a range
+    ahead = ranged.withColumn("next", F.lead(own).over(Window.partitionBy("part").orderBy(*order)))
+    return ahead.join(F.broadcast(follows), "part").withColumn("next", F.coalesce("next", "head")).drop("part", "head")
+
+
+def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """rows (doc_id, text, ...) with next_id, next_text, the first half (rounded down) as many code points of the next text
+    as this text has, and next_COLUMN for the carried columns.
+
+    The next row is that of the next (doc_id, text) by descending doc_id, then
+    descending hash of the text; null ids come last. So repeated rows have the
+    same next row, and a single one is its own. Each row asks its next one by
+    key, which answers with no more of its text than is asked for: texts are
+    shuffled once, by key.
     """
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.withColumn("__o", F.coalesce("doc_id", F.lit(-(2**63))))
-    cuts = sorted({int(c) for c in docs.approxQuantile("__o", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
-    dealt = docs.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("__o"))))
-    tops = dealt.groupBy("__range").agg(F.max("__o").alias("__top"))  # a row a range
-    above = tops.withColumn("__for", F.coalesce(F.lead("__range").over(Window.orderBy("__range")), F.lit(-1)))
-    highest = tops.agg(F.min("__range").alias("__for"), F.max("__top").alias("__top"))  # after the last row comes the first
-    ghosts = above.filter("__for >= 0").select(F.col("__for"), "__top").unionByName(highest.select("__for", "__top").filter("__top IS NOT NULL"))
-    # the text of a range's first row; of several rows of its id, the last text in order
-    first = docs.join(F.broadcast(ghosts), F.col("__o") == F.col("__top")).groupBy("__for").agg(F.max("text").alias("text"))
-    ends = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(-(2**63)).alias("__o"), F.col("__for").alias("__range"), F.lit(True).alias("__ghost"))
-    rows = prepare(dealt.withColumn("__ghost", F.lit(False)).unionByName(ends))
-    window = Window.partitionBy("__range").orderBy("__ghost", F.desc("__o"), F.desc("text"))
-    added = [c for c in rows.columns if c not in ("doc_id", "__o", "__range", "__ghost")]
-    ahead = rows.withColumn("__next", F.lead(F.struct(*added)).over(window)).filter(~F.col("__ghost"))
-    return ahead.select("doc_id", *added, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in added])
+    rows = rows.withColumns({"o": F.coalesce("doc_id", F.lit(-(2**63))), "content": F.xxhash64("text")})
+    keys = rows.groupBy("o", "content").agg(F.first(F.floor(F.length("text") / 2).cast("int")).alias("half"))
+    asks = next_keys(keys).select(F.col("next.o").alias("o"), F.col("next.content").alias("content"), F.col("o").alias("by_o"), F.col("content").alias("by_content"), "half")
+    # both joins read the same columns of the rows, so their shuffle is one
+    answers = rows.join(asks, ["o", "content"]).select("by_o", "by_content", F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("half")).alias("next_text"), *[F.col(c).alias(f"next_{c}") for c in carried])
+    answers = answers.groupBy("by_o", "by_content").agg(*[F.first(c).alias(c) for c in answers.columns[2:]])
+    return rows.join(answers.withColumnsRenamed({"by_o": "o", "by_content": "content"}), ["o", "content"]).drop("o", "content")
+
+
+def as_text(fingerprint: Column) -> Column:
+    return F.array_join(fingerprint, "")
+
+
+def as_array(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text), F.lit(4)), lambda i: F.substring(text, i, F.lit(4)))
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 2, sketches: int = 64) -> DataFrame:
@@ -133,11 +146,12 @@ def edit_test(docs: DataFrame, k: int = 2, sketches: int = 64) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited, and the fingerprints of its text, its edited text and the next text.
 
     edited: the last half (rounded down) of the code points gives way to the
-    first as many, or all, of the next text by descending doc_id. A single
-    row is its own next one.
+    first as many, or all, of the next text (see ``with_next``). Null texts
+    are empty ones. No rows: no rows. Further columns are ignored.
     """
+    # a fingerprint is one string where it is shuffled
+    marked = fingerprints(texts(docs), "text", "fingerprint", k, sketches).withColumn("fingerprint", as_text(F.col("fingerprint")))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    marked = with_next(texts(docs), prepare=lambda rows: fingerprints(rows, "text", "fingerprint", k, sketches))
-    rows = marked.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), "next_text")
+    rows = with_next(marked, ["fingerprint"]).select("doc_id", F.length("text").cast("long").alias("n_chars"), "next_id", edited.alias("edited"), *[as_array(F.col(c)).alias(c) for c in ("fingerprint", "next_fingerprint")])
     return fingerprints(rows, "edited", "edited_fingerprint", k, sketches)

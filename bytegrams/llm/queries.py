@@ -65,7 +65,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", sha256_hex(F.col("edited")).alias("edited_sha256"),
         F.array_join("fingerprint", "").alias("fingerprint"), F.array_join("edited_fingerprint", "").alias("edited_fingerprint"),
         order_minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        order_minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        order_minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_id",
     )
 
 
