@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 from bytegrams.operators import scan
 from bytegrams.operators.scan import GramSpec
 
-#: Grams that may be given: their buckets and bytes go to every task.
+#: Grams whose buckets go to every task.
 MOST_GRAMS = 1_000_000
 
 
 def occurrence_index(docs: DataFrame, grams: DataFrame, spec: GramSpec, sets: bool = False) -> DataFrame:
     """grams (gram binary) -> (gram, doc_id) for each document that has it; sets: (gram, doc_ids array, sorted).
 
-    Windows in the grams' buckets become rows, a join on the bytes keeps the
-    true ones. The long form needs no group however common a gram is.
+    Windows in the grams' buckets become rows (all windows, where more grams
+    are given than tasks can have), a join on the bytes keeps the true ones.
+    The long form needs no group however common a gram is. Null and empty
+    contents have no grams.
     """
     wanted = scan.hash_grams(grams.select("gram").distinct(), spec)
     rows = wanted.limit(MOST_GRAMS + 1).collect()
-    if len(rows) > MOST_GRAMS:
-        raise ValueError(f"more than {MOST_GRAMS} grams")
-    whitelist = np.unique(np.array([r["bucket"] for r in rows], np.int64))
+    whitelist = np.unique(np.array([r["bucket"] for r in rows], np.int64)) if len(rows) <= MOST_GRAMS else None
     found = scan.gram_rows(docs, spec, whitelist).join(wanted.select("gram"), "gram").select("gram", "doc_id").distinct()
     return found.groupBy("gram").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids")) if sets else found

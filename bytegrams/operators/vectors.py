@@ -63,8 +63,8 @@ def long_form(vectors: DataFrame) -> DataFrame:
 
 
 def to_ml_vectors(vectors: DataFrame) -> DataFrame:
-    """features as the vector type of Spark's ML library."""
-    from pyspark.ml.functions import array_to_vector
+    """features as sparse vectors of Spark's ML library. It makes them in Python, a row at a time: for those who train there."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    dense = F.transform(F.sequence(F.lit(0), F.col("features.size") - 1), lambda i: F.coalesce(F.get(F.col("features.values"), F.array_position("features.indices", i).cast("int") - 1), F.lit(0.0)))
-    return vectors.withColumn("features", array_to_vector(F.when(F.col("features.size") > 0, dense).otherwise(F.array().cast("array<double>"))))
+    sparse = F.udf(lambda x: Vectors.sparse(x["size"], x["indices"], x["values"]), VectorUDT())
+    return vectors.withColumn("features", sparse("features"))

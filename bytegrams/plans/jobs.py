@@ -14,7 +14,7 @@ from bytegrams.operators import counts, scan, topk
 from bytegrams.operators.scan import GramSpec
 from bytegrams.operators.vectors import vectorize
 from bytegrams.sources.libsvm import write_libsvm
-from bytegrams.sources.profile import ROWS, Profile
+from bytegrams.sources.profile import MOST_ROWS, ROWS, Profile
 
 
 def _profile(spec: GramSpec, exact: bool, k: int, rows: DataFrame) -> Profile:
@@ -30,6 +30,24 @@ def select_buckets(docs: DataFrame, spec: GramSpec, k: int, min_count: int = 0,
     return topk.top_buckets(counts.bucket_counts(docs, spec, min_count, chunked), k)
 
 
+def exact_top_grams(docs: DataFrame, spec: GramSpec, k: int, ties: str = "cut", chunked: bool = False) -> DataFrame:
+    """(gram, cnt): the k most frequent grams of all, exactly, without counting each gram.
+
+    No gram counts more than its bucket. Some k grams (those of the k largest
+    buckets) give a count that the k-th gram has at least, so only grams of
+    buckets that reach it are counted: numbers are shuffled, and few grams.
+    Where more buckets reach it than tasks may be given, all grams are counted.
+    """
+    buckets = counts.bucket_counts(docs, spec, chunked=chunked)
+    whole = lambda rows: np.sort(np.array([r["bucket"] for r in rows], np.int64))
+    some = topk.top_grams(counts.gram_counts(docs, spec, whole(topk.top_buckets(buckets, k).select("bucket").collect()), chunked=chunked), k)
+    found = some.agg(F.count(F.lit(1)).alias("n"), F.min("cnt").alias("least")).first()
+    if found["n"] < k:  # fewer grams than k, or many in one bucket
+        return topk.top_grams(counts.gram_counts(docs, spec, chunked=chunked), k, ties)
+    reach = buckets.filter(F.col("cnt") >= found["least"]).select("bucket").limit(MOST_ROWS + 1).collect()
+    return topk.top_grams(counts.gram_counts(docs, spec, whole(reach) if len(reach) <= MOST_ROWS else None, chunked=chunked), k, ties)
+
+
 def select_grams(
     docs: DataFrame, n: int, k: int, stride: int | None = 1, min_count: int = 0, count_mode: str = "documents", hasher: str = "rabin_karp",
     exact: bool = False, filter_size: int = FILTER_SIZE, width: int = 1, ties: str = "cut", chunked: bool = False,

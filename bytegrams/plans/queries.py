@@ -5,6 +5,10 @@ Grams are compared as hexadecimal strings. The SQL splits a text into its bytes
 
 from __future__ import annotations
 
+import gzip
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,8 @@ from bytegrams.functions import grams, hashing
 from bytegrams.operators import counts, labels, occurrences, sketch, topk, vectors
 from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
-from bytegrams.sources import corpus, libsvm
+from bytegrams.sources import corpus, libsvm, profile
+from bytegrams.sources.profile import shared_folder
 
 K, N = 20, 8
 VEC_N, VEC_K = 6, 60
@@ -37,15 +42,15 @@ def hexed(df: DataFrame) -> DataFrame:
 
 
 def gram_topk_docfreq(spark, sf_dir):
-    return hexed(topk.top_grams(counts.gram_counts(documents(spark, sf_dir), GramSpec(N)), K))
+    return hexed(jobs.exact_top_grams(documents(spark, sf_dir), GramSpec(N), K))
 
 
 def gram_topk_occurrences(spark, sf_dir):
-    return hexed(topk.top_grams(counts.gram_counts(turns(spark, sf_dir), GramSpec(N, count_mode="occurrences")), K))
+    return hexed(jobs.exact_top_grams(turns(spark, sf_dir), GramSpec(N, count_mode="occurrences"), K))
 
 
 def gram_topk_ties(spark, sf_dir):
-    return hexed(topk.top_grams(counts.gram_counts(turns(spark, sf_dir), GramSpec(12)), K, "keep"))
+    return hexed(jobs.exact_top_grams(turns(spark, sf_dir), GramSpec(12), K, "keep"))
 
 
 def gram_min_count(spark, sf_dir):
@@ -53,7 +58,7 @@ def gram_min_count(spark, sf_dir):
 
 
 def gram_large_n(spark, sf_dir):
-    return hexed(topk.top_grams(counts.gram_counts(turns(spark, sf_dir), GramSpec(64)), K))
+    return hexed(jobs.exact_top_grams(turns(spark, sf_dir), GramSpec(64), K))
 
 
 def gram_native(spark, sf_dir):
@@ -66,7 +71,7 @@ def gram_chunked(spark, sf_dir):
     """Documents cut into overlapping rows count the same."""
     spec = GramSpec(N)
     rows = corpus.split_large(documents(spark, sf_dir), 1 << 13, spec.size - 1)
-    return hexed(topk.top_grams(counts.gram_counts(rows, spec, chunked=True), K))
+    return hexed(jobs.exact_top_grams(rows, spec, K, chunked=True))
 
 
 def bucket_topk(spark, sf_dir):
@@ -103,30 +108,46 @@ def profile_exact(spark, sf_dir):
     return hexed(jobs.select_grams(turns(spark, sf_dir), N, K, exact=True).rows.select("feature_idx", "bucket", "gram", "cnt"))
 
 
+def profile_stored(spark, sf_dir):
+    """A profile that was saved and loaded again; its buckets are computed anew."""
+    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    profile.save_profile(jobs.select_grams(turns(spark, sf_dir), N, K, exact=True), path)
+    return hexed(profile.load_profile(spark, path).rows.select("feature_idx", "bucket", "gram", "cnt"))
+
+
 def profile_facts(spark, sf_dir):
     facts = jobs.select_grams(turns(spark, sf_dir), N, K, exact=True).facts()
     return turns(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_docs")).select("n_docs", *[F.lit(facts[k]).cast("long").alias(k) for k in ("n", "kept", "filter_size")])
 
 
 def symbol_grams_w2(spark, sf_dir):
-    return hexed(topk.top_grams(counts.gram_counts(turns(spark, sf_dir), GramSpec(4, width=2)), K, "keep"))
+    return hexed(jobs.exact_top_grams(turns(spark, sf_dir), GramSpec(4, width=2), K, "keep"))
 
 
 def symbol_grams_w4(spark, sf_dir):
-    return hexed(topk.top_grams(counts.gram_counts(turns(spark, sf_dir), GramSpec(2, width=4)), K, "keep"))
+    return hexed(jobs.exact_top_grams(turns(spark, sf_dir), GramSpec(2, width=4), K, "keep"))
 
 
 def symbol_buckets_w4(spark, sf_dir):
     return topk.top_buckets(counts.bucket_counts(turns(spark, sf_dir), GramSpec(2, width=4)), K)
 
 
+def symbol_buckets_w2(spark, sf_dir):
+    return topk.top_buckets(counts.bucket_counts(turns(spark, sf_dir), GramSpec(4, width=2)), K)
+
+
+def symbol_select(spark, sf_dir):
+    """The generic selection over symbols of an alphabet of 100,000: exact, with ties."""
+    return hexed(jobs.select_symbol_grams(turns(spark, sf_dir), 2, K, 100_000).rows.select("feature_idx", "bucket", "gram", "cnt"))
+
+
 def symbol_values(spark, sf_dir):
     return turns(spark, sf_dir).select(F.explode(grams.decode_symbols(F.col("content"), 2)).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _given(spark, sf_dir):
-    """The first 16 bytes of each benchmark item."""
-    return read(spark, sf_dir, "benchmark").select(F.substring(F.encode("text", "utf-8"), 1, 16).alias("gram"))
+    """Every 16 bytes of each benchmark item."""
+    return read(spark, sf_dir, "benchmark").select(F.explode(grams.byte_grams(F.encode("text", "utf-8"), 16)).alias("gram"))
 
 
 def occurrence_long(spark, sf_dir):
@@ -186,6 +207,19 @@ def gzip_detect(spark, sf_dir):
     return rows.groupBy(corpus.is_gzip(F.col("content")).alias("is_gzip")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def gzip_decode(spark, sf_dir):
+    """Every third turn is packed, and unpacked again with the rest."""
+
+    def pack(batches):
+        for batch in batches:
+            content = [gzip.compress(c) if len(c) % 3 == 0 else c for c in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary())], ["doc_id", "content"])
+
+    packed = turns(spark, sf_dir).select("doc_id", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(pack, "doc_id string, content binary")
+    docs, rejects = corpus.decode_gzip(packed)
+    return docs.select("doc_id", F.sha2("content", 256).alias("content_sha256")).unionByName(rejects.select("doc_id", F.col("error").alias("content_sha256")))
+
+
 def bucket_murmur3(spark, sf_dir):
     return topk.top_buckets(counts.bucket_counts(turns(spark, sf_dir), GramSpec(N, hasher="murmur3")), K)
 
@@ -199,11 +233,20 @@ def approx_topk(spark, sf_dir):
     return sketch.approx_top_grams(turns(spark, sf_dir), N, K, 100_000)
 
 
+def approx_merged(spark, sf_dir):
+    """Summaries of two halves, merged; with room for all grams of two bytes they are exact."""
+    room = 100_000
+    docs = turns(spark, sf_dir)
+    even = F.col("conv_id") % 2 == 0
+    parts = sketch.summarize(docs.filter(even), 2, room).unionByName(sketch.summarize(docs.filter(~even), 2, room))
+    return sketch.estimate(sketch.merge_summaries(parts, room), 1 << 16)
+
+
 NAMES = (
     gram_topk_docfreq, gram_topk_occurrences, gram_topk_ties, gram_min_count, gram_large_n, gram_native, gram_chunked, bucket_topk, bucket_topk_occurrences,
-    bucket_stride, bucket_small_filter, bucket_merge, exact_two_pass, profile_hashed, profile_exact, profile_facts, symbol_grams_w2, symbol_grams_w4,
-    symbol_buckets_w4, symbol_values, occurrence_long, occurrence_sets, vec_exact_binary, vec_exact_counts, vec_hashed_binary, vec_hashed_counts, vec_slice,
-    libsvm_lines, labels_two_class, labels_multi_class, gzip_detect, bucket_murmur3, lz_features, approx_topk,
+    bucket_stride, bucket_small_filter, bucket_merge, exact_two_pass, profile_hashed, profile_exact, profile_stored, profile_facts, symbol_grams_w2, symbol_grams_w4,
+    symbol_buckets_w2, symbol_buckets_w4, symbol_select, symbol_values, occurrence_long, occurrence_sets, vec_exact_binary, vec_exact_counts, vec_hashed_binary, vec_hashed_counts, vec_slice,
+    libsvm_lines, labels_two_class, labels_multi_class, gzip_detect, gzip_decode, bucket_murmur3, lz_features, approx_topk, approx_merged,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -237,9 +280,9 @@ def _count(key: str, rows: str, mode: str = "count(DISTINCT doc_id)") -> str:
 _TOP_B = f"SELECT bucket, cnt FROM c ORDER BY cnt DESC, bucket LIMIT {K}"
 
 
-def _exact(n: int, k: int) -> str:
+def _exact(n: int, k: int, windows: str = "") -> str:
     """The two passes: top (buckets), then p (feature_idx, bucket, gram_hex, cnt)."""
-    return f"""{_buckets(n)},
+    return f"""{windows or _buckets(n)},
 c AS ({_count('bucket', 'k')}), top AS (SELECT bucket, cnt, CAST(row_number() OVER (ORDER BY bucket) - 1 AS INTEGER) AS feature_idx FROM (SELECT * FROM c ORDER BY cnt DESC, bucket LIMIT {k})),
 e AS (SELECT gram_hex, min(bucket) AS bucket, count(DISTINCT doc_id) AS cnt FROM k WHERE bucket IN (SELECT bucket FROM top) GROUP BY gram_hex),
 p AS (SELECT CAST(row_number() OVER (ORDER BY cnt DESC, gram_hex) - 1 AS INTEGER) AS feature_idx, * FROM (SELECT * FROM e ORDER BY cnt DESC, gram_hex LIMIT {k}))"""
@@ -251,7 +294,8 @@ def _vec(exact: bool, value: str, where: str = "") -> str:
 
 
 def _keep(n: int, step: int = 1) -> str:
-    return f"WITH {_grams(n, step=step)}, c AS ({_count('gram_hex', 'g')}) SELECT gram_hex, cnt FROM c WHERE cnt >= (SELECT min(cnt) FROM (SELECT cnt FROM c ORDER BY cnt DESC LIMIT {K}))"
+    return f"""WITH {_grams(n, step=step)}, u AS (SELECT DISTINCT doc_id, gram_hex FROM g), c AS MATERIALIZED ({_count('gram_hex', 'u', 'count(*)')})
+SELECT gram_hex, cnt FROM c QUALIFY rank() OVER (ORDER BY cnt DESC) <= {K}"""
 
 
 def _top(n: int, source: str = _TURNS, mode: str = "count(DISTINCT doc_id)") -> str:
@@ -274,7 +318,13 @@ def _murmur(n: int) -> str:
 
 
 _W4 = f"{_grams(8, step=4)}, k AS (SELECT doc_id, CAST(({_number(0, 4)} * 31 + {_number(4, 4)}) % 4294967296 % {hashing.FILTER_SIZE} AS BIGINT) AS bucket FROM g)"
-_GIVEN = f"w AS (SELECT DISTINCT substr(hex(encode(text)), 1, 32) AS gram_hex FROM benchmark), {_grams(16, _DOCS)}, r AS (SELECT DISTINCT gram_hex, doc_id FROM g JOIN w USING (gram_hex))"
+_SYMBOLS = f"""f1 AS (SELECT s, (s + 1) * {0x9E3779B1}::UBIGINT % 4294967296 AS x FROM (SELECT CAST(range AS UBIGINT) AS s FROM range(65536))),
+f2 AS (SELECT s, xor(x, x >> 16) * {hashing.MIX1}::UBIGINT % 4294967296 AS x FROM f1), f3 AS (SELECT s, xor(x, x >> 13) * {hashing.MIX2}::UBIGINT % 4294967296 AS x FROM f2),
+t AS MATERIALIZED (SELECT list(xor(x, x >> 16) ORDER BY s) AS t FROM f3)"""
+_W2 = f"{_grams(8, step=2)}, {_SYMBOLS}, k AS (SELECT doc_id, CAST(({' + '.join(f't[CAST({_number(2 * j, 2)} AS BIGINT) + 1] * {31 ** (3 - j)}' for j in range(4))}) % 4294967296 % {hashing.FILTER_SIZE} AS BIGINT) AS bucket FROM g, t)"
+_W4_KEPT = f"{_grams(8, step=4)}, k AS (SELECT doc_id, gram_hex, CAST(({_number(0, 4)} * 31 + {_number(4, 4)}) % 4294967296 % {hashing.FILTER_SIZE} AS BIGINT) AS bucket FROM g)"
+_ITEMS = "b AS (SELECT hex(encode(text)) AS b FROM benchmark WHERE strlen(text) >= 16)"
+_GIVEN = f"{_ITEMS}, w AS (SELECT DISTINCT substr(b, 2 * i + 1, 32) AS gram_hex FROM (SELECT b, unnest(range(0, CAST(len(b) // 2 - 15 AS BIGINT))) AS i FROM b)), {_grams(16, _DOCS)}, r AS (SELECT DISTINCT gram_hex, doc_id FROM g JOIN w USING (gram_hex))"
 
 ORACLES = {
     "gram_topk_docfreq": _top(N, _DOCS),
@@ -292,10 +342,13 @@ ORACLES = {
     "exact_two_pass": f"WITH {_exact(N, K)} SELECT gram_hex, cnt FROM p",
     "profile_hashed": f"WITH {_exact(N, K)} SELECT feature_idx, bucket, cnt FROM top",
     "profile_exact": f"WITH {_exact(N, K)} SELECT feature_idx, bucket, gram_hex, cnt FROM p",
+    "profile_stored": f"WITH {_exact(N, K)} SELECT feature_idx, bucket, gram_hex, cnt FROM p",
     "profile_facts": f"SELECT count(*) AS n_docs, {N}::BIGINT AS n, {K}::BIGINT AS kept, {hashing.FILTER_SIZE}::BIGINT AS filter_size FROM conversations",
     "symbol_grams_w2": _keep(8, 2),
     "symbol_grams_w4": _keep(8, 4),
     "symbol_buckets_w4": f"WITH {_W4}, c AS ({_count('bucket', 'k')}) {_TOP_B}",
+    "symbol_buckets_w2": f"WITH {_W2}, c AS ({_count('bucket', 'k')}) {_TOP_B}",
+    "symbol_select": f"WITH {_exact(8, K, _W4_KEPT).replace(f'(SELECT * FROM e ORDER BY cnt DESC, gram_hex LIMIT {K})', f'(SELECT * FROM e QUALIFY rank() OVER (ORDER BY cnt DESC) <= {K})')} SELECT feature_idx, bucket, gram_hex, cnt FROM p",
     "symbol_values": f"WITH {_grams(2, step=2)} SELECT CAST({_number(0, 2)} AS BIGINT) AS symbol, count(*) AS cnt FROM g GROUP BY 1",
     "occurrence_long": f"WITH {_GIVEN} SELECT gram_hex, doc_id FROM r",
     "occurrence_sets": f"WITH {_GIVEN} SELECT gram_hex, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM r GROUP BY 1",
@@ -310,5 +363,7 @@ SELECT doc_id, label || coalesce(' ' || x, '') AS value FROM h JOIN z USING (rol
     "labels_two_class": "SELECT toxic AS label, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     "labels_multi_class": "SELECT CAST(dense_rank() OVER (ORDER BY lower(source), source) - 1 AS INTEGER) AS label, count(*) AS n_docs, source AS name FROM documents GROUP BY source",
     "gzip_detect": "SELECT strlen(text) % 3 = 0 AS is_gzip, count(*) AS n_docs FROM conversations GROUP BY 1",
+    "gzip_decode": "SELECT conv_id || '-' || turn AS doc_id, sha256(coalesce(text, '')) AS content_sha256 FROM conversations",
+    "approx_merged": f"WITH {_grams(2)} SELECT gram_hex, count(DISTINCT doc_id) AS estimate FROM g GROUP BY 1",
     "bucket_murmur3": f"WITH {_murmur(N)}, c AS ({_count('bucket', 'k')}) {_TOP_B}",
 }

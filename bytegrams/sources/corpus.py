@@ -11,14 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """All files under path, at any depth: doc_id is the file's path.
+#: Bytes that a row can hold.
+MOST_BYTES = (1 << 31) - 1024
 
-    As everywhere in Spark, names that start with _ or . are skipped, and
-    symbolic links are as the file system gives them. A file is one row, of
-    2 GB at most.
+
+def read_corpus(spark: SparkSession, path: str, most: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(all files under path, at any depth: doc_id, the file's path, and content; rejects (doc_id, error)).
+
+    A file that can't be read or is larger than ``most`` contributes nothing
+    and is a reject; the contents are read again for these. As everywhere in
+    Spark, names that start with _ or . are skipped, and symbolic links are as
+    the file system gives them.
     """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("doc_id"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    docs = files.load(path).filter(F.col("length") <= most).select(F.col("path").alias("doc_id"), "content")
+    found = files.load(path).select(F.col("path").alias("doc_id"), "length")
+    read = docs.filter("content IS NOT NULL").select(F.col("doc_id").alias("read"))
+    error = F.when(F.col("length") > most, F.lit("too large")).otherwise("unreadable")
+    return docs, found.join(read, F.col("doc_id") == F.col("read"), "left_anti").select("doc_id", error.alias("error"))
 
 
 def docs_from_table(table: DataFrame, id_column: str, column: str, *keep: str) -> DataFrame:

@@ -150,7 +150,7 @@ def test_files(spark, tmp_path):
     for name, content in made.items():
         os.makedirs((tmp_path / name).parent, exist_ok=True)
         (tmp_path / name).write_bytes(content)
-    good, rejects = corpus.decode_gzip(corpus.read_corpus(spark, str(tmp_path)))
+    good, rejects = corpus.decode_gzip(corpus.read_corpus(spark, str(tmp_path))[0])
     got = {r.doc_id.rsplit("/", 1)[-1]: bytes(r.content) for r in good.collect()}
     assert got == {"a.bin": plain_, "b.gz": b"packed twice", "d": b"\x1f\x8b", "e": b"\x1f\x8b\x09rest"}
     assert {r.doc_id.rsplit("/", 1)[-1] for r in rejects.collect()} == {"c.gz", "f"}
