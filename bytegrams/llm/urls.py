@@ -42,8 +42,8 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 def grams(text: Column, order: int) -> Column:
     """For each character and the stop sign, itself after the order - 1 characters before it."""
-    signs = F.concat(F.array(*[F.lit(START)] * (order - 1)), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit(STOP)))
-    return F.transform(F.sequence(F.lit(1), F.size(signs) - (order - 1)), lambda i: F.array_join(F.slice(signs, i, order), ""))
+    padded = F.concat(F.lit(START * (order - 1)), text, F.lit(STOP))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order}}}))."), F.lit(1))
 
 
 def train(labelled: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
@@ -59,15 +59,23 @@ def train(labelled: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
 
 
 def ratios(distinct: DataFrame, counts: DataFrame, contexts: DataFrame, order: int, alphabet: int = 256) -> DataFrame:
-    """distinct (gram) -> (gram, ratio): log P_allow - log P_block of the gram's last character after the others."""
-    parts = distinct.select("gram", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")).select("gram", "k", F.expr("right(gram, k)").alias("suffix"))
-    parts = parts.withColumn("context", F.expr("substring(suffix, 1, k - 1)"))
-    seen = parts.join(contexts, "context").join(counts.select(F.col("gram").alias("suffix"), "c1", "c0"), "suffix", "left")
-    levels = F.array_sort(F.collect_list(F.struct("k", F.coalesce("c1", F.lit(0)).alias("c1"), F.coalesce("c0", F.lit(0)).alias("c0"), "n1", "n0", "t1", "t0")))
-    mix = lambda p, c, n, t: F.when(n > 0, (c + t * p) / (n + t)).otherwise(p)
-    begin = F.struct(F.lit(1.0 / alphabet).alias("p1"), F.lit(1.0 / alphabet).alias("p0"))
-    fold = F.aggregate("levels", begin, lambda p, x: F.struct(mix(p["p1"], x["c1"], x["n1"], x["t1"]).alias("p1"), mix(p["p0"], x["c0"], x["n0"], x["t0"]).alias("p0")), lambda p: F.log(p["p1"]) - F.log(p["p0"]))
-    return seen.groupBy("gram").agg(levels.alias("levels")).select("gram", fold.alias("ratio"))
+    """distinct (gram) -> (gram, ratio): log P_allow - log P_block of the gram's last character after the others.
+
+    Length by length: the suffixes of k characters take their context's counts
+    and the probability of their own suffix of k - 1 characters. They are
+    distinct, so no key of these joins has more rows than there are characters.
+    """
+    mix = lambda p, c, n, t: F.when(n > 0, (F.coalesce(c, F.lit(0)) + t * p) / (n + t)).otherwise(p)
+    level = None
+    for k in range(1, order + 1):
+        grams_k = distinct.select(F.right("gram", F.lit(k)).alias("gram")).distinct().withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
+        seen = grams_k.join(contexts, "context", "left").join(counts.select("gram", "c1", "c0"), "gram", "left")
+        if level is None:
+            seen = seen.withColumns({"p1": F.lit(1.0 / alphabet), "p0": F.lit(1.0 / alphabet)})
+        else:
+            seen = seen.withColumn("suffix", F.right("gram", F.lit(k - 1))).join(level.withColumnRenamed("gram", "suffix"), "suffix")
+        level = seen.select("gram", *[mix(F.col(f"p{x}"), F.col(f"c{x}"), F.col(f"n{x}"), F.col(f"t{x}")).alias(f"p{x}") for x in "10"])
+    return level.select("gram", (F.log("p1") - F.log("p0")).alias("ratio"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], order: int = 5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -75,24 +83,28 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], order: int = 5, i
 
     score is the method's (natural log per character, higher: like allowed
     URLs), verdict the rule's, else "allow" where score reaches the threshold.
-    Without labelled URLs of both kinds all scores are 0 and the method
-    allows. Null and malformed URLs have an empty host and path and are
+    It reads the whole host and path, as the rules do; query and fragment, which
+    no rule looks at, are no evidence. Without labelled URLs of both kinds all
+    scores are 0 and the method allows. A score at the threshold allows; very
+    long URLs are scored whole. Null and malformed URLs have an empty host and path and are
     scored as the empty text. Equal URLs are scored once and count as often
     as they occur; repeated rows stay. Further columns are ignored.
     """
     host, path = host_path(F.col(url_col))
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumns(dict(zip(("rule", "ruled"), matched_rule(F.col("host"), F.col("path"), rules), strict=True)))
     judged = judged.withColumn("text", F.concat("host", "path"))
-    unique = cut(judged.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.max("ruled").alias("ruled")))
-    labelled = unique.filter(F.col("ruled").isNotNull()).select("text", "n", (F.col("ruled") == "allow").alias("allow"))
+    # dealt anew, and named: a text becomes a row for each of its characters
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unique = cut(judged.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.max("ruled").alias("ruled")).repartition(parts, "text").withColumn("id", F.monotonically_increasing_id()))
+    labelled = unique.filter(F.col("ruled").isNotNull()).select("id", "text", "n", (F.col("ruled") == "allow").alias("allow"))
     held = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
-    counts, contexts = train(labelled.filter(~held), order)
-    positions = unique.select("text", F.explode(grams(F.col("text"), order)).alias("gram"))
-    ratio = ratios(positions.select("gram").distinct(), counts, contexts, order)
-    scores = cut(positions.join(ratio, "gram").groupBy("text").agg(F.avg("ratio").alias("score")))
-    threshold = calibrate(scores.join(labelled.filter(held), "text"))
+    counts, contexts = (cut(x) for x in train(labelled.filter(~held), order))
+    positions = unique.select("id", F.explode(grams(F.col("text"), order)).alias("gram"))
+    ratio = ratios(cut(positions.select("gram").distinct()), counts, contexts, order)
+    scores = cut(positions.join(ratio, "gram").groupBy("id").agg(F.avg("ratio").alias("score")))
+    threshold = calibrate(scores.join(labelled.filter(held), "id"))
     verdict = F.coalesce("ruled", F.when(F.coalesce("score", F.lit(0.0)) >= threshold, "allow").otherwise("block"))
-    return judged.join(scores, "text", "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return judged.join(unique.join(scores, "id").select("text", "score"), "text", "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def calibrate(scored: DataFrame, low: float = -2.0, high: float = 2.0) -> float:
