@@ -17,7 +17,6 @@ rows travel under keys of their own.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,8 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
+#: A text's name: 96 bits of its hashes.
+NAME = ["content", "content2"]
 #: Anchors and windows of so many rows of a batch are settled together.
 TOGETHER = 500_000
 
@@ -59,7 +60,7 @@ def gathered(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarra
 
 
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (content, text) -> (hash, content, place): anchors of texts that have a window, copies of a batch once.
+    """docs (content, content2, text) -> (hash, content, content2, place): anchors of texts that have a window, copies of a batch once.
 
     place is the word that an anchor begins at, or -1 minus that where the
     batch has seen the anchor in another text: such rows have a hash of their
@@ -78,23 +79,23 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 keep = IN_COVER[at % PERIOD]
                 doc, at = np.repeat(np.arange(len(counts)), counts)[keep], at[keep]
                 begin = w.first[doc] + at
-                yield kn.window_hashes(w.hash, begin, begin + anchor), content[doc], at.astype(np.int32)
+                yield kn.window_hashes(w.hash, begin, begin + anchor), content[doc], part.column("content2").to_numpy()[doc], at.astype(np.int32)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, content, at in gathered(of_parts(batches)):
+        for h, content, content2, at in gathered(of_parts(batches)):
             order, first, number = groups([h], content)
-            h, content, at = h[order], content[order], at[order]
+            h, content, content2, at = h[order], content[order], content2[order], at[order]
             begin = np.flatnonzero(first)
             end = np.r_[begin[1:], len(h)] - 1
             known = (content[begin] != content[end])[number]
             own = kn.mix(h + kn.mix(content.view(np.uint64) + at.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([kn.signed(np.where(known & ~first, own, h)), pa.array(content), pa.array(np.where(known, -1 - at, at))], ["hash", "content", "place"])
+            yield pa.RecordBatch.from_arrays([kn.signed(np.where(known & ~first, own, h)), pa.array(content), pa.array(content2), pa.array(np.where(known, -1 - at, at))], ["hash", "content", "content2", "place"])
 
-    return docs.select("content", "text").mapInArrow(found, "hash long, content long, place int")
+    return docs.select("content", "content2", "text").mapInArrow(found, "hash long, content long, content2 int, place int")
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """docs (content, doc_id, text, anchors array<int>) -> (a, b, content, doc_id, place): windows around anchors.
+    """docs (content, content2, doc_id, text, anchors array<int>) -> (a, b, content, content2, doc_id, place): windows around anchors.
 
     place is the word that a window begins at. Windows that a smaller doc_id
     of the batch has too are runs: place also has their number above 2 ** 32, and the key is their own.
@@ -116,10 +117,10 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
                 np.add.at(marks, stop, -1)
                 start = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
                 of = np.searchsorted(w.first, start, "right") - 1
-                yield kn.window_hashes(w.hash, start, start + window), (kn.window_hashes(w.hash, start, start + window, 1) >> np.uint64(32)).astype(np.int32), part.column("content").to_numpy()[of], part.column("doc_id").to_numpy()[of], (start - w.first[of])
+                yield kn.window_hashes(w.hash, start, start + window), (kn.window_hashes(w.hash, start, start + window, 1) >> np.uint64(32)).astype(np.int32), part.column("content").to_numpy()[of], part.column("content2").to_numpy()[of], part.column("doc_id").to_numpy()[of], (start - w.first[of])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, content, doc_id, at in gathered(of_parts(batches)):
+        for a, b, content, content2, doc_id, at in gathered(of_parts(batches)):
             order, first, number = groups([a, b], doc_id)
             known = np.zeros(len(a), bool)
             known[order] = doc_id[order] > doc_id[order][first][number]
@@ -132,23 +133,22 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
             rows = np.r_[np.flatnonzero(~known), runs]
             free = len(rows) - len(runs)
             yield pa.RecordBatch.from_arrays([
-                kn.signed(np.r_[a[rows[:free]], own]), pa.array(b[rows]), pa.array(content[rows]), pa.array(doc_id[rows]), pa.array(at[rows] + (np.r_[np.zeros(free, np.int64), size] << 32)),
-            ], ["a", "b", "content", "doc_id", "place"])
+                kn.signed(np.r_[a[rows[:free]], own]), pa.array(b[rows]), pa.array(content[rows]), pa.array(content2[rows]), pa.array(doc_id[rows]), pa.array(at[rows] + (np.r_[np.zeros(free, np.int64), size] << 32)),
+            ], ["a", "b", "content", "content2", "doc_id", "place"])
 
-    return docs.select("content", "doc_id", "text", "anchors").mapInArrow(found, "a long, b int, content long, doc_id long, place long")
+    return docs.select("content", "content2", "doc_id", "text", "anchors").mapInArrow(found, "a long, b int, content long, content2 int, doc_id long, place long")
 
 
 def removals(docs: DataFrame, firsts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (content, doc_id, text), firsts (content, first_id) -> (content, doc_id, runs array<long>): windows that a
-    smaller doc_id has too, in the first document of each content. A run is (number of windows) * 2 ** 32 + place."""
+    """docs (*NAME, doc_id, text), firsts (*NAME, first_id) -> (*NAME, doc_id, runs array<long>): windows that a smaller doc_id has too, in the first document of each content. A run is (number of windows) * 2 ** 32 + place."""
     by_hash = Window.partitionBy("hash")
     seen = anchors(docs, window, anchor).withColumn("least", F.min("content").over(by_hash)).withColumn("most", F.max("content").over(by_hash))
-    flagged = seen.filter("place < 0 OR least <> most").groupBy("content").agg(F.collect_list(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))).alias("anchors"))
+    flagged = seen.filter("place < 0 OR least <> most").groupBy(*NAME).agg(F.collect_list(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))).alias("anchors"))
     # no id is below first_id; "=" would become a key of the join, and the texts would be shuffled by other keys than at the end
-    first = docs.join(flagged.join(firsts, "content"), "content").filter("doc_id <= first_id")
+    first = docs.join(flagged.join(firsts, NAME), NAME).filter("doc_id <= first_id")
     around = windows(first, window).withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b")))
     gone = around.filter(f"place >= {1 << 32} OR least < doc_id")
-    return gone.groupBy("content", "doc_id").agg(F.collect_list(F.when(F.col("place") >= 1 << 32, F.col("place")).otherwise(F.col("place") + (1 << 32))).alias("runs"))
+    return gone.groupBy(*NAME, "doc_id").agg(F.collect_list(F.when(F.col("place") >= 1 << 32, F.col("place")).otherwise(F.col("place") + (1 << 32))).alias("runs"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -157,17 +157,17 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if a window of ``window`` words over it also begins in a
     document of smaller doc_id. Null and empty texts have no words. Rows of
     one id don't remove each other's words; a null id is larger than all
-    others. No rows: no rows. Further columns are ignored.
+    others (a real id of 2 ** 63 - 1 is as large). No rows: no rows. Further columns are ignored.
 
-    Texts go by a hash of their content, so copies share all work up to the
+    Very long texts are read whole. Texts go by their NAME, so copies share all work up to the
     last step: a copy that isn't the first loses all words if it has a window.
     """
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"a window has {PERIOD} words at least")
-    rows = texts(docs).select(F.xxhash64("text").alias("content"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
-    firsts = rows.groupBy("content").agg(F.min("doc_id").alias("first_id"))
-    gone = removals(rows, firsts, window, anchor).select("content", "runs")
+    rows = texts(docs).select(F.xxhash64("text").alias("content"), F.hash("text").alias("content2"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
+    firsts = rows.groupBy(*NAME).agg(F.min("doc_id").alias("first_id"))
+    gone = removals(rows, firsts, window, anchor).select(*NAME, "runs")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +198,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                         out.append(b" ".join([buffer[s:e] for s, e in zip(w.start[k].tolist(), w.end[k].tolist(), strict=True)]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array((w.counts - n_kept).astype(np.int64)), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    marked = rows.join(firsts.join(gone, "content", "left"), "content")
+    marked = rows.join(firsts.join(gone, NAME, "left"), NAME)
     marked = marked.select("doc_id", "text", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
     done = marked.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
