@@ -5,16 +5,19 @@ sits in the plan as a literal hash set, and as a small table (gram -> items)
 that verifies each hit on its words. Documents are read once; a row stays one
 row up to its few verified hits, so no window of a clean text is ever a row.
 
-The broadcast is bounded: beyond ``max_grams`` distinct grams the windows are
-exploded and joined by shuffle instead.
+The broadcast is bounded: beyond ``max_grams`` distinct grams each window becomes
+a row of two hashes, of its words' hashes and of its words, and both are joined
+by shuffle. The rows of the result are the same.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytegrams.llm.common import ascii_lower, texts
+from bytegrams.llm.common import ascii_lower, cut, texts
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -28,13 +31,18 @@ def gram_hash(hashes: Column, start: Column, n: int) -> Column:
     return F.xxhash64(F.slice(hashes, start, n))
 
 
+def words_hash(gram: Column) -> Column:
+    return F.xxhash64(F.lit(1), gram)
+
+
 def benchmark_grams(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(gram array<string>, size, hash, items array<string>): each window of each item; a shorter item is one window."""
+    """(gram array<string>, size, hash, hash2, items array<string>): each window of each item; a shorter item is one window."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.coalesce("text", F.lit(""))).alias("words")).filter(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(n))
     windows = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("gram"))
     hashes = F.transform("gram", lambda w: F.xxhash64(w))
-    return windows.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select("gram", F.size("gram").alias("size"), F.xxhash64(hashes).alias("hash"), "items")
+    found = windows.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return found.select("gram", F.size("gram").alias("size"), F.xxhash64(hashes).alias("hash"), words_hash(F.col("gram")).alias("hash2"), "items")
 
 
 def hit_positions(hashes: Column, sizes: dict[int, list[int]], first: list[int], last: list[int]) -> Column:
@@ -74,9 +82,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_grams:
     at counts words from 1. Null or empty texts have no words and no hits;
     repeated rows are judged each on their own; an empty benchmark hits
     nothing; items without words are ignored; items with equal grams are all
-    named. Further columns are ignored.
+    named. Very long texts are searched whole. Further columns are ignored.
     """
-    grams = benchmark_grams(benchmark, n).cache()
+    grams = cut(benchmark_grams(benchmark, n))
     few = grams.limit(max_grams + 1).select("size", "hash", F.xxhash64(F.element_at("gram", 1)).alias("first"), F.xxhash64(F.element_at("gram", -1)).alias("last")).collect()
     words = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
     hashed = words.select("row", "doc_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
@@ -85,16 +93,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_grams:
         for r in few:
             sizes.setdefault(r["size"], []).append(r["hash"])
         hits = hit_positions(F.col("hashes"), sizes, sorted({r["first"] for r in few}), sorted({r["last"] for r in few}))
-        known = F.broadcast(grams.select("gram", "items"))
+        known, key = F.broadcast(grams.select("gram", "items")), ["gram"]
+        named = lambda h: [F.slice("words", h["at"], h["size"]).alias("gram")]
     else:
         lengths = [r["size"] for r in grams.select("size").distinct().collect()]  # n of them at most
         hits = F.concat(*[all_positions(F.col("words"), k) for k in lengths])
-        known = grams.select("gram", "items")
-    found = hashed.select("row", "doc_id", "words", hits.alias("hits")).select(
+        known, key = grams.select("hash", "hash2", "items"), ["hash", "hash2"]
+        named = lambda h: [gram_hash(F.col("hashes"), h["at"], h["size"]).alias("hash"), words_hash(F.slice("words", h["at"], h["size"])).alias("hash2")]
+    found = hashed.select("row", "doc_id", "words", "hashes", hits.alias("hits")).select(
         "row", "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.explode_outer(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), F.slice("words", h["at"], h["size"]).alias("gram")))).alias("hit"),
+        F.explode_outer(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), *named(h)))).alias("hit"),
     )
-    verified = found.join(known, F.col("hit.gram") == F.col("gram"), "left").select("row", "doc_id", "n_words", "items", F.when(F.col("items").isNotNull(), F.struct("hit.at", "hit.size")).alias("span"))
+    same = functools.reduce(Column.__and__, [F.col(f"hit.{k}") == known[k] for k in key])
+    verified = found.join(known, same, "left").select("row", "doc_id", "n_words", "items", F.when(F.col("items").isNotNull(), F.struct("hit.at", "hit.size")).alias("span"))
     whole = verified.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.collect_list("span")).alias("spans"))
     n_hit = covered(F.col("spans"))
     return whole.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (n_hit > 0).alias("contaminated"))
