@@ -17,7 +17,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytegrams.llm.common import ascii_lower, cut, texts
+from bytegrams.llm.common import ascii_lower, cut, fresh, texts
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -116,8 +116,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_grams: in
     content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     # the text's hash goes through in the place of the id, as it is the text that is judged
     named = docs.select(content.alias("doc_id"), "text")
-    bad = decontaminate(named, benchmark, n, max_grams).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, content == F.col("__bad"), "left_anti")
+    (name,) = fresh(docs, "hit_content")
+    bad = decontaminate(named, benchmark, n, max_grams).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, content == F.col(name), "left_anti")
 
 
 ORACLE = r"""

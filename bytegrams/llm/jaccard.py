@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytegrams.llm import kernels as kn
-from bytegrams.llm.common import bounded_rows, cut
+from bytegrams.llm.common import bounded_rows, cut, fresh
 from bytegrams.llm.components import components
 
 #: Coordinates of a point in a tree.
@@ -604,15 +604,16 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Rows are told apart by id and text. Rows of null id, and rows that share an id, stay unless they are themselves linked
     with a row that stays. Any one stays of rows whose id and text are the same; those without shingles all stay.
     """
-    rows = classed(docs, size, percent).filter("least IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("times"))
-    stands = F.col("least.doc_id").eqNullSafe(F.col("__id")) & (F.col("least.content") == F.col("__content"))
-    moved = cut(rows.select("__id", "__content", stands.alias("stands"), "times").filter("NOT stands OR times > 1"))
-    same = lambda: docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (_content_of(docs) == F.col("__content"))
-    kept = docs.join(moved.select("__id", "__content"), same(), "left_anti")
-    repeated = moved.filter("stands").select("__id", "__content")
+    rows = classed(docs, size, percent).filter("least IS NOT NULL").groupBy("doc_id", "content").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("times"))
+    stands = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.content") == F.col("content"))
+    name = fresh(docs, "id_of_row", "content_of_row")
+    moved = cut(rows.select(stands.alias("stands"), "times", F.col("doc_id").alias(name[0]), F.col("content").alias(name[1])).filter("NOT stands OR times > 1"))
+    same = lambda: docs["doc_id"].cast("long").eqNullSafe(F.col(name[0])) & (_content_of(docs) == F.col(name[1]))
+    kept = docs.join(moved.select(*name), same(), "left_anti")
+    repeated = moved.filter("stands").select(*name)
     if repeated.isEmpty():
         return kept
-    return kept.union(docs.join(repeated, same()).dropDuplicates(["__id", "__content"]).drop("__id", "__content"))
+    return kept.union(docs.join(repeated, same()).dropDuplicates(name).drop(*name))
 
 
 #: All pairs that share a shingle; fit for small tables.

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytegrams.llm.common import cut, texts
+from bytegrams.llm.common import cut, fresh, texts
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob binary, rule string, spans {SPANS}"
@@ -123,8 +123,9 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFra
 
     Findings belong to a text, so they are joined by its blob.
     """
-    spans = found.filter(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    joined = docs.join(spans, F.unhex(F.sha2(F.encode(F.col(f"`{text_col}`"), "utf-8"), 256)) == F.col("__blob"), "left")
+    blob, own = fresh(docs, "blob_of_text", "spans_of_text")
+    spans = found.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(own)).dropDuplicates([blob])
+    joined = docs.join(spans, F.unhex(F.sha2(F.encode(F.col(f"`{text_col}`"), "utf-8"), 256)) == F.col(blob), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col(f"`{text_col}`")
 
@@ -133,8 +134,8 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFra
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull() & text.isNotNull(), done).otherwise(text)).drop("__blob", "__spans")
+    done = F.aggregate(own, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    return joined.withColumn(text_col, F.when(F.col(own).isNotNull() & text.isNotNull(), done).otherwise(text)).drop(blob, own)
 
 
 

@@ -184,11 +184,14 @@ def sampled_labels(labels: DataFrame, settings: Settings) -> DataFrame:
 def labelled_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """docs (doc_id, hash, ...) with toxic: one row of each labelled id and hash, ``sample`` rows at most.
 
-    The sample of labels is bounded, so it is broadcast: the texts aren't shuffled but for those that are sampled.
+    The sample is chosen by ids and hashes. It is bounded and broadcast, so
+    only the rows that are taken are shuffled.
     """
-    sample = F.broadcast(sampled_labels(labels, settings))
-    rows = docs.join(sample, F.col("doc_id") == F.col("label_id")).drop("label_id").dropDuplicates(["doc_id", "hash"])
-    return rows.orderBy("hash", "doc_id").limit(settings.sample)
+    known = F.broadcast(sampled_labels(labels, settings))
+    keys = docs.join(known, F.col("doc_id") == F.col("label_id")).select("label_id", F.col("hash").alias("label_hash"), "toxic").distinct()
+    sample = F.broadcast(keys.orderBy("label_hash", "label_id").limit(settings.sample))
+    rows = docs.join(sample, (F.col("doc_id") == F.col("label_id")) & (F.col("hash") == F.col("label_hash")))
+    return rows.drop("label_id", "label_hash").dropDuplicates(["doc_id", "hash"])
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:

@@ -45,6 +45,24 @@ def test_stages_one_by_one(spark, sf_dir):
         now = after_df.checkpoint()
 
 
+def test_names_clash_and_texts_are_long(spark, sf_dir):
+    """Extra columns have the names that the stages use, and one text has a million characters."""
+    names = ["id_of_row", "content_of_row", "hit_content", "blob_of_text", "spans_of_text", "content", "class", "group", "node", "row", "hash", "x", "label_id", "Least", "key"]
+    long = " ".join(f"w{k}" for k in range(150_000))
+    rows = [(1, long), (2, long + " token=abcdefgh"), (3, "b" * 1_000_000), (4, "a clean text of seven words here"), (4, "a clean text of seven words here"), (None, None)]
+    docs = spark.createDataFrame([(i, t, *[7] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    now = docs
+    for name, stage in cp.STAGES:
+        after = stage(spark, now, sf_dir)
+        if name != "bpe":
+            assert after.columns == docs.columns
+        now = after.checkpoint()
+    got = {r.doc_id: r for r in now.collect()}
+    assert got.keys() == {1, 3, 4, None} and now.count() == 4
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(got[1].ids, "<u4").tolist() == library.encode(long, add_special_tokens=False).ids
+
+
 def test_run_with_odd_rows(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "token=abcdefgh", None, None, 14), (-3, "token=abcdefgh", None, None, 14)], docs.schema)
