@@ -18,7 +18,9 @@ from bytegrams.sources.profile import MOST_ROWS, ROWS, Profile
 
 
 def _profile(spec: GramSpec, exact: bool, k: int, rows: DataFrame) -> Profile:
-    """The k rows are computed here, once."""
+    """The k rows are computed here, once. Tasks are given all of them, so k is bounded."""
+    if k > MOST_ROWS:
+        raise ValueError(f"a profile has {MOST_ROWS} rows at most")
     spark = rows.sparkSession
     found = rows.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in ROWS.split(", ")]).collect()
     if len(found) < k:
@@ -38,14 +40,23 @@ def exact_top_grams(docs: DataFrame, spec: GramSpec, k: int, ties: str = "cut",
     buckets that reach it are counted: numbers are shuffled, and few grams.
     Where more buckets reach it than tasks may be given, all grams are counted.
     """
-    buckets = counts.bucket_counts(docs, spec, chunked=chunked)
+    buckets = counts.bucket_counts(docs, spec, chunked=chunked).persist()  # asked twice; a lost part is counted again
+    try:
+        whitelist = _reaching(docs, spec, buckets, k, chunked)
+    finally:
+        buckets.unpersist()
+    return topk.top_grams(counts.gram_counts(docs, spec, whitelist, chunked=chunked), k, ties)
+
+
+def _reaching(docs: DataFrame, spec: GramSpec, buckets: DataFrame, k: int, chunked: bool) -> np.ndarray | None:
+    """The buckets, sorted, in which the k most frequent grams are; None if these may be any."""
     whole = lambda rows: np.sort(np.array([r["bucket"] for r in rows], np.int64))
     some = topk.top_grams(counts.gram_counts(docs, spec, whole(topk.top_buckets(buckets, k).select("bucket").collect()), chunked=chunked), k)
     found = some.agg(F.count(F.lit(1)).alias("n"), F.min("cnt").alias("least")).first()
-    if found["n"] < k:  # fewer grams than k, or many in one bucket
-        return topk.top_grams(counts.gram_counts(docs, spec, chunked=chunked), k, ties)
+    if found["n"] < k:  # there may be others in any bucket
+        return None
     reach = buckets.filter(F.col("cnt") >= found["least"]).select("bucket").limit(MOST_ROWS + 1).collect()
-    return topk.top_grams(counts.gram_counts(docs, spec, whole(reach) if len(reach) <= MOST_ROWS else None, chunked=chunked), k, ties)
+    return whole(reach) if len(reach) <= MOST_ROWS else None
 
 
 def select_grams(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytegrams.functions import grams, hashing
+from bytegrams.functions.lz import lz_hashes
 from bytegrams.operators import counts, labels, occurrences, scan, sketch, topk, vectors
 from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
@@ -71,6 +72,21 @@ def test_topk_and_ties(docs):
     assert collected(counts.gram_counts(docs, GramSpec(4), min_count=2)) == {g: c for g, c in want.items() if c >= 2}
 
 
+@pytest.mark.parametrize("size", [hashing.FILTER_SIZE, 61])
+def test_exact_top_grams(docs, size, monkeypatch):
+    """Whatever collides: the k grams of all that count most."""
+    for mode in ("documents", "occurrences"):
+        want = plain(4, mode=mode)
+        ranked = sorted(want.items(), key=lambda x: (-x[1], x[0]))
+        for k in (1, 7, 40, 10**4):
+            spec = GramSpec(4, filter_size=size, count_mode=mode)
+            assert collected(jobs.exact_top_grams(docs, spec, k)) == dict(ranked[:k])
+    least = ranked[6][1]
+    assert collected(jobs.exact_top_grams(docs, spec, 7, "keep")) == {g: c for g, c in want.items() if c >= least}
+    monkeypatch.setattr(jobs, "MOST_ROWS", 2)
+    assert collected(jobs.exact_top_grams(docs, spec, 7)) == dict(ranked[:7])
+
+
 def test_merge(docs):
     spec, half = GramSpec(3), F.col("doc_id") < 6
     parts = counts.merge_counts(counts.bucket_counts(docs.filter(half), spec), counts.bucket_counts(docs.filter(~half), spec))
@@ -99,8 +115,8 @@ def test_vectors(spark, docs, exact, tmp_path):
             own = Counter(key((t or b"")[i : i + 4]) for i in range(len(t or b"") - 3))
             want = {i: float(own[g] if values == "counts" else 1) for i, g in names.items() if own[g]}
             assert dict(zip(rows[k].indices, rows[k].values, strict=True)) == want
-    dense = vectors.to_ml_vectors(vectors.vectorize(docs, again)).collect()
-    assert all(len(r.features) == 40 for r in dense)
+    for r in vectors.to_ml_vectors(vectors.vectorize(docs, again)).join(vectors.vectorize(docs, again).withColumnRenamed("features", "own"), "doc_id").collect():
+        assert r.features.size == 40 and list(r.features.indices) == list(r.own.indices) and list(r.features.values) == list(r.own["values"])
 
 
 def test_slice(docs):
@@ -123,7 +139,13 @@ def test_symbols(docs):
 def test_lz(docs):
     chosen = jobs.select_lz(docs, 30)
     assert chosen.spec.n == 0 and not chosen.exact
-    assert vectors.vectorize(docs, chosen).count() == len(TEXTS)
+    own = {k: Counter((lz_hashes(t or b"") % np.uint32(hashing.FILTER_SIZE)).tolist()) for k, t in TEXTS.items()}
+    total = Counter(b for seen in own.values() for b in seen)
+    top = sorted(sorted(total.items(), key=lambda x: (-x[1], x[0]))[:30])
+    assert [(r.bucket, r.cnt) for r in chosen.rows.orderBy("feature_idx").collect()] == top
+    for values in ("binary", "counts"):
+        got = {(r.doc_id, r.feature_idx): r.value for r in vectors.long_form(vectors.vectorize(docs, chosen, values)).collect()}
+        assert got == {(k, i): float(seen[b] if values == "counts" else 1) for k, seen in own.items() for i, (b, _) in enumerate(top) if seen[b]}
     with pytest.raises(ValueError):
         counts.gram_counts(docs, chosen.spec)
 
@@ -154,6 +176,9 @@ def test_files(spark, tmp_path):
     got = {r.doc_id.rsplit("/", 1)[-1]: bytes(r.content) for r in good.collect()}
     assert got == {"a.bin": plain_, "b.gz": b"packed twice", "d": b"\x1f\x8b", "e": b"\x1f\x8b\x09rest"}
     assert {r.doc_id.rsplit("/", 1)[-1] for r in rejects.collect()} == {"c.gz", "f"}
+    small, large = corpus.read_corpus(spark, str(tmp_path), most=9)
+    assert {r.doc_id.rsplit("/", 1)[-1] for r in small.collect()} == {"d", "e", "f"} - ({"f"} if len(made["f"]) > 9 else set())
+    assert {(r.doc_id.rsplit("/", 1)[-1], r.error) for r in large.collect()} == {(k.rsplit("/", 1)[-1], "too large") for k, v in made.items() if len(v) > 9}
 
 
 def test_labels_and_libsvm(spark, docs, tmp_path):
