@@ -58,7 +58,7 @@ SMALL = 32
 #: Nodes nearest to the middle of a group, which ask first.
 LEADERS = 4
 #: Shingles whose repeats are counted together before Spark adds them up.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: Shingles that come last: the most frequent ones, so many at most, of those counted so often at least.
 MOST_COMMON, COMMON = 500_000, 8
 

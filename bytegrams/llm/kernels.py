@@ -95,7 +95,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(buffer, hashes, start, end, np.searchsorted(start, offsets))
 
 
-def parts(batch: pa.RecordBatch, text: str, size: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text: str, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about so many bytes of text, a row at least."""
     column = batch.column(text).cast(pa.large_binary())
     if not len(column):

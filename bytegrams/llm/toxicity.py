@@ -70,13 +70,13 @@ FEATURES = len(VOTERS) + 5
 #: Lengths of beginnings, and how many distinct words of a text make a family.
 HEADS, KIN = (4, 5, 6, 7, 8), 3
 #: Words that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of a few megabytes of text, which is all that a task has as Python strings at a time."""
+    """Batches in parts of about a megabyte of text, which is all that a task has as Python strings at a time."""
     for batch in batches:
-        yield from kn.parts(batch, "text", 4_000_000)
+        yield from kn.parts(batch, "text", 1_000_000)
 
 
 def word_key(word: str) -> str:
