@@ -96,7 +96,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
 
 
 def parts(batch: pa.RecordBatch, text: str, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about so many bytes of text, a row at least."""
+    """A batch in parts of about so many bytes of text, a row at least. Memory that Arrow keeps for reuse is freed then."""
     column = batch.column(text).cast(pa.large_binary())
     if not len(column):
         return
@@ -106,6 +106,7 @@ def parts(batch: pa.RecordBatch, text: str, size: int = 1_000_000) -> Iterator[p
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def spread(counts: np.ndarray) -> np.ndarray:
