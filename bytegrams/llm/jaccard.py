@@ -383,12 +383,12 @@ def forests(points: np.ndarray, n: np.ndarray, place: np.ndarray, half: np.ndarr
 MEET = ["group", "i", "j"]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows of a part that is sorted by MEET, in batches that end between groups, and where the groups begin."""
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str] = MEET) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of a part that is sorted by those columns, in batches that end between groups, and where the groups begin."""
     held: list[pa.RecordBatch] = []
 
     def ends(batch: pa.RecordBatch) -> np.ndarray:
-        keys = [batch.column(c).to_numpy() for c in MEET]
+        keys = [batch.column(c).to_numpy() for c in by]
         return np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
 
     for batch in batches:
@@ -396,7 +396,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
             continue
         held.append(batch)
         first, last = held[0], batch
-        if all(first.column(c)[0] == last.column(c)[-1] for c in MEET):
+        if all(first.column(c)[0] == last.column(c)[-1] for c in by):
             continue  # one group so far
         rows = pa.concat_batches(held)
         begin = ends(rows)
@@ -576,7 +576,12 @@ def classed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
     nodes = cut(rows.filter("sig IS NOT NULL").groupBy("sig", "sig2").agg(F.min("row").alias("node"), F.min(own).alias("least"), F.first("n").alias("n"), F.first("fine").alias("fine")))
     clusters = clusters_of(docs, nodes, common_shingles(every), size, percent)
-    found = components(link_nodes(docs, nodes.select("node", "n", "least.doc_id", "least.content"), clusters, size, percent))
+    return least_of(rows, nodes, link_nodes(docs, nodes.select("node", "n", "least.doc_id", "least.content"), clusters, size, percent))
+
+
+def least_of(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (doc_id, content, n, sig, sig2) with ``least`` of the component that their node is in."""
+    found = components(links)
     named = nodes.join(found, "node", "left").select("sig", "sig2", "least", F.coalesce("component", "node").alias("class"))
     least = named.groupBy("class").agg(F.min("least").alias("least"))
     of = named.select("sig", "sig2", "class").join(least, "class").select("sig", "sig2", "least")

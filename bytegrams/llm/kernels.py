@@ -74,8 +74,9 @@ class Words:
         return np.diff(self.first)
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words are what stands between ASCII white space; lower: A-Z count as a-z. Null texts have none."""
+def words(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE) -> Words:
+    """Words are what stands between ASCII white space, or between the bytes that ``between`` marks; lower: A-Z count as
+    a-z. Null texts have none."""
     column = texts.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
@@ -83,7 +84,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     offsets = offsets - offsets[0]
     if lower:
         buffer = LOWER[buffer]
-    space = SPACE[buffer]
+    space = between[buffer]
     edge = np.zeros(len(buffer) + 1, bool)
     edge[offsets] = True
     begins = ~space

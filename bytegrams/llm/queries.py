@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrams.llm import bpe, chat, decontaminate, jaccard, order_minhash, pii, secrets, substrings, toxicity, urls
+from bytegrams.llm import bpe, chat, decontaminate, jaccard, order_minhash, phrases, pii, secrets, substrings, toxicity, urls
 from bytegrams.llm.common import sha256_hex, table
 
 
@@ -79,6 +79,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op2_chat_format": chat.oracle(FORGED),
@@ -97,4 +102,5 @@ ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
