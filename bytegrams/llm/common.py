@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,18 @@ def cut(df: DataFrame) -> DataFrame:
 def bounded_rows(df: DataFrame, most: int) -> bool:
     """Whether df has at most that many rows; reads no more than one row beyond."""
     return df.limit(most + 1).count() <= most
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: compressed and by column, where a checkpoint is neither."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """The files that stored() has written, once nothing reads them any more."""
+    sc = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytegrams.llm import bpe, chat, decontaminate, jaccard, order_minhash, phrases, pii, secrets, substrings, toxicity, urls
+from bytegrams.llm import bpe, chat, decontaminate, fast_similarity, jaccard, max_sketch, order_minhash, phrases, pii, secrets, substrings, toxicity, urls
 from bytegrams.llm.common import sha256_hex, table
 
 
@@ -79,6 +79,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fast_similarity.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -94,6 +102,8 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fast_similarity": op12_fast_similarity,
     "op13_collocations": op13_collocations,
 }
 ORACLES = {
@@ -102,5 +112,7 @@ ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
+    "op11_lexical_search": max_sketch.ORACLE,
+    "op12_fast_similarity": fast_similarity.ORACLE,
     "op13_collocations": phrases.ORACLE,
 }
