@@ -480,9 +480,11 @@ def block_forests(rows: DataFrame, percent: int) -> DataFrame:
 def shared_shingles(ids: np.ndarray, edge: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """How many ids the sets q and p share, pair by pair; set k has ids[edge[k] : edge[k + 1]], each once."""
     out = np.zeros(len(q), np.int64)
+    if not len(q):
+        return out
     mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
     order = np.argsort(q, kind="stable")
-    begin = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]]) if len(q) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]])
     for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(q)], strict=True):
         own = ids[edge[q[order[lo]]] : edge[q[order[lo]] + 1]]
         mark[own] = True
