@@ -226,7 +226,7 @@ def subtree_counts(rows: DataFrame, least: int) -> DataFrame:
 
 
 def spelled(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, lang, word) of the words in the bit map, once a task at least."""
+    """(id, lang, word) of the words in the bit map, once a task where it has them."""
     words = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +246,8 @@ def spelled(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def count_phrases(docs: DataFrame, least: int = 100, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """docs (lang, text) -> ((lang, words array, cnt) of all phrases of one to five words with that count at least, and
-    (lang, n) with the number of all words)."""
+    """docs (lang, text) -> ((lang, words array, cnt) of all phrases of two to five words with that count at least and of
+    the words in them, and (lang, n) with the number of all words)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     counted = word_counts(docs).filter(F.col("id").isNull() | (F.col("cnt") >= least))
@@ -260,8 +260,9 @@ def count_phrases(docs: DataFrame, least: int = 100, budget: int = BUDGET) -> tu
     # no more than total / budget of them
     heavy_words = np.sort(single.filter(F.col("cnt") > budget).select("id").toArrow().column(0).to_numpy().view(U64))
     heavy_pairs = np.sort(buckets.filter(F.col("cnt") > budget).select("bucket").toArrow().column(0).to_numpy().astype(np.int64))
-    found = subtree_counts(suffix_rows(docs, frequent, pairs, (heavy_words, heavy_pairs), -(-total // budget) + 1), least)
-    names = cut(spelled(docs, frequent).groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word")).join(single, "id"))
+    found = cut(subtree_counts(suffix_rows(docs, frequent, pairs, (heavy_words, heavy_pairs), -(-total // budget) + 1), least))
+    needed = found.select(F.explode("ids").alias("id")).distinct()
+    names = cut(spelled(docs, bit_map(needed, "id")).groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word")).join(needed, "id", "left_semi").join(single, "id"))
     each = found.select("suffix", F.col("cnt").alias("times"), F.posexplode("ids").alias("place", "id")).join(names.drop("cnt"), "id")
     several = each.groupBy("suffix").agg(F.first("lang").alias("lang"), F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("words"), F.first("times").alias("cnt"))
     every = names.select("lang", F.array("word").alias("words"), "cnt").unionByName(several.select("lang", "words", "cnt"))
