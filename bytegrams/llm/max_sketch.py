@@ -32,7 +32,8 @@ from bytegrams.llm.common import bounded_rows, cut, remove, stored
 #: Bytes that no term has.
 APART = np.zeros(256, bool)
 APART[:128] = ~np.array([chr(b).isalnum() for b in range(128)])
-COORDINATE_BITS, LEVELS = 16, 4095
+#: A sketch has 2 ** BITS coordinates, 16 at most.
+BITS, LEVELS = 16, 4095
 #: Terms whose weights the sketching tasks know; rarer ones get the largest weight there, which keeps bounds true.
 MOST_TERMS = 500_000
 #: Queries, and query terms times documents, that a task looks up together.
@@ -97,9 +98,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 class Statistics:
-    """What scores need of the corpus: the numbers of documents and terms, and the weights of its most frequent terms."""
+    """What scores need of the corpus: the numbers of documents and terms, and the weights of its most frequent terms. bits:
+    a sketch has 2 ** bits coordinates."""
 
-    def __init__(self, counted: DataFrame):
+    def __init__(self, counted: DataFrame, bits: int):
+        self.bits = bits
         whole = counted.filter("term IS NULL").first()
         self.documents, self.terms = (int(whole["df"]), int(whole["length"])) if whole else (0, 0)
         common = counted.filter("term IS NOT NULL").orderBy(F.desc("df"), "term").limit(MOST_TERMS).select("term", "df").toArrow()
@@ -133,13 +136,13 @@ def sketch_index(docs: DataFrame, statistics: Statistics) -> DataFrame:
                 doc, h, tf, n = terms_of(part.column("text"))
                 impact = s.weight_bound(h) * frequency_part(tf, length_part(n, s.documents, s.terms)[doc])
                 level = -(-impact // s.unit)
-                place = doc << COORDINATE_BITS | (h >> U64(64 - COORDINATE_BITS)).astype(np.int64)  # ascending, as hashes are
+                place = doc << s.bits | (h >> U64(64 - s.bits)).astype(np.int64)  # ascending, as hashes are
                 begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
                 largest = np.maximum.reduceat(level, begin) if len(begin) else level
                 begin, largest = begin[largest > 0], largest[largest > 0]
                 edge = np.searchsorted(doc[begin], np.arange(part.num_rows + 1)).astype(np.int32) * 2
                 binary = lambda x, edge=edge: pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(x.astype(np.uint16).tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("one"), part.column("two"), binary(place[begin] & (1 << COORDINATE_BITS) - 1), binary(largest)], ["one", "two", "coordinates", "levels"])
+                yield pa.RecordBatch.from_arrays([part.column("one"), part.column("two"), binary(place[begin] & (1 << s.bits) - 1), binary(largest)], ["one", "two", "coordinates", "levels"])
 
     return docs.select("one", "two", "text").mapInArrow(found, "one long, two long, coordinates binary, levels binary")
 
@@ -160,7 +163,7 @@ class Block:
         first[row] = self.weight
         self.rows_of = [row[a:b] for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)]
         self.cap = -(-first * 1_000_000 // statistics.unit)
-        self.count = np.bincount((own >> U64(64 - COORDINATE_BITS)).astype(np.int64), minlength=1 << COORDINATE_BITS)
+        self.count = np.bincount((own >> U64(64 - statistics.bits)).astype(np.int64), minlength=1 << statistics.bits)
         self.first = np.cumsum(self.count) - self.count  # terms are in the order of their coordinates
 
     def bounds(self, coordinates: pa.Array, levels: pa.Array) -> np.ndarray:
@@ -302,7 +305,7 @@ def search_block(docs: DataFrame, copies: DataFrame, index: DataFrame, block: Bl
     return ranked(scores, copies, k)
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, bits: int = BITS) -> DataFrame:
     """The k documents of highest score for each item: item_id, rank from 1, doc_id, score.
 
     docs: doc_id, text; items: item_id, text, the queries. Scores are above 0;
@@ -311,7 +314,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     rows repeat or share an id: then each of them has a rank. Null and empty
     texts have no terms: such documents are found by nothing and don't count,
     such items find nothing. Very long texts are scored whole; sketches grow
-    with them up to 2 ** 16 coordinates. No rows on either side: no rows.
+    with them up to 2 ** bits coordinates. No rows on either side: no rows.
     Further columns are ignored. Terms are told apart by 64-bit hashes, texts
     by 128 bits.
     """
@@ -319,7 +322,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *content_of(text), text.alias("text"))
     counted = cut(document_frequencies(docs))
-    statistics = Statistics(counted)
+    statistics = Statistics(counted, bits)
     by_id = Window.partitionBy("one", "two").orderBy(F.col("doc_id").asc_nulls_last())
     copies = cut(docs.select("doc_id", "one", "two").withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k))
     queries = cut(items.select(F.monotonically_increasing_id().alias("q"), "item_id", F.coalesce("text", F.lit("")).alias("text")))
