@@ -92,6 +92,51 @@ def murmur3(gram: bytes, seed: int = WINDOW_SEED) -> int:
     return int(window_murmur3(np.frombuffer(gram, np.uint8), len(gram), np.zeros(1, np.int64), seed)[0]) if gram else int(finish(np.array([seed], U32))[0])
 
 
+#: The modulus of fingerprints, a prime: polynomials over a prime field have no strings that collide for every base.
+P61 = (1 << 61) - 1
+#: A base for each half of a fingerprint.
+BASES = (0x0B4E0EF37BC32127, 0x1F3A5C79D86B2E4D)
+U64 = np.uint64
+
+
+def _mod61(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(P61)) + (x >> U64(61))
+    return np.where(x >= U64(P61), x - U64(P61), x)
+
+
+def _mul61(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Products modulo 2 ** 61 - 1 of numbers below it, by halves of 31 bits: no step passes 64 bits."""
+    b = np.asarray(b, U64)
+    low, mask = U64(31), U64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> low, a & mask, b >> low, b & mask
+    mid = a0 * b1 + a1 * b0
+    return _mod61(((a1 * b1) << U64(1)) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << low) + a0 * b0)
+
+
+@lru_cache(maxsize=8)
+def _powers61(base: int, size: int) -> np.ndarray:
+    """base ** 0, 1, ..., doubling what is known each time."""
+    out = np.ones(1, U64)
+    while len(out) < size:
+        out = np.concatenate([out, _mul61(out, pow(base, len(out), P61))])
+    return out
+
+
+def fingerprints(buffer: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers below 2 ** 61 that name the n bytes from each start: polynomials at two bases. No work grows with n."""
+    size = 1 << max(10, len(buffer).bit_length())
+    out = []
+    for base in BASES:
+        inverse = pow(base, -1, P61)
+        term = _mul61(_powers61(base, size)[: len(buffer)], buffer.astype(U64) + U64(1))
+        low, high = np.zeros(len(buffer) + 1, U64), np.zeros(len(buffer) + 1, U64)
+        np.cumsum(term & U64(0xFFFFFFFF), out=low[1:])
+        np.cumsum(term >> U64(32), out=high[1:])
+        total = _mod61(_mod61(low[starts + n] - low[starts]) + _mul61(_mod61(high[starts + n] - high[starts]), 1 << 32))
+        out.append(_mul61(total, _powers61(inverse, size)[starts]))
+    return out[0], out[1]
+
+
 HASHERS = ("rabin_karp", "murmur3")
 
 

@@ -9,8 +9,10 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bytegrams.functions import hashing
+from bytegrams.functions.bits import probed
 from bytegrams.functions.grams import auto_stride
 from bytegrams.functions.lz import lz_hashes
 
@@ -200,6 +202,134 @@ def kept_windows(w: Windows, whitelist: np.ndarray | None) -> Windows:
     return w.where(whitelist[at] == w.bucket)
 
 
+#: Counters of bucket_counters, as a power of two, and how many of them a row of a slab has.
+COUNTER_BITS, SLAB_BITS = 24, 16
+
+
+def counter_hash(bucket: np.ndarray) -> np.ndarray:
+    """64-bit hashes whose first bits number a counter."""
+    return (bucket.astype(np.uint32) * np.uint32(0x9E3779B1)).astype(np.uint64) << np.uint64(32)
+
+
+def counter_slabs(docs: DataFrame, spec: GramSpec) -> DataFrame:
+    """(slab, counts): how many windows each of 2 ** COUNTER_BITS hash classes of buckets has, 2 ** SLAB_BITS of them a row, as
+    64-bit numbers. A task adds up its own in one array; no window becomes a row."""
+    size = 1 << SLAB_BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.uint32)
+        windows = 0
+        for batch in batches:
+            for _, buffer, offsets in parts(batch, "content"):
+                place = counter_hash(windows_of(buffer, offsets, spec).bucket) >> np.uint64(64 - COUNTER_BITS)
+                if (windows := windows + len(place)) >= 1 << 32:  # before a counter can be full
+                    yield from (slab(k, x.astype(np.int64)) for k, x in enumerate(total.reshape(-1, size)) if x.any())
+                    total[:], windows = 0, len(place)
+                np.add.at(total, place.astype(np.int64), np.uint32(1))
+        yield from (slab(k, x.astype(np.int64)) for k, x in enumerate(total.reshape(-1, size)) if x.any())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("slab").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
+        for k, x in total.items():
+            yield slab(k, x)
+
+    def slab(k: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["slab", "counts"])
+
+    return docs.select("content").mapInArrow(counted, "slab int, counts binary").repartition("slab").mapInArrow(summed, "slab int, counts binary")
+
+
+def largest_counters(slabs: DataFrame, k: int) -> np.ndarray:
+    """A bit map of the k largest counters that aren't 0; a slab gives k of its own at most."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, raw in zip(batch.column("slab").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                counts = np.frombuffer(raw, np.int64)
+                at = np.argsort(-counts, kind="stable")[:k]
+                at = at[counts[at] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array((number << SLAB_BITS) + at), pa.array(counts[at])], ["counter", "cnt"])
+
+    rows = slabs.mapInArrow(best, "counter long, cnt long").orderBy(F.desc("cnt"), "counter").limit(k).select("counter").toArrow()
+    place = rows.column("counter").to_numpy()
+    out = np.zeros(1 << (COUNTER_BITS - 6), np.uint64)
+    np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    return out
+
+
+def counters_reaching(slabs: DataFrame, least: int) -> np.ndarray:
+    """A bit map of the counters with ``least`` or more."""
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(raw, np.int64) >= least, bitorder="little").tobytes() for raw in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("slab"), pa.array(bits, pa.binary())], ["slab", "bits"])
+
+    out = np.zeros(1 << (COUNTER_BITS - 6), np.uint64)
+    each = out.reshape(-1, 1 << (SLAB_BITS - 6))
+    for row in slabs.mapInArrow(reached, "slab int, bits binary").collect():  # 2 ** COUNTER_BITS bits in all
+        each[row["slab"]] = np.frombuffer(row["bits"], np.uint64)
+    return out
+
+
+def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, by_document: bool = False) -> DataFrame:
+    """(one, two, cnt, holder, at): the fingerprint of each distinct gram of a part, how often it counts, and where it stands
+    once: at byte ``at`` of a document whose id has the hash ``holder``. No bytes of grams become rows.
+
+    Only windows in whitelisted buckets, and in counters of the bit map. by_document: rows with doc_id, once a document.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((whitelist, counters))
+    docs = docs.withColumn("holder", F.xxhash64("doc_id"))
+    once = spec.count_mode == "documents"
+
+    def each(rows, buffer, offsets):
+        whitelist, counters = shared.value
+        w = kept_windows(windows_of(buffer, offsets, spec), whitelist)
+        if counters is not None:
+            w = w.where(probed(counters, counter_hash(w.bucket)))
+        if not len(w.start):
+            return None
+        one, two = hashing.fingerprints(buffer, spec.size, w.start)
+        order = np.argsort(one, kind="stable")  # within a fingerprint documents stay in their order
+        same = one[order][1:] == one[order][:-1]
+        if (same & (two[order][1:] != two[order][:-1])).any():
+            order = np.lexsort((two, one))
+        one, two, doc = one[order], two[order], w.doc[order]
+        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        first = np.r_[True, new[1:] | (doc[1:] != doc[:-1])]  # of each document
+        begin = np.flatnonzero(first if by_document else new)
+        count = np.add.reduceat(first if once else np.ones(len(one), np.int64), begin, dtype=np.int64)
+        at = w.start[order][begin] - offsets[doc[begin]]
+        place = pa.array(doc[begin])
+        ids = [rows.column("doc_id").take(place)] if by_document else []
+        return [*ids, pa.array(one[begin].astype(np.int64)), pa.array(two[begin].astype(np.int64)), pa.array(count), rows.column("holder").take(place), pa.array(at)]
+
+    ids = f"doc_id {_type(docs, 'doc_id')}, " if by_document else ""
+    return mapped(docs, ["doc_id", "holder"] if by_document else ["holder"], f"{ids}one long, two long, cnt long, holder long, at long", each)
+
+
+def fingerprinted(grams: DataFrame, size: int) -> DataFrame:
+    """grams (gram, ...) with the fingerprint of each gram in one and two; null for those of another size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [g or b"" for g in batch.column("gram").to_pylist()]
+            wrong = np.array([len(g) != size for g in raw], bool)
+            starts = np.cumsum([0, *map(len, raw)])[:-1][~wrong]
+            halves = []
+            for half in hashing.fingerprints(np.frombuffer(b"".join(raw), np.uint8), size, starts):
+                x = np.zeros(len(raw), np.int64)
+                x[~wrong] = half.astype(np.int64)
+                halves.append(pa.array(x, mask=wrong))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *halves], [*batch.schema.names, "one", "two"])
+
+    rest = grams.drop("one", "two")
+    return rest.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", one long, two long")
+
+
 def part_grams(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None) -> DataFrame:
     """(gram, cnt) summed over the documents of a part, of windows in whitelisted buckets."""
 

@@ -15,6 +15,7 @@ from bytegrams.operators.scan import GramSpec
 from bytegrams.operators.vectors import vectorize
 from bytegrams.sources.libsvm import write_libsvm
 from bytegrams.sources.profile import MOST_ROWS, ROWS, Profile
+from bytegrams.sources.shared import stored
 
 
 def _profile(spec: GramSpec, exact: bool, k: int, rows: DataFrame) -> Profile:
@@ -35,28 +36,32 @@ def select_buckets(docs: DataFrame, spec: GramSpec, k: int, min_count: int = 0,
 def exact_top_grams(docs: DataFrame, spec: GramSpec, k: int, ties: str = "cut", chunked: bool = False) -> DataFrame:
     """(gram, cnt): the k most frequent grams of all, exactly, without counting each gram.
 
-    No gram counts more than its bucket. Some k grams (those of the k largest
-    buckets) give a count that the k-th gram has at least, so only grams of
-    buckets that reach it are counted: numbers are shuffled, and few grams.
-    Where more buckets reach it than tasks may be given, all grams are counted.
+    No gram counts more than the counter that its hash falls into, and
+    counters are added up without a row for each window. The grams in the k
+    largest counters give a count that the k-th gram has at least; only grams
+    in counters that reach it are counted, by fingerprint, and the bytes are
+    fetched for the k that come out and for ties at rank k.
     """
-    buckets = counts.bucket_counts(docs, spec, chunked=chunked).persist()  # asked twice; a lost part is counted again
+    slabs = scan.counter_slabs(docs, spec).persist()  # asked twice; a lost part is counted again
     try:
-        whitelist = _reaching(docs, spec, buckets, k, chunked)
+        some = counts.fingerprint_counts(docs, spec, counters=scan.largest_counters(slabs, k), chunked=chunked)
+        first = some.orderBy(F.desc("cnt")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("cnt").alias("least")).first()
+        least = first["least"] if first["n"] == k else 1  # there may be others in any counter
+        reaching = scan.counters_reaching(slabs, least)
     finally:
-        buckets.unpersist()
-    return topk.top_grams(counts.gram_counts(docs, spec, whitelist, chunked=chunked), k, ties)
+        slabs.unpersist()
+    return topk.top_grams(_bytes_of_top(docs, counts.fingerprint_counts(docs, spec, counters=reaching, min_count=least, chunked=chunked), spec, k), k, ties)
 
 
-def _reaching(docs: DataFrame, spec: GramSpec, buckets: DataFrame, k: int, chunked: bool) -> np.ndarray | None:
-    """The buckets, sorted, in which the k most frequent grams are; None if these may be any."""
-    whole = lambda rows: np.sort(np.array([r["bucket"] for r in rows], np.int64))
-    some = topk.top_grams(counts.gram_counts(docs, spec, whole(topk.top_buckets(buckets, k).select("bucket").collect()), chunked=chunked), k)
-    found = some.agg(F.count(F.lit(1)).alias("n"), F.min("cnt").alias("least")).first()
-    if found["n"] < k:  # there may be others in any bucket
-        return None
-    reach = buckets.filter(F.col("cnt") >= found["least"]).select("bucket").limit(MOST_ROWS + 1).collect()
-    return whole(reach) if len(reach) <= MOST_ROWS else None
+def _bytes_of_top(docs: DataFrame, found: DataFrame, spec: GramSpec, k: int) -> DataFrame:
+    """(gram, cnt) of the fingerprints that count as much as the k-th."""
+    found = found.persist()
+    try:
+        last = found.orderBy(F.desc("cnt")).limit(k).agg(F.min("cnt")).first()[0] or 0
+        top = stored(counts.at_least(found, last), "top")
+    finally:
+        found.unpersist()
+    return counts.with_bytes(docs, top, spec)
 
 
 def select_grams(
@@ -76,7 +81,7 @@ def select_grams(
     if not exact:
         return _profile(spec, False, k, topk.numbered_buckets(top).withColumn("gram", F.lit(None).cast("binary")))
     whitelist = np.sort(np.array([r["bucket"] for r in top.select("bucket").collect()], np.int64))
-    grams = topk.top_grams(counts.gram_counts(docs, spec, whitelist, min_count, chunked), k, ties)
+    grams = topk.top_grams(_bytes_of_top(docs, counts.fingerprint_counts(docs, spec, whitelist, None, min_count, chunked), spec, k), k, ties)
     return _profile(spec, True, k, scan.hash_grams(topk.numbered_grams(grams), spec))
 
 

@@ -17,7 +17,7 @@ from bytegrams.operators import counts, labels, occurrences, sketch, topk, vecto
 from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
 from bytegrams.sources import corpus, libsvm, profile
-from bytegrams.sources.profile import shared_folder
+from bytegrams.sources.shared import shared_folder
 
 K, N = 20, 8
 VEC_N, VEC_K = 6, 60

@@ -70,7 +70,7 @@ def decode_gzip(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_large(docs: DataFrame, limit: int, overlap: int, align: int = 1) -> DataFrame:
-    """Rows of at most limit + overlap bytes: documents beyond that become several rows with chunk_no.
+    """Rows of at most limit + overlap bytes: documents beyond that become several rows with chunk_no, of ``chunks``.
 
     overlap is a gram's bytes less one symbol, so every window lies in exactly
     one row; limit is rounded down to whole symbols.
@@ -78,4 +78,4 @@ def split_large(docs: DataFrame, limit: int, overlap: int, align: int = 1) -> Da
     limit = max(align, limit - limit % align)
     count = F.greatest(F.ceil((F.length("content") - overlap) / limit), F.lit(1)).cast("int")
     starts = F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1)
-    return docs.withColumn("chunk_no", F.explode(starts)).withColumn("content", F.substring("content", F.col("chunk_no") * limit + 1, F.lit(limit + overlap)))
+    return docs.withColumn("chunks", F.coalesce(count, F.lit(1))).withColumn("chunk_no", F.explode(starts)).withColumn("content", F.substring("content", F.col("chunk_no") * limit + 1, F.lit(limit + overlap)))

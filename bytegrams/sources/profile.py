@@ -41,11 +41,6 @@ class Profile:
         return self.rows.collect()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where what is stored for a while can be read by all: the folder of checkpoints, or else the warehouse."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def save_profile(profile: Profile, path: str) -> None:
     """Parquet under path: params (one row) and rows."""
     spark = profile.rows.sparkSession
