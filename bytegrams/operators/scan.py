@@ -3,12 +3,12 @@ before they become rows. What it returns are ordinary rows; Spark groups, joins
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytegrams.functions import hashing
@@ -172,14 +172,19 @@ def _type(docs: DataFrame, name: str) -> str:
     return docs.schema[name].dataType.simpleString()
 
 
-def document_buckets(docs: DataFrame, spec: GramSpec) -> DataFrame:
-    """(doc_id, bucket, cnt): rows once a document; cnt is 1 unless occurrences count."""
+def document_buckets(docs: DataFrame, spec: GramSpec, buckets: np.ndarray | None = None, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(doc_id, bucket, cnt): rows once a document; cnt is 1 unless occurrences count. buckets: only those in the bit map of
+    bucket_hash. ids: other columns in place of doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(buckets)
 
     def each(rows, buffer, offsets):
-        doc, bucket, count = _per_document(windows_of(buffer, offsets, spec), spec)
-        return [rows.column("doc_id").take(pa.array(doc)), pa.array(bucket), pa.array(count)]
+        w, kept = windows_of(buffer, offsets, spec), shared.value
+        if kept is not None:
+            w = w.where(probed(kept, w.bucket.astype(np.uint64) << np.uint64(32)))
+        doc, bucket, count = _per_document(w, spec)
+        return [*[rows.column(c).take(pa.array(doc)) for c in ids], pa.array(bucket), pa.array(count)]
 
-    return mapped(docs, ["doc_id"], f"doc_id {_type(docs, 'doc_id')}, bucket long, cnt long", each)
+    return mapped(docs, [*ids], "".join(f"{c} {_type(docs, c)}, " for c in ids) + "bucket long, cnt long", each)
 
 
 def part_buckets(docs: DataFrame, spec: GramSpec) -> DataFrame:
@@ -275,19 +280,27 @@ def counters_reaching(slabs: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, by_document: bool = False) -> DataFrame:
-    """(one, two, cnt, holder, at): the fingerprint of each distinct gram of a part, how often it counts, and where it stands
-    once: at byte ``at`` of a document whose id has the hash ``holder``. No bytes of grams become rows.
+def bucket_hash(bucket: Column) -> Column:
+    """64-bit hashes of buckets for a bit map: their leading bits."""
+    return F.shiftleft(bucket.cast("long"), 32)
 
-    Only windows in whitelisted buckets, and in counters of the bit map. by_document: rows with doc_id, once a document.
+
+def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, buckets: np.ndarray | None = None, ids: Sequence[str] = ()) -> DataFrame:
+    """(one, two, bucket, cnt, holder, at): the fingerprint of each distinct gram of a part, how often it counts, and where it
+    stands once: at byte ``at`` of a document whose id has the hash ``holder``. No bytes of grams become rows.
+
+    Only windows in whitelisted buckets, and in those of the two bit maps, of counters and of bucket_hash. ids: columns that
+    come first; then a gram has a row once a document.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((whitelist, counters))
+    shared = docs.sparkSession.sparkContext.broadcast((whitelist, counters, buckets))
     docs = docs.withColumn("holder", F.xxhash64("doc_id"))
     once = spec.count_mode == "documents"
 
     def each(rows, buffer, offsets):
-        whitelist, counters = shared.value
+        whitelist, counters, buckets = shared.value
         w = kept_windows(windows_of(buffer, offsets, spec), whitelist)
+        if buckets is not None:
+            w = w.where(probed(buckets, w.bucket.astype(np.uint64) << np.uint64(32)))
         if counters is not None:
             w = w.where(probed(counters, counter_hash(w.bucket)))
         if not len(w.start):
@@ -300,15 +313,15 @@ def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | N
         one, two, doc = one[order], two[order], w.doc[order]
         new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
         first = np.r_[True, new[1:] | (doc[1:] != doc[:-1])]  # of each document
-        begin = np.flatnonzero(first if by_document else new)
+        begin = np.flatnonzero(first if ids else new)
         count = np.add.reduceat(first if once else np.ones(len(one), np.int64), begin, dtype=np.int64)
         at = w.start[order][begin] - offsets[doc[begin]]
         place = pa.array(doc[begin])
-        ids = [rows.column("doc_id").take(place)] if by_document else []
-        return [*ids, pa.array(one[begin].astype(np.int64)), pa.array(two[begin].astype(np.int64)), pa.array(count), rows.column("holder").take(place), pa.array(at)]
+        bucket = pa.array(w.bucket[order][begin])
+        return [*[rows.column(c).take(place) for c in ids], pa.array(one[begin].astype(np.int64)), pa.array(two[begin].astype(np.int64)), bucket, pa.array(count), rows.column("holder").take(place), pa.array(at)]
 
-    ids = f"doc_id {_type(docs, 'doc_id')}, " if by_document else ""
-    return mapped(docs, ["doc_id", "holder"] if by_document else ["holder"], f"{ids}one long, two long, cnt long, holder long, at long", each)
+    types = "".join(f"{c} {_type(docs, c)}, " for c in ids)
+    return mapped(docs, [*ids, "holder"], f"{types}one long, two long, bucket long, cnt long, holder long, at long", each)
 
 
 def fingerprinted(grams: DataFrame, size: int) -> DataFrame:

@@ -18,19 +18,19 @@ from bytegrams.sources.profile import MOST_ROWS, ROWS, Profile
 from bytegrams.sources.shared import stored
 
 
-def _profile(spec: GramSpec, exact: bool, k: int, rows: DataFrame) -> Profile:
-    """The k rows are computed here, once. Tasks are given all of them, so k is bounded."""
-    if k > MOST_ROWS:
-        raise ValueError(f"a profile has {MOST_ROWS} rows at most")
+def _profile(spec: GramSpec, exact: bool, k: int, rows: DataFrame, most: int) -> Profile:
+    """The rows are computed here, once: kept by the driver where they are few, and stored in the shared folder else."""
     spark = rows.sparkSession
-    found = rows.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in ROWS.split(", ")]).collect()
-    if len(found) < k:
-        warnings.warn(f"{len(found)} of {k} were found", stacklevel=3)
-    return Profile(spec, exact, k, spark.createDataFrame(found, ROWS), len(found))
-
-
-def select_buckets(docs: DataFrame, spec: GramSpec, k: int, min_count: int = 0, chunked: bool = False) -> DataFrame:
-    return topk.top_buckets(counts.bucket_counts(docs, spec, min_count, chunked), k)
+    rows = rows.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in ROWS.split(", ")])
+    if k > most:
+        table = stored(rows, "profile")
+        kept = table.count()
+    else:
+        found = rows.collect()
+        table, kept = spark.createDataFrame(found, ROWS), len(found)
+    if kept < k:
+        warnings.warn(f"{kept} of {k} were found", stacklevel=3)
+    return Profile(spec, exact, k, table, kept)
 
 
 def exact_top_grams(docs: DataFrame, spec: GramSpec, k: int, ties: str = "cut", chunked: bool = False) -> DataFrame:
@@ -66,23 +66,43 @@ def _bytes_of_top(docs: DataFrame, found: DataFrame, spec: GramSpec, k: int) ->
 
 def select_grams(
     docs: DataFrame, n: int, k: int, stride: int | None = 1, min_count: int = 0, count_mode: str = "documents", hasher: str = "rabin_karp",
-    exact: bool = False, filter_size: int = FILTER_SIZE, width: int = 1, ties: str = "cut", chunked: bool = False,
+    exact: bool = False, filter_size: int = FILTER_SIZE, width: int = 1, ties: str = "cut", chunked: bool = False, most: int = MOST_ROWS,
 ) -> Profile:
     """The k most frequent grams of n symbols, as a profile.
 
     One pass counts hashed buckets and keeps the top k. exact: a second pass
-    counts the grams in those buckets (their k numbers go to every task). With a
-    stride only grams whose bucket it divides take part; None is n / 4.
+    counts the grams in those buckets. With a stride only grams whose bucket
+    it divides take part; None is n / 4. Up to ``most`` buckets go to every
+    task; of more, only a bit map does, and they are ranked, numbered and
+    joined by shuffle. The rows are the same.
     """
     spec = scan.with_stride(GramSpec(n=n, width=width, filter_size=filter_size, hasher=hasher, count_mode=count_mode), stride)
     if filter_size <= k:
         raise ValueError("there must be more buckets than k")
-    top = select_buckets(docs, spec, k, min_count, chunked)
+    top = _top_buckets(counts.bucket_counts(docs, spec, min_count, chunked), k, most)
     if not exact:
-        return _profile(spec, False, k, topk.numbered_buckets(top).withColumn("gram", F.lit(None).cast("binary")))
-    whitelist = np.sort(np.array([r["bucket"] for r in top.select("bucket").collect()], np.int64))
-    grams = topk.top_grams(_bytes_of_top(docs, counts.fingerprint_counts(docs, spec, whitelist, None, min_count, chunked), spec, k), k, ties)
-    return _profile(spec, True, k, scan.hash_grams(topk.numbered_grams(grams), spec))
+        return _profile(spec, False, k, _by_bucket(top, k, most), most)
+    if k > most:
+        found = counts.fingerprint_counts(docs, spec, None, None, min_count, chunked, top)
+    else:
+        whitelist = np.sort(np.array([r["bucket"] for r in top.select("bucket").collect()], np.int64))
+        found = counts.fingerprint_counts(docs, spec, whitelist, None, min_count, chunked)
+    grams = _bytes_of_top(docs, found, spec, k)
+    if k > most:
+        grams = stored(topk.first_rows(grams, k, "gram") if ties == "cut" else grams, "grams")
+        rows = topk.numbered(grams, "feature_idx", F.desc("cnt"), F.col("gram"))
+    else:
+        rows = topk.numbered_grams(topk.top_grams(grams, k, ties))
+    return _profile(spec, True, k, scan.hash_grams(rows, spec), most)
+
+
+def _top_buckets(found: DataFrame, k: int, most: int) -> DataFrame:
+    return stored(topk.first_rows(found, k, "bucket"), "buckets") if k > most else topk.top_buckets(found, k)
+
+
+def _by_bucket(top: DataFrame, k: int, most: int) -> DataFrame:
+    rows = topk.numbered(top, "feature_idx", F.col("bucket")) if k > most else topk.numbered_buckets(top)
+    return rows.withColumn("gram", F.lit(None).cast("binary"))
 
 
 def select_symbol_grams(docs: DataFrame, n: int, k: int, alphabet_size: int, stride: int | None = None, min_count: int = 0, count_mode: str = "documents", exact: bool = True, filter_size: int = FILTER_SIZE) -> Profile:
@@ -90,13 +110,13 @@ def select_symbol_grams(docs: DataFrame, n: int, k: int, alphabet_size: int, str
     return select_grams(docs, n, k, stride, min_count, count_mode, exact=exact, filter_size=filter_size, width=symbol_width(alphabet_size), ties="keep")
 
 
-def select_lz(docs: DataFrame, k: int, min_count: int = 0, stride: int = 1, count_mode: str = "documents", filter_size: int = FILTER_SIZE, phrases_only: bool = False) -> Profile:
+def select_lz(docs: DataFrame, k: int, min_count: int = 0, stride: int = 1, count_mode: str = "documents", filter_size: int = FILTER_SIZE, phrases_only: bool = False, most: int = MOST_ROWS) -> Profile:
     """The k most frequent Lempel-Ziv phrase hashes; such profiles are always hashed, and n is 0 in them."""
     if filter_size <= k:
         raise ValueError("there must be more buckets than k")
     spec = GramSpec(lz=True, filter_size=filter_size, stride=stride, count_mode=count_mode, phrases_only=phrases_only)
-    top = topk.numbered_buckets(select_buckets(docs, spec, k, min_count))
-    return _profile(spec, False, k, top.withColumn("gram", F.lit(None).cast("binary")))
+    top = _top_buckets(counts.bucket_counts(docs, spec, min_count), k, most)
+    return _profile(spec, False, k, _by_bucket(top, k, most), most)
 
 
 def build_dataset(docs: DataFrame, profile: Profile, values: str = "binary", path: str | None = None) -> DataFrame:

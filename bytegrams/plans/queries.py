@@ -155,8 +155,34 @@ def occurrence_long(spark, sf_dir):
 
 
 def occurrence_sets(spark, sf_dir):
-    found = occurrences.occurrence_index(documents(spark, sf_dir), _given(spark, sf_dir), GramSpec(16), sets=True)
-    return hexed(found).select("gram_hex", F.array_join(F.transform("doc_ids", lambda d: d.cast("string")), ",").alias("doc_ids"))
+    """The documents of each gram in one line, put together from segments."""
+    found = occurrences.segment_members(*occurrences.posting_segments(documents(spark, sf_dir), _given(spark, sf_dir), GramSpec(16), 512), 512)
+    sets = found.groupBy("gram").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+    return hexed(sets).select("gram_hex", F.array_join(F.transform("doc_ids", lambda d: d.cast("string")), ",").alias("doc_ids"))
+
+
+def occurrence_segments(spark, sf_dir):
+    segments, _ = occurrences.posting_segments(documents(spark, sf_dir), _given(spark, sf_dir), GramSpec(16), 128)
+    return hexed(segments).select("gram_hex", "segment", "n", F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places"))
+
+
+def gram_n1024(spark, sf_dir):
+    """Grams of 1024 bytes of all documents: no shuffle has their bytes."""
+    return hexed(jobs.exact_top_grams(documents(spark, sf_dir), GramSpec(1024), K))
+
+
+def _joined_profile(spark, sf_dir, exact, values):
+    """As _vectors, but as if ten rows were too many to give to every task."""
+    docs = turns(spark, sf_dir).drop("role", "conv_id")
+    return vectors.long_form(vectors.vectorize(docs, jobs.select_grams(docs, VEC_N, VEC_K, exact=exact, most=10), values, most=10))
+
+
+def vec_joined_exact(spark, sf_dir):
+    return _joined_profile(spark, sf_dir, True, "counts")
+
+
+def vec_joined_hashed(spark, sf_dir):
+    return _joined_profile(spark, sf_dir, False, "binary")
 
 
 def _vectors(spark, sf_dir, exact, values, part=None):
@@ -245,7 +271,8 @@ def approx_merged(spark, sf_dir):
 NAMES = (
     gram_topk_docfreq, gram_topk_occurrences, gram_topk_ties, gram_min_count, gram_large_n, gram_native, gram_chunked, bucket_topk, bucket_topk_occurrences,
     bucket_stride, bucket_small_filter, bucket_merge, exact_two_pass, profile_hashed, profile_exact, profile_stored, profile_facts, symbol_grams_w2, symbol_grams_w4,
-    symbol_buckets_w2, symbol_buckets_w4, symbol_select, symbol_values, occurrence_long, occurrence_sets, vec_exact_binary, vec_exact_counts, vec_hashed_binary, vec_hashed_counts, vec_slice,
+    symbol_buckets_w2, symbol_buckets_w4, symbol_select, symbol_values, occurrence_long, occurrence_sets, occurrence_segments,
+    gram_n1024, vec_joined_exact, vec_joined_hashed, vec_exact_binary, vec_exact_counts, vec_hashed_binary, vec_hashed_counts, vec_slice,
     libsvm_lines, labels_two_class, labels_multi_class, gzip_detect, gzip_decode, bucket_murmur3, lz_features, approx_topk, approx_merged,
 )
 QUERIES = {f.__name__: f for f in NAMES}
@@ -352,6 +379,16 @@ ORACLES = {
     "symbol_values": f"WITH {_grams(2, step=2)} SELECT CAST({_number(0, 2)} AS BIGINT) AS symbol, count(*) AS cnt FROM g GROUP BY 1",
     "occurrence_long": f"WITH {_GIVEN} SELECT gram_hex, doc_id FROM r",
     "occurrence_sets": f"WITH {_GIVEN} SELECT gram_hex, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM r GROUP BY 1",
+    "occurrence_segments": f"""WITH {_GIVEN}, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM (SELECT DISTINCT doc_id FROM documents))
+SELECT gram_hex, number // 128 AS segment, count(*) AS n, string_agg(number % 128, ',' ORDER BY number) AS places FROM r JOIN n USING (doc_id) GROUP BY 1, 2""",
+    "gram_n1024": f"""WITH {_DOCS},
+o AS (SELECT doc_id, o, substr(h, 2 * o + 1, 4046) AS h FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 AS BIGINT), 1000)) AS o FROM h)),
+g AS (SELECT doc_id, o + i AS i, md5_number(substr(h, 2 * i + 1, 2048)) AS m FROM (SELECT doc_id, o, h, unnest(range(0, CAST(least(1000, len(h) // 2 - 1023) AS BIGINT))) AS i FROM o)),
+c AS MATERIALIZED (SELECT m, count(DISTINCT doc_id) AS cnt, min({{'d': doc_id, 'i': i}}) AS p FROM g GROUP BY m),
+t AS (SELECT * FROM c QUALIFY rank() OVER (ORDER BY cnt DESC) <= {K})
+SELECT substr(h, 2 * p.i + 1, 2048) AS gram_hex, cnt FROM t JOIN h ON doc_id = p.d ORDER BY cnt DESC, gram_hex LIMIT {K}""",
+    "vec_joined_exact": _vec(True, "count(*)"),
+    "vec_joined_hashed": _vec(False, "1"),
     "vec_exact_binary": _vec(True, "1"),
     "vec_exact_counts": _vec(True, "count(*)"),
     "vec_hashed_binary": _vec(False, "1"),

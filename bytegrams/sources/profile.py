@@ -12,7 +12,7 @@ from bytegrams.operators import scan
 from bytegrams.operators.scan import GramSpec
 
 ROWS = "feature_idx int, bucket long, gram binary, cnt long"
-#: Rows of a profile that tasks may be given.
+#: Rows of a profile that go to every task; larger ones are joined.
 MOST_ROWS = 2_000_000
 
 
@@ -35,17 +35,13 @@ class Profile:
         """The settings: gram size, how many rows there are, filter size and the rest."""
         return asdict(self.spec) | {"kind": "exact" if self.exact else "hashed", "wanted": self.wanted, "kept": self.kept}
 
-    def collected(self) -> list:
-        if self.kept > MOST_ROWS:
-            raise ValueError(f"a profile of {self.kept} rows is too large to give to tasks; {MOST_ROWS} are the limit")
-        return self.rows.collect()
-
 
 def save_profile(profile: Profile, path: str) -> None:
     """Parquet under path: params (one row) and rows."""
     spark = profile.rows.sparkSession
     spark.createDataFrame([(json.dumps(profile.facts()),)], "params string").coalesce(1).write.parquet(f"{path}/params")
-    profile.rows.select("feature_idx", "bucket", "gram", "cnt").coalesce(1).write.parquet(f"{path}/rows")
+    rows = profile.rows.select("feature_idx", "bucket", "gram", "cnt")
+    (rows.coalesce(1) if profile.kept <= MOST_ROWS else rows).write.parquet(f"{path}/rows")
 
 
 def load_profile(spark: SparkSession, path: str) -> Profile:
