@@ -16,8 +16,8 @@ from bytegrams.functions import grams, hashing
 from bytegrams.operators import counts, labels, occurrences, sketch, topk, vectors
 from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
-from bytegrams.sources import corpus, libsvm, profile
-from bytegrams.sources.shared import shared_folder
+from bytegrams.sources import corpus, libsvm, profile, ranges
+from bytegrams.sources.shared import remove, shared_folder, stored
 
 K, N = 20, 8
 VEC_N, VEC_K = 6, 60
@@ -246,6 +246,17 @@ def gzip_decode(spark, sf_dir):
     return docs.select("doc_id", F.sha2("content", 256).alias("content_sha256")).unionByName(rejects.select("doc_id", F.col("error").alias("content_sha256")))
 
 
+def range_grams(spark, sf_dir):
+    """Documents as gzipped text files, read in ranges of 64 KB that overlap: grams of three bytes inside lines."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("compression", "gzip").text(path)
+    rows = stored(ranges.read_ranges(spark, path, 2, 1 << 16), "ranges")
+    remove(spark, path)
+    files, _ = ranges.without_rejects(rows.filter(F.col("doc_id").endswith(".txt.gz")))
+    found = hexed(counts.gram_counts(files, GramSpec(3, count_mode="occurrences"), min_count=50, chunked=True))
+    return found.filter(~F.col("gram_hex").rlike("^(..)*0A"))
+
+
 def bucket_murmur3(spark, sf_dir):
     return topk.top_buckets(counts.bucket_counts(turns(spark, sf_dir), GramSpec(N, hasher="murmur3")), K)
 
@@ -273,7 +284,7 @@ NAMES = (
     bucket_stride, bucket_small_filter, bucket_merge, exact_two_pass, profile_hashed, profile_exact, profile_stored, profile_facts, symbol_grams_w2, symbol_grams_w4,
     symbol_buckets_w2, symbol_buckets_w4, symbol_select, symbol_values, occurrence_long, occurrence_sets, occurrence_segments,
     gram_n1024, vec_joined_exact, vec_joined_hashed, vec_exact_binary, vec_exact_counts, vec_hashed_binary, vec_hashed_counts, vec_slice,
-    libsvm_lines, labels_two_class, labels_multi_class, gzip_detect, gzip_decode, bucket_murmur3, lz_features, approx_topk, approx_merged,
+    libsvm_lines, labels_two_class, labels_multi_class, gzip_detect, gzip_decode, range_grams, bucket_murmur3, lz_features, approx_topk, approx_merged,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -401,6 +412,7 @@ SELECT doc_id, label || coalesce(' ' || x, '') AS value FROM h JOIN z USING (rol
     "labels_multi_class": "SELECT CAST(dense_rank() OVER (ORDER BY lower(source), source) - 1 AS INTEGER) AS label, count(*) AS n_docs, source AS name FROM documents GROUP BY source",
     "gzip_detect": "SELECT strlen(text) % 3 = 0 AS is_gzip, count(*) AS n_docs FROM conversations GROUP BY 1",
     "gzip_decode": "SELECT conv_id || '-' || turn AS doc_id, sha256(coalesce(text, '')) AS content_sha256 FROM conversations",
+    "range_grams": f"WITH {_grams(3, _DOCS)} SELECT gram_hex, count(*) AS cnt FROM g WHERE NOT regexp_matches(gram_hex, '^(..)*0A') GROUP BY 1 HAVING count(*) >= 50",
     "approx_merged": f"WITH {_grams(2)} SELECT gram_hex, count(DISTINCT doc_id) AS estimate FROM g GROUP BY 1",
     "bucket_murmur3": f"WITH {_murmur(N)}, c AS ({_count('bucket', 'k')}) {_TOP_B}",
 }

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytegrams.sources import ranges
 
 #: Bytes that a row can hold.
 MOST_BYTES = (1 << 31) - 1024
@@ -43,30 +42,37 @@ def is_gzip(content: Column) -> Column:
     return F.coalesce((F.length(content) >= 3) & head.startswith("1F8B") & (F.conv(F.substring(head, 5, 2), 16, 10).cast("int") <= 8), F.lit(False))
 
 
-def decode_gzip(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def decode_gzip(docs: DataFrame, limit: int | None = None, overlap: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents with gzipped contents unpacked, rejects (doc_id, error)).
 
     A content that can't be unpacked contributes nothing. Contents without the
-    header stay as they are, and never leave the JVM.
+    header stay as they are, and never leave the JVM. With limit, there are
+    the columns chunk_no and chunks, and no row has more than limit + overlap
+    bytes: contents are unpacked as rows, in the memory of one.
     """
-    keep = docs.columns
+    keep, most = docs.columns, limit or MOST_BYTES
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):  # one at a time: unpacked contents may be large
+            for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                try:
-                    content, error = gzip.decompress(row.column("content")[0].as_py()), None
-                except (OSError, EOFError, zlib.error) as e:
-                    content, error = None, str(e)[:200]
-                columns = [pa.array([content], pa.binary()) if c == "content" else row.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([error], pa.string())], [*keep, "error"])
+                packed = row.column("content")[0].as_buffer()
+                blocks = lambda packed=packed: (packed[a : a + ranges.BLOCK].to_pybytes() for a in range(0, packed.size, ranges.BLOCK))
+                for chunk_no, chunks, content, error in ranges.unpacked_rows(blocks, most, overlap):
+                    if chunks > 1 and not limit:
+                        chunk_no, content, error = 0, None, "too large"
+                    columns = [pa.array([content], pa.binary()) if c == "content" else row.column(c) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([chunk_no], pa.int32()), pa.array([chunks], pa.int32()), pa.array([error], pa.string())], [*keep, "chunk_no", "chunks", "error"])
+                    if error:
+                        break
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     packed = is_gzip(F.col("content"))
-    unpacked = docs.filter(packed).mapInArrow(unpack, f"{types}, error string")
+    unpacked = docs.filter(packed).mapInArrow(unpack, f"{types}, chunk_no int, chunks int, error string")
     plain = docs.filter(~packed)
-    return plain.unionByName(unpacked.filter("error IS NULL").drop("error")), unpacked.filter("error IS NOT NULL").select("doc_id", "error")
+    plain = split_large(plain, limit, overlap) if limit else plain
+    good = unpacked.filter("error IS NULL").drop("error")
+    return plain.unionByName(good if limit else good.drop("chunk_no", "chunks")), unpacked.filter("error IS NOT NULL").select("doc_id", "error")
 
 
 def split_large(docs: DataFrame, limit: int, overlap: int, align: int = 1) -> DataFrame:
