@@ -39,8 +39,8 @@ DEPTH = 5
 BUDGET = 500_000
 #: Pairs of words are counted in so many numbers, as a power of two.
 PAIR_BITS = 26
-#: Words that a task counts together before they become rows.
-TOGETHER = 2_000_000
+#: Words, and suffixes, that a task counts together before they become rows.
+TOGETHER, SUFFIXES = 2_000_000, 1_000_000
 U64 = np.uint64
 
 
@@ -119,7 +119,8 @@ def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def suffix_rows(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], groups: int) -> DataFrame:
-    """(group, whole, suffix, cnt): suffixes of two words or more, eight bytes a word, summed within parts.
+    """(group, whole, words, sizes, counts): suffixes of two words or more, summed within parts. A row has all of a group that
+    a task has summed together: their words one after another, eight bytes each, and their sizes and counts.
 
     heavy: words and pair buckets of more suffixes than a group may have. A
     heavy word's suffixes go by their first two words, those of a heavy pair
@@ -143,10 +144,12 @@ def suffix_rows(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, heavy:
         for k in range(2, DEPTH):
             every = kn.mix(every ^ words[:, k])
         group = kn.mix(np.where(~one, words[:, 0], np.where(two, every, pair))) % U64(groups)
-        edge = np.r_[0, np.cumsum(size * 8)].astype(np.int32)
-        raw = words[words != 0].tobytes()
-        suffix = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(raw)])
-        return pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(~(one & two)), suffix, pa.array(count.astype(np.int32))], ["group", "whole", "suffix", "cnt"])
+        order = np.lexsort((one & two, group))
+        group, part, words, size, count = group[order], (one & two)[order], words[order], size[order], count[order].astype(np.int32)
+        begin = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])])
+        raw = [[x[a:b] for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(size)], strict=True)] for x in (words, size.astype(np.uint8), count)]
+        packed = [pa.array([x[x != 0].tobytes() for x in each], pa.binary()) for each in raw]
+        return pa.RecordBatch.from_arrays([pa.array(group[begin].astype(np.int32)), pa.array(~part[begin]), *packed], ["group", "whole", "words", "sizes", "counts"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,12 +171,12 @@ def suffix_rows(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, heavy:
                     size += on
                     on &= ok[at]
                 held.append((words, size))
-                if sum(len(x[1]) for x in held) * DEPTH > TOGETHER:
+                if sum(len(x[1]) for x in held) > SUFFIXES:
                     yield summed(held)
-        if held:
+        if sum(len(x[1]) for x in held):
             yield summed(held)
 
-    return docs.mapInArrow(found, "group int, whole boolean, suffix binary, cnt int")
+    return docs.mapInArrow(found, "group int, whole boolean, words binary, sizes binary, counts binary")
 
 
 def leaves(words: np.ndarray, size: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,13 +194,11 @@ def subtree_counts(rows: DataFrame, least: int) -> DataFrame:
     may be so together with other groups."""
 
     def nodes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        column = batch.column("suffix").cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(U64)
-        size = np.diff(offsets) // 8
+        raw, size, cnt = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("words", U64), ("sizes", np.uint8), ("counts", np.int32)))
+        size, cnt = size.astype(np.int64), cnt.astype(np.int64)
+        whole = np.repeat(batch.column("whole").to_numpy(zero_copy_only=False), [len(x) for x in batch.column("sizes").to_pylist()])
         words = np.zeros((len(size), DEPTH), U64)
         words[np.repeat(np.arange(len(size)), size), kn.spread(size)] = raw
-        cnt, whole = batch.column("cnt").to_numpy().astype(np.int64), batch.column("whole").to_numpy(zero_copy_only=False)
         for kind in (True, False):
             tree, depth, total = leaves(words[whole == kind], size[whole == kind], cnt[whole == kind])
             for k in range(2, DEPTH + 1):
@@ -214,10 +215,7 @@ def subtree_counts(rows: DataFrame, least: int) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begin in whole_groups(batches, ["group"]):
-            # groups that fit into the budget together go together: a group has none of another one's prefixes
-            part = begin // BUDGET
-            starts = begin[np.r_[True, part[1:] != part[:-1]]].tolist()
-            for lo, hi in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), rows.num_rows], strict=True):
                 yield from nodes(rows.slice(lo, hi - lo))
 
     dealt = rows.repartition("group").sortWithinPartitions("group")
