@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytegrams.llm.common import cut, fresh, texts
@@ -52,24 +52,14 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """Spans of a rule's matches in code points.
-
-    The text between matches gives the offsets: a match starts after all earlier pieces and matches.
-    """
+def rule_matches(text: Column, rule: Rule) -> Column:
+    """A rule's matches and what stands before each, as array<struct<gap, size, valid>>: code points of the text between this
+    match and the one before, of the match, and of the part that must have ``least``."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     valid = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    gaps = F.split(text, rule.pattern, -1)
-    rows = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), valid, lambda r, v: F.struct(r["gap"].alias("gap"), r["size"].alias("size"), F.length(v).alias("valid")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def step(acc: Column, r: Column) -> Column:
-        first = acc["at"] + r["gap"]
-        end = first + F.coalesce(r["size"], F.lit(0))
-        span = F.struct(F.lit(rule.kind).alias("kind"), first.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(r["valid"], F.lit(0)) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.when(text.rlike(rule.hint), F.aggregate(rows, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPANS))
+    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))  # but for what stands after the last match
+    rows = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), valid, lambda r, v: F.struct(r["gap"].alias("gap"), r["size"].alias("size"), (F.length(v) >= rule.least).alias("valid")))
+    return F.when(text.rlike(rule.hint), rows).otherwise(F.array().cast("array<struct<gap:int,size:int,valid:boolean>>"))
 
 
 def blobs_of(docs: DataFrame) -> DataFrame:
@@ -87,8 +77,13 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # as many as there are rules at most
         todo = unique.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    each = F.array(*[F.when(~F.array_contains("seen", r.name), F.struct(F.lit(r.name).alias("rule"), rule_spans(F.col("text"), r).alias("spans"))) for r in rules])
-    return todo.select("blob", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("blob", "x.rule", "x.spans")
+    each = F.array(*[F.when(~F.array_contains("seen", r.name), F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), rule_matches(F.col("text"), r).alias("matches"))) for r in rules])
+    pairs = todo.select("blob", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("blob", "x.rule", "x.kind", "x.matches")
+    # a running sum gives the places, in the partitions of the blobs; a pair without matches is one row
+    matches = pairs.select("blob", "rule", "kind", F.posexplode_outer("matches").alias("at", "m"))
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    found = matches.withColumn("end", end).select("blob", "rule", F.when(F.col("m.valid"), F.struct("kind", (F.col("end") - F.col("m.size")).alias("start"), "end")).alias("span"))
+    return found.groupBy("blob", "rule").agg(F.array_sort(F.collect_list("span")).cast(SPANS).alias("spans"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -118,25 +113,38 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points of the pieces that a text is cut into, so that a place in it is found without reading it from the start.
+BLOCK = 4096
+
+
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all columns, with each finding replaced by <KIND>; of overlapping spans the first one's kind stands for all.
 
-    Findings belong to a text, so they are joined by its blob.
+    Findings belong to a text, so they are joined by its blob. Null texts stay
+    null, and texts without findings as they are; no rows: no rows. Very long
+    texts and many findings take work in proportion.
     """
-    blob, own = fresh(docs, "blob_of_text", "spans_of_text")
-    spans = found.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(own)).dropDuplicates([blob])
-    joined = docs.join(spans, F.unhex(F.sha2(F.encode(F.col(f"`{text_col}`"), "utf-8"), 256)) == F.col(blob), "left")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    blob, own, cuts = fresh(docs, "blob_of_text", "spans_of_text", "blocks_of_text")
+    unique = found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    each = unique.select("blob", F.posexplode("spans").alias("place", "s")).select("blob", "place", "s.*")
+    by_blob = Window.partitionBy("blob").orderBy("place")
+    before = F.max("end").over(by_blob.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = each.withColumn("new", (F.coalesce(before, F.lit(0)) <= F.col("start")).cast("int")).withColumn("group", F.sum("new").over(by_blob))
+    merged = grouped.groupBy("blob", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", "place").alias("kind"))
+    spans = merged.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(own))
     text = F.col(f"`{text_col}`")
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(own, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    return joined.withColumn(text_col, F.when(F.col(own).isNotNull() & text.isNotNull(), done).otherwise(text)).drop(blob, own)
-
+    joined = docs.join(spans, F.unhex(F.sha2(F.encode(text, "utf-8"), 256)) == F.col(blob), "left")
+    joined = joined.withColumn(cuts, F.when(F.col(own).isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
+    def between(a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        pieces = F.slice(F.col(cuts), first + 1, F.floor(b / BLOCK).cast("int") - first + 1)
+        return F.substring(F.array_join(pieces, ""), a % BLOCK + 1, b - a)
+
+    ends = lambda i: F.coalesce(F.get(F.col(own), i - 1)["end"], F.lit(0))
+    parts = F.transform(own, lambda s, i: F.concat(between(ends(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    done = F.concat(F.array_join(parts, ""), between(F.element_at(own, -1)["end"], F.length(text)))
+    return joined.withColumn(text_col, F.when(F.col(own).isNotNull() & text.isNotNull(), done).otherwise(text)).drop(blob, own, cuts)
 
 
 def _oracle_rule(kind: str, pattern: str, group: int, least: int, k: int) -> str:

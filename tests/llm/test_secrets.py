@@ -55,6 +55,34 @@ def test_redact(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "é <ASSIGN> and <HEX>"), (2, "clean"), (3, None), (1, "é <ASSIGN> and <HEX>")], key=str)
 
 
+def test_many_findings_in_one_text(spark):
+    """Time grows in proportion: 60,000 checksums in one text, overlapping findings, and a text longer than any block."""
+    text = "".join(f"{k:032x}{'é' * (k % 3 + 1)}" for k in range(60_000)) + "token=" + "ab" * 20 + "x" * 5000
+    docs = spark.createDataFrame([(1, text), (2, "token=" + "ab" * 20 + " password=token: abcdef"), (3, "plain")], "doc_id long, text string")
+    found, _ = secrets.scan_secrets(docs)
+    got = {r.doc_id: [f"{s.kind}:{s.start}:{s.end}" for s in r.spans] for r in found.collect()}
+    assert got == {d: base(t) for d, t in ((1, text), (2, "token=" + "ab" * 20 + " password=token: abcdef"), (3, "plain"))}
+    out = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    assert out == {1: redacted(text, got[1]), 2: redacted("token=" + "ab" * 20 + " password=token: abcdef", got[2]), 3: "plain"}
+    assert out[1].count("<HEX>") == 60_000
+
+
+def redacted(text, spans):
+    """Spans in their order; overlapping ones are one, of the first one's kind."""
+    out, end = [], 0
+    merged = []
+    for x in spans:
+        kind, a, b = x.split(":")
+        if merged and int(a) < merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], int(b))
+        else:
+            merged.append([kind, int(a), int(b)])
+    for kind, a, b in merged:
+        out += [text[end:a], f"<{kind.upper()}>"]
+        end = b
+    return "".join(out) + text[end:]
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in op9_secret_scan(spark, sf_dir).collect():
