@@ -157,7 +157,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if a window of ``window`` words over it also begins in a
     document of smaller doc_id. Null and empty texts have no words. Rows of
     one id don't remove each other's words; a null id is larger than all
-    others (a real id of 2 ** 63 - 1 is as large). No rows: no rows. Further columns are ignored.
+    others (a real id of 2 ** 63 - 1 is as large, and stays what it is). No rows: no rows. Further columns are ignored.
 
     Very long texts are read whole. Texts go by their NAME, so copies share all work up to the
     last step: a copy that isn't the first loses all words if it has a window.
@@ -165,7 +165,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"a window has {PERIOD} words at least")
-    rows = texts(docs).select(F.xxhash64("text").alias("content"), F.hash("text").alias("content2"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
+    rows = texts(docs).select(F.xxhash64("text").alias("content"), F.hash("text").alias("content2"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
     firsts = rows.groupBy(*NAME).agg(F.min("doc_id").alias("first_id"))
     gone = removals(rows, firsts, window, anchor).select(*NAME, "runs")
 
@@ -196,12 +196,12 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                     else:
                         k = np.flatnonzero(stays[lo:hi]) + lo
                         out.append(b" ".join([buffer[s:e] for s, e in zip(w.start[k].tolist(), w.end[k].tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array((w.counts - n_kept).astype(np.int64)), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("none"), pa.array(w.counts.astype(np.int64)), pa.array((w.counts - n_kept).astype(np.int64)), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "none", "n_words", "n_removed", "kept"])
 
     marked = rows.join(firsts.join(gone, NAME, "left"), NAME)
-    marked = marked.select("doc_id", "text", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
-    done = marked.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
+    marked = marked.select("doc_id", "none", "text", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
+    done = marked.mapInArrow(kept, "doc_id long, none boolean, n_words long, n_removed long, kept string")
+    return done.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 #: Windows as text under their place; the window's text decides, no hash.

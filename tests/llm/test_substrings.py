@@ -48,6 +48,15 @@ def test_brute_force(spark):
     assert sub.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_largest_and_smallest_ids(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(2**63 - 1, text), (-(2**63), text), (5, "one two")]
+    got = {r.doc_id: r.n_removed for r in sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2**63 - 1: 80, -(2**63): 0, 5: 0}
+    lone = [(2**63 - 1, text), (None, "x y")]
+    assert {r.doc_id for r in sub.dedup_substrings(spark.createDataFrame(lone, "doc_id long, text string")).collect()} == {2**63 - 1, None}
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, n, x, hashlib.sha256(t.encode()).hexdigest()) for i, n, x, t in brute(rows))
