@@ -146,12 +146,12 @@ class Voters:
     def __call__(self, text: str) -> np.ndarray:
         """The votes (0 or 1), then five amounts: seed words, learned words, learned beginnings, words of families, log odds."""
         words = WORD.findall(text.lower())
-        unique = set(words)
+        unique = Counter(words)
         known = self.known
         told = [(w, x) for w in unique if (x := known[w] if w in known else self._look_up(w))]
-        n_seed = sum(words.count(w) for w, x in told if x[0])
+        n_seed = sum(unique[w] for w, x in told if x[0])
         odds = [x[1] for _, x in told if x[1]]
-        n_word = sum(words.count(w) for w, x in told if x[1])
+        n_word = sum(unique[w] for w, x in told if x[1])
         heads = [x[2] for _, x in told if x[2]]
         kin = Counter(h for _, x in told for h in x[3])
         families = [(n, self.lexicon.families[h]) for h, n in kin.items() if n >= KIN]
@@ -163,7 +163,7 @@ class Voters:
             bool(families), any(o >= STRONG for _, o in families),
             shouting and sum(map(len, unique)) > 20, "!!" in text, stretched, masked,
         ]
-        amounts = [math.log1p(min(n_seed, 20)), math.log1p(min(n_word, 20)), math.log1p(len(heads)), math.log1p(max((n for n, _ in families), default=0)), math.log1p(sum(odds) + sum(heads))]
+        amounts = [math.log1p(n_seed), math.log1p(n_word), math.log1p(len(heads)), math.log1p(max((n for n, _ in families), default=0)), math.log1p(sum(odds) + sum(heads))]
         return np.array(votes + amounts, float)
 
 
@@ -333,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     settings = settings or Settings()
     lexicon = learn_lexicon(labelled_texts(docs, labels, settings), settings)
     seen = cut(evidence_of(docs, lexicon))
-    found = seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 ** len(VOTERS) rows at most
+    found = seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()  # 2 ** len(VOTERS) rows at most
     rows = labelled_rows(seen, labels, settings).select("toxic", "x").collect()  # settings.sample rows at most
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), FEATURES)
     votes = (x[:, : len(VOTERS)].astype(int) << np.arange(len(VOTERS))).sum(1)
@@ -370,7 +370,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns and their order, whose text isn't predicted to be toxic."""
+    """The rows of docs, all columns and their order, whose text isn't predicted to be toxic. Null texts are judged as empty
+    ones; without labels the seed lexicon decides; no rows: no rows."""
     model, _ = fit(docs, labels, settings)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
