@@ -53,7 +53,7 @@ MOST_IDS = 500_000
 PIECE, PIECE_SHINGLES = 8192, 2_000_000
 #: Children of a box.
 FAN = 16
-#: Groups of so many rows at most are trees of one level, which are searched all at once.
+#: Groups of so many rows at most share one tree, which is searched for all of them at once.
 SMALL = 32
 #: Nodes nearest to the middle of a group, which ask first.
 LEADERS = 4
@@ -233,32 +233,38 @@ def _may_differ(places: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarr
 @dataclass
 class Tree:
     """A packed R-tree. levels[0] are the rows in ``order``; each further level has a box for FAN of the one below: its
-    corner of largest counts, its smallest and largest size, its smallest place."""
+    corner of largest counts, its smallest and largest size, its smallest place, its first and last group."""
 
     order: np.ndarray
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def packed(points: np.ndarray, n: np.ndarray, place: np.ndarray) -> Tree:
-    """Rows are sorted into slabs by size, and in a slab by the two coordinates of largest spread."""
-    slab = np.argsort(np.argsort(n, kind="stable"), kind="stable") // (FAN * FAN)
+def packed(points: np.ndarray, n: np.ndarray, place: np.ndarray, group: np.ndarray) -> Tree:
+    """Rows are sorted by group, into slabs by size, and in a slab by the two coordinates of largest spread. The group is one
+    more coordinate of a box, with a smallest and a largest value."""
+    by_size = np.argsort(n, kind="stable")
+    by_size = by_size[np.argsort(group[by_size], kind="stable")]
+    slab = np.empty(len(n), np.int64)
+    slab[by_size] = np.arange(len(n)) // (FAN * FAN)
     one, two = np.argsort(-points.var(0))[:2]
-    order = np.lexsort((points[:, two], points[:, one], slab))
-    levels = [(points[order], n[order], n[order], place[order])]
+    order = np.lexsort((points[:, two], points[:, one], slab, group))
+    levels = [(points[order], n[order], n[order], place[order], group[order], group[order])]
     while len(levels[-1][1]) > FAN:
-        corner, small, large, near = levels[-1]
+        corner, small, large, near, first, last = levels[-1]
         begin = np.arange(0, len(small), FAN)
-        levels.append((np.maximum.reduceat(corner, begin, axis=0), np.minimum.reduceat(small, begin), np.maximum.reduceat(large, begin), np.minimum.reduceat(near, begin)))
+        levels.append((np.maximum.reduceat(corner, begin, axis=0), np.minimum.reduceat(small, begin), np.maximum.reduceat(large, begin), np.minimum.reduceat(near, begin), np.minimum.reduceat(first, begin), np.maximum.reduceat(last, begin)))
     return Tree(order, levels)
 
 
-def search(tree: Tree, points: np.ndarray, n: np.ndarray, place: np.ndarray, queries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, bound): the pairs that points, sizes and places allow, and how many shingles they share at most."""
+def search(tree: Tree, points: np.ndarray, n: np.ndarray, place: np.ndarray, group: np.ndarray, queries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, bound): the pairs in a group that points, sizes and places allow, and how many shingles they share at most."""
     top = len(tree.levels[-1][1])
     q, box = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
     bound = np.zeros(0, np.int64)
     for depth in range(len(tree.levels) - 1, -1, -1):
-        corner, small, large, near = tree.levels[depth]
+        corner, small, large, near, first, last = tree.levels[depth]
+        inside = (first[box] <= group[q]) & (group[q] <= last[box])
+        q, box = q[inside], box[inside]
         # the size in the box that suits the query best
         ok = _may_differ(place[q] + near[box], n[q] + large[box], percent) & _may_link(large[box], n[q], np.clip(n[q], small[box], large[box]), percent)
         q, box = q[ok], box[ok]
@@ -295,12 +301,13 @@ def tree_forest(points: np.ndarray, n: np.ndarray, place: np.ndarray, half: np.n
     the middle ask first. What they are joined with need not ask any more:
     whoever isn't in that component asks, and meets it.
     """
-    tree, forest, across = packed(points, n, place), Forest(len(n)), bool(half.any())
+    alone = np.zeros(len(n), np.int64)  # one group
+    tree, forest, across = packed(points, n, place, alone), Forest(len(n)), bool(half.any())
     middle = np.median(points, axis=0)
     central = np.argsort(-np.minimum(points, middle).sum(1) / np.maximum(points, middle).sum(1), kind="stable")
 
     def settle(queries: np.ndarray) -> None:
-        q, p, bound = search(tree, points, n, place, queries, percent)
+        q, p, bound = search(tree, points, n, place, alone, queries, percent)
         keep = (forest.of[q] != forest.of[p]) & ((half[q] != half[p]) | (not across))
         q, p, bound = q[keep], p[keep], bound[keep]
         order = np.argsort(-bound / (n[q] + n[p]), kind="stable")
@@ -333,20 +340,20 @@ def tree_forest(points: np.ndarray, n: np.ndarray, place: np.ndarray, half: np.n
 
 
 def small_forest(points: np.ndarray, n: np.ndarray, place: np.ndarray, half: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int, check: Check) -> list[tuple[int, int]]:
-    """The same for many small groups at once: rows begin to begin + size are a group, whose tree has one level."""
+    """The same for many small groups at once: rows begin to begin + size are a group. They share a tree, in which the group
+    is a coordinate, and every row asks it."""
     if not len(begin):
         return []
-    rest = np.repeat(size, size) - 1 - kn.spread(size)  # rows of the group after each row
     row = np.repeat(begin, size) + kn.spread(size)
-    across = np.repeat(np.maximum.reduceat(half[row], np.cumsum(size) - size) > 0, size)
-    q = np.repeat(row, rest)
-    p = q + 1 + kn.spread(rest)
-    ok = (half[q] != half[p]) | ~np.repeat(across, rest)
-    q, p = q[ok], p[ok]
-    ok = _may_differ(place[q] + place[p], n[q] + n[p], percent) & _may_link(n[p], n[q], n[p], percent)
-    q, p = q[ok], p[ok]
-    ok = _may_link(least_sums(points, q, points, p), n[q], n[p], percent)
-    q, p = q[ok], p[ok]
+    group = np.repeat(np.arange(len(begin)), size)
+    across = np.maximum.reduceat(half[row], np.cumsum(size) - size) > 0
+    tree = packed(points[row], n[row], place[row], group)
+    found = []
+    for k in range(0, len(row), 1 << 16):
+        q, p, _ = search(tree, points[row], n[row], place[row], group, np.arange(k, min(k + (1 << 16), len(row))), percent)
+        ok = (q < p) & ((half[row[q]] != half[row[p]]) | ~across[group[q]])
+        found.append((row[q[ok]], row[p[ok]]))
+    q, p = (np.concatenate(x) for x in zip(*found, strict=True))
     ok = check(q, p)
     root: dict[int, int] = {}
 
@@ -542,7 +549,8 @@ def clusters_of(docs: DataFrame, nodes: DataFrame, common: np.ndarray, size: int
     """(node, component): nodes that links connect are in one component; it may hold others."""
     keys = keys_of(docs, size, percent, common)
     several = keys.groupBy("key").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).filter("least <> most")
-    shared = cut(keys.join(several.select("key"), "key", "left_semi").withColumnRenamed("key", "group"))
+    # copies in other parts of the input have the same keys: a set is in a block once
+    shared = cut(keys.join(several.select("key"), "key", "left_semi").dropDuplicates(["key", "sig"]).withColumnRenamed("key", "group"))
     blocks = partnered(met(meeting(shared, F.lit(1), PIECE, percent, "sig")), percent)
     with_points = blocks.join(nodes.select("sig", "node", "fine"), "sig")
     return components(block_forests(with_points.repartition(*MEET).sortWithinPartitions(*MEET), percent))

@@ -144,21 +144,45 @@ def allowed(points, n, place):
 def test_tree_loses_nothing():
     rng = np.random.default_rng(3)
     points, n, place = some_points(rng, 1200)
-    tree = jaccard.packed(points, n, place)
+    tree = jaccard.packed(points, n, place, np.zeros(len(n), np.int64))
     assert len(tree.levels) == 3 and sorted(tree.order.tolist()) == list(range(1200))
-    q, p, bound = jaccard.search(tree, points, n, place, np.arange(1200), 80)
+    q, p, bound = jaccard.search(tree, points, n, place, np.zeros(len(n), np.int64), np.arange(1200), 80)
     assert (bound == np.minimum(points[q], points[p]).sum(1)).all()
     want = set(zip(*(x.tolist() for x in allowed(points, n, place)), strict=True))
     assert {(a, b) for a, b in zip(q.tolist(), p.tolist(), strict=True) if a < b} == want and len(want) > 1000
 
 
+def test_groups_share_a_tree():
+    """The group is a coordinate: pairs of one group only, and all of them; boxes of other groups aren't entered."""
+    rng = np.random.default_rng(5)
+    points, n, place = some_points(rng, 1200)
+    group = np.sort(rng.integers(0, 150, 1200))
+    tree = jaccard.packed(points, n, place, group)
+    q, p, _ = jaccard.search(tree, points, n, place, group, np.arange(1200), 80)
+    want = {(a, b) for a, b in zip(*(x.tolist() for x in allowed(points, n, place)), strict=True) if group[a] == group[b]}
+    assert {(a, b) for a, b in zip(q.tolist(), p.tolist(), strict=True) if a < b} == want and want
+
+
+def test_copies_in_many_parts_are_in_a_block_once(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, text) for k in range(200)] + [(900, text + " new"), (901, text + " more")], "doc_id long, text string").repartition(40)
+    seen = []
+    meeting = jaccard.meeting
+    jaccard.meeting = lambda rows, *a, **b: (seen.append(rows.groupBy("group", "sig").count().agg({"count": "max"}).first()[0]) if "sig" in rows.columns else None, meeting(rows, *a, **b))[1]
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    finally:
+        jaccard.meeting = meeting
+    assert set(got.values()) == {0} and len(got) == 202 and seen == [1]
+
+
 def test_small_sets_in_a_large_box():
     """A pair at exactly 0.8 whose leaf also has a set that only its size makes look near."""
     points = np.zeros((40, jaccard.GROUPS), np.uint16)
     points[:, :2] = [5, 5]
     points[1, :2] = [4, 4]
     n, place = points.sum(1).astype(int), np.zeros(40, int)
-    q, p, _ = jaccard.search(jaccard.packed(points, n, place), points, n, place, np.array([0]), 80)
+    q, p, _ = jaccard.search(jaccard.packed(points, n, place, np.zeros(len(n), np.int64)), points, n, place, np.zeros(len(n), np.int64), np.array([0]), 80)
     assert 1 in p.tolist()
 
 
