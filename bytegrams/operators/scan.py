@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bytegrams.functions import hashing
 from bytegrams.functions.bits import probed
 from bytegrams.functions.grams import auto_stride
-from bytegrams.functions.lz import lz_hashes
+from bytegrams.functions.lz import lz_hashes_of
 
 #: Bytes of content that are hashed together.
 PART = 4_000_000
@@ -111,9 +111,8 @@ def symbols(buffer: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
 def windows_of(buffer: np.ndarray, offsets: np.ndarray, spec: GramSpec) -> Windows:
     """All complete windows of a part whose bucket the stride keeps."""
     if spec.lz:
-        each = [lz_hashes(buffer[a:b].tobytes(), spec.phrases_only) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        hashed, start = np.concatenate(each) if each else np.zeros(0, np.uint32), np.zeros(len(doc), np.int64)
+        hashed, doc = lz_hashes_of(buffer, offsets, spec.phrases_only)
+        start = np.zeros(len(doc), np.int64)
     else:
         values, first, counts = symbols(buffer, offsets, spec.width)
         full = np.maximum(counts - spec.n + 1, 0)
@@ -280,6 +279,22 @@ def counters_reaching(slabs: DataFrame, least: int) -> np.ndarray:
     return out
 
 
+def fingerprint_groups(w: Windows, spec: GramSpec, by_document: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, its other half, count, number of a window that has it) of the distinct grams among windows, of those of
+    each document if by_document."""
+    one, two = hashing.fingerprints(w.buffer, spec.size, w.start)
+    order = np.argsort(one, kind="stable")  # within a fingerprint documents stay in their order
+    same = one[order][1:] == one[order][:-1]
+    if (same & (two[order][1:] != two[order][:-1])).any():
+        order = np.lexsort((two, one))
+    one, two, doc = one[order], two[order], w.doc[order]
+    new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+    first = np.r_[True, new[1:] | (doc[1:] != doc[:-1])]  # of each document
+    begin = np.flatnonzero(first if by_document else new)
+    count = np.add.reduceat(first if spec.count_mode == "documents" else np.ones(len(one), np.int64), begin, dtype=np.int64)
+    return one[begin], two[begin], count, order[begin]
+
+
 def bucket_hash(bucket: Column) -> Column:
     """64-bit hashes of buckets for a bit map: their leading bits."""
     return F.shiftleft(bucket.cast("long"), 32)
@@ -294,7 +309,6 @@ def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | N
     """
     shared = docs.sparkSession.sparkContext.broadcast((whitelist, counters, buckets))
     docs = docs.withColumn("holder", F.xxhash64("doc_id"))
-    once = spec.count_mode == "documents"
 
     def each(rows, buffer, offsets):
         whitelist, counters, buckets = shared.value
@@ -305,20 +319,10 @@ def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | N
             w = w.where(probed(counters, counter_hash(w.bucket)))
         if not len(w.start):
             return None
-        one, two = hashing.fingerprints(buffer, spec.size, w.start)
-        order = np.argsort(one, kind="stable")  # within a fingerprint documents stay in their order
-        same = one[order][1:] == one[order][:-1]
-        if (same & (two[order][1:] != two[order][:-1])).any():
-            order = np.lexsort((two, one))
-        one, two, doc = one[order], two[order], w.doc[order]
-        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        first = np.r_[True, new[1:] | (doc[1:] != doc[:-1])]  # of each document
-        begin = np.flatnonzero(first if ids else new)
-        count = np.add.reduceat(first if once else np.ones(len(one), np.int64), begin, dtype=np.int64)
-        at = w.start[order][begin] - offsets[doc[begin]]
-        place = pa.array(doc[begin])
-        bucket = pa.array(w.bucket[order][begin])
-        return [*[rows.column(c).take(place) for c in ids], pa.array(one[begin].astype(np.int64)), pa.array(two[begin].astype(np.int64)), bucket, pa.array(count), rows.column("holder").take(place), pa.array(at)]
+        one, two, count, at = fingerprint_groups(w, spec, bool(ids))
+        place = pa.array(w.doc[at])
+        bucket, at = pa.array(w.bucket[at]), w.start[at] - offsets[w.doc[at]]
+        return [*[rows.column(c).take(place) for c in ids], pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), bucket, pa.array(count), rows.column("holder").take(place), pa.array(at)]
 
     types = "".join(f"{c} {_type(docs, c)}, " for c in ids)
     return mapped(docs, [*ids, "holder"], f"{types}one long, two long, bucket long, cnt long, holder long, at long", each)

@@ -3,12 +3,14 @@ profile that is too large for that a bit map does, and the windows that it lets
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from bytegrams.functions.bits import bit_map
 from bytegrams.functions.grams import content_slice
@@ -97,8 +99,16 @@ def long_form(vectors: DataFrame) -> DataFrame:
 
 
 def to_ml_vectors(vectors: DataFrame) -> DataFrame:
-    """features as sparse vectors of Spark's ML library. It makes them in Python, a row at a time: for those who train there."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    """features as sparse vectors of Spark's ML library: the same Arrow columns under its type, batch by batch."""
+    from pyspark.ml.linalg import VectorUDT
 
-    sparse = F.udf(lambda x: Vectors.sparse(x["size"], x["indices"], x["values"]), VectorUDT())
-    return vectors.withColumn("features", sparse("features"))
+    names = vectors.columns
+    schema = StructType([StructField(f.name, VectorUDT()) if f.name == "features" else f for f in vectors.schema])
+
+    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, indices, values = batch.column("features").flatten()
+            sparse = pa.StructArray.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), size, indices, values], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([sparse if c == "features" else batch.column(c) for c in names], names)
+
+    return vectors.mapInArrow(typed, schema)

@@ -18,6 +18,7 @@ from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
 from bytegrams.sources import corpus, libsvm, profile, ranges
 from bytegrams.sources.shared import remove, shared_folder, stored
+from bytegrams.streaming import counts as fed
 
 K, N = 20, 8
 VEC_N, VEC_K = 6, 60
@@ -110,14 +111,25 @@ def profile_exact(spark, sf_dir):
 
 def profile_stored(spark, sf_dir):
     """A profile that was saved and loaded again; its buckets are computed anew."""
+    return hexed(_saved(spark, jobs.select_grams(turns(spark, sf_dir), N, K, exact=True)).rows.select("feature_idx", "bucket", "gram", "cnt"))
+
+
+def _saved(spark, chosen):
     path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
-    profile.save_profile(jobs.select_grams(turns(spark, sf_dir), N, K, exact=True), path)
-    return hexed(profile.load_profile(spark, path).rows.select("feature_idx", "bucket", "gram", "cnt"))
+    profile.save_profile(chosen, path)
+    return profile.load_profile(spark, path)
+
+
+def profile_stored_hashed(spark, sf_dir):
+    """Every second bucket, as the default stride of eight bytes says, saved and loaded."""
+    return _saved(spark, jobs.select_grams(turns(spark, sf_dir), N, K, stride=None)).rows.select("feature_idx", "bucket", "cnt")
 
 
 def profile_facts(spark, sf_dir):
-    facts = jobs.select_grams(turns(spark, sf_dir), N, K, exact=True).facts()
-    return turns(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_docs")).select("n_docs", *[F.lit(facts[k]).cast("long").alias(k) for k in ("n", "kept", "filter_size")])
+    """What a saved profile tells of itself; more is asked for than there is, so some are missing."""
+    stored_profile = _saved(spark, jobs.select_grams(turns(spark, sf_dir), 2, 100_000))
+    facts = stored_profile.facts() | {"missing": stored_profile.missing}
+    return turns(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_docs")).select("n_docs", *[F.lit(facts[k]).cast("long").alias(k) for k in ("n", "kept", "missing", "filter_size")])
 
 
 def symbol_grams_w2(spark, sf_dir):
@@ -266,6 +278,25 @@ def lz_features(spark, sf_dir):
     return vectors.long_form(vectors.vectorize(docs, jobs.select_lz(docs, VEC_K, min_count=2)))
 
 
+def heavy_bounds(spark, sf_dir):
+    """Grams that must have a counter, by their exact counts, and whether the guaranteed bounds hold for them."""
+    docs, spec, room = documents(spark, sf_dir), GramSpec(4, count_mode="occurrences"), 4000
+    total = docs.agg(F.sum(F.greatest(F.length("content") - 3, F.lit(0)))).first()[0]
+    exact = counts.gram_counts(docs, spec, min_count=total // (room + 1) + 1)
+    bounds = sketch.heavy_grams(docs, spec, room)
+    held = F.coalesce((F.col("lower") <= F.col("cnt")) & (F.col("cnt") <= F.col("upper")), F.lit(False))
+    return hexed(exact.join(bounds, "gram", "left").select("gram", "cnt", held.alias("held")))
+
+
+def counts_fed(spark, sf_dir):
+    """Turns in ten feeds, some of them run again: a replayed batch counts once."""
+    path = f"{shared_folder(spark)}/fed-{uuid.uuid4().hex}"
+    docs = turns(spark, sf_dir)
+    for k in (0, 1, 2, 2, 3, 4, 5, 6, 3, 7, 8, 9):
+        fed.feed(docs.filter(F.col("conv_id") % 10 == k), GramSpec(N), path, str(k))
+    return topk.top_buckets(fed.totals(spark, path), K)
+
+
 def approx_topk(spark, sf_dir):
     return sketch.approx_top_grams(turns(spark, sf_dir), N, K, 100_000)
 
@@ -281,10 +312,10 @@ def approx_merged(spark, sf_dir):
 
 NAMES = (
     gram_topk_docfreq, gram_topk_occurrences, gram_topk_ties, gram_min_count, gram_large_n, gram_native, gram_chunked, bucket_topk, bucket_topk_occurrences,
-    bucket_stride, bucket_small_filter, bucket_merge, exact_two_pass, profile_hashed, profile_exact, profile_stored, profile_facts, symbol_grams_w2, symbol_grams_w4,
+    bucket_stride, bucket_small_filter, bucket_merge, exact_two_pass, profile_hashed, profile_exact, profile_stored, profile_stored_hashed, profile_facts, symbol_grams_w2, symbol_grams_w4,
     symbol_buckets_w2, symbol_buckets_w4, symbol_select, symbol_values, occurrence_long, occurrence_sets, occurrence_segments,
     gram_n1024, vec_joined_exact, vec_joined_hashed, vec_exact_binary, vec_exact_counts, vec_hashed_binary, vec_hashed_counts, vec_slice,
-    libsvm_lines, labels_two_class, labels_multi_class, gzip_detect, gzip_decode, range_grams, bucket_murmur3, lz_features, approx_topk, approx_merged,
+    libsvm_lines, labels_two_class, labels_multi_class, gzip_detect, gzip_decode, range_grams, bucket_murmur3, lz_features, heavy_bounds, counts_fed, approx_topk, approx_merged,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -355,6 +386,25 @@ def _murmur(n: int) -> str:
     return f"{_grams(n)},\n{steps}k AS (SELECT doc_id, CAST(xor(x, x >> 16) % {hashing.FILTER_SIZE} AS BIGINT) AS bucket FROM m5)"
 
 
+def _phrases() -> str:
+    """d (doc_id, h), and k (doc_id, bucket) of the running hashes of phrases, byte by byte. ``seen`` are those that ended one."""
+    m = "4294967295"
+    mul = lambda x, c: f"(({x}) * {c}::UBIGINT & {m})"
+    rot = lambda x, r: f"((({x}) * {1 << r} & {m}) | (({x}) >> {32 - r}))"
+    return f"""RECURSIVE {_TURNS.replace('h AS (', 'd AS (')},
+r AS (SELECT doc_id, 0 AS pos, 0::UBIGINT AS state, 0::UBIGINT AS word, 0::UBIGINT AS size, CAST([] AS UBIGINT[]) AS seen, NULL::UBIGINT AS x FROM d
+UNION ALL SELECT doc_id, pos, CASE WHEN ends THEN 0 ELSE state END, CASE WHEN ends THEN 0 ELSE word END, CASE WHEN ends THEN 0 ELSE size END, CASE WHEN ends THEN list_append(seen, x) ELSE seen END, x
+FROM (SELECT *, size > 2 AND NOT list_contains(seen, x) AS ends
+FROM (SELECT doc_id, pos, state, word, size, seen, xor(z, z >> 16) AS x
+FROM (SELECT doc_id, pos, state, word, size, seen, {mul('xor(z, z >> 13)', hashing.MIX2)} AS z
+FROM (SELECT doc_id, pos, state, word, size, seen, {mul('xor(z, z >> 16)', hashing.MIX1)} AS z
+FROM (SELECT doc_id, pos, CASE WHEN size % 4 = 0 THEN y ELSE state END AS state, CASE WHEN size % 4 = 0 THEN 0 ELSE word END AS word, size, seen, xor(CASE WHEN size % 4 = 0 THEN y ELSE a END, size) AS z
+FROM (SELECT doc_id, pos, state, word, size, seen, a, ({rot('a', 13)} * 5 + {hashing.ADD}) & {m} AS y
+FROM (SELECT doc_id, pos, state, word, size, seen, xor(state, {mul(rot(mul('word', hashing.C1), 15), hashing.C2)}) AS a
+FROM (SELECT doc_id, pos + 1 AS pos, state, word + (CAST('0x' || substr(h, 2 * pos + 1, 2) AS UBIGINT) << CAST(8 * (size % 4) AS INTEGER)) AS word, size + 1 AS size, seen FROM r JOIN d USING (doc_id) WHERE pos < len(h) // 2))))))))),
+k AS (SELECT doc_id, CAST(x % {hashing.FILTER_SIZE} AS BIGINT) AS bucket FROM r WHERE x IS NOT NULL)"""
+
+
 _W4 = f"{_grams(8, step=4)}, k AS (SELECT doc_id, CAST(({_number(0, 4)} * 31 + {_number(4, 4)}) % 4294967296 % {hashing.FILTER_SIZE} AS BIGINT) AS bucket FROM g)"
 _SYMBOLS = f"""f1 AS (SELECT s, (s + 1) * {0x9E3779B1}::UBIGINT % 4294967296 AS x FROM (SELECT CAST(range AS UBIGINT) AS s FROM range(65536))),
 f2 AS (SELECT s, xor(x, x >> 16) * {hashing.MIX1}::UBIGINT % 4294967296 AS x FROM f1), f3 AS (SELECT s, xor(x, x >> 13) * {hashing.MIX2}::UBIGINT % 4294967296 AS x FROM f2),
@@ -381,7 +431,12 @@ ORACLES = {
     "profile_hashed": f"WITH {_exact(N, K)} SELECT feature_idx, bucket, cnt FROM top",
     "profile_exact": f"WITH {_exact(N, K)} SELECT feature_idx, bucket, gram_hex, cnt FROM p",
     "profile_stored": f"WITH {_exact(N, K)} SELECT feature_idx, bucket, gram_hex, cnt FROM p",
-    "profile_facts": f"SELECT count(*) AS n_docs, {N}::BIGINT AS n, {K}::BIGINT AS kept, {hashing.FILTER_SIZE}::BIGINT AS filter_size FROM conversations",
+    "profile_stored_hashed": f"WITH {_buckets(N)}, c AS ({_count('bucket', 'k')}), top AS (SELECT * FROM c WHERE bucket % 2 = 0 ORDER BY cnt DESC, bucket LIMIT {K}) SELECT CAST(row_number() OVER (ORDER BY bucket) - 1 AS INTEGER) AS feature_idx, bucket, cnt FROM top",
+    "profile_facts": f"WITH {_buckets(2)} SELECT (SELECT count(*) FROM conversations) AS n_docs, 2::BIGINT AS n, count(DISTINCT bucket) AS kept, 100000 - count(DISTINCT bucket) AS missing, {hashing.FILTER_SIZE}::BIGINT AS filter_size FROM k",
+    "heavy_bounds": f"WITH {_grams(4, _DOCS)}, t AS (SELECT CAST(count(*) // 4001 AS BIGINT) AS least FROM g) SELECT gram_hex, count(*) AS cnt, true AS held FROM g GROUP BY gram_hex HAVING count(*) > (SELECT least FROM t)",
+    "lz_features": f"""WITH {_phrases()}, c AS ({_count('bucket', 'k')} HAVING count(DISTINCT doc_id) >= 2),
+top AS (SELECT bucket, CAST(row_number() OVER (ORDER BY bucket) - 1 AS INTEGER) AS feature_idx FROM (SELECT * FROM c ORDER BY cnt DESC, bucket LIMIT {VEC_K})) SELECT DISTINCT doc_id, feature_idx, 1.0::DOUBLE AS value FROM k JOIN top USING (bucket)""",
+    "counts_fed": f"WITH {_buckets(N)}, c AS ({_count('bucket', 'k')}) {_TOP_B}",
     "symbol_grams_w2": _keep(8, 2),
     "symbol_grams_w4": _keep(8, 4),
     "symbol_buckets_w4": f"WITH {_W4}, c AS ({_count('bucket', 'k')}) {_TOP_B}",

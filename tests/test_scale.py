@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bytegrams.functions import bits, hashing
-from bytegrams.operators import counts, scan, topk, vectors
+from bytegrams.functions import bits, hashing, lz
+from bytegrams.operators import counts, scan, sketch, topk, vectors
 from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
 from bytegrams.sources import corpus, profile, ranges
+from bytegrams.streaming import counts as fed
 
 TEXTS = {k: bytes(random.Random(k).choices(b"abc\x00", k=random.Random(-k).randrange(400))) for k in range(40)} | {50: None, 51: b"", 52: b"ab" * 700, 53: b"ab" * 700}
 
@@ -180,3 +181,84 @@ def test_inflate_in_small_pieces():
     for step in (1, 7, 1 << 20):
         pieces = list(ranges.inflate((raw[k : k + step] for k in range(0, len(raw), step)), 1000))
         assert b"".join(pieces) == text * 2 and max(map(len, pieces)) <= 1000
+
+
+def test_phrases_in_step():
+    """The same as a document alone, whatever the lengths; a set that is asked for many keys at once."""
+    rng = random.Random(9)
+    for lengths in ([], [0], [5000], [3, 0, 200, 200, 7], [rng.randrange(300) for _ in range(200)] + [20_000]):
+        texts = [bytes(rng.choices(b"ab\x00c", k=k)) for k in lengths]
+        offsets = np.cumsum([0, *map(len, texts)])
+        for only in (False, True):
+            got, doc = lz.lz_hashes_of(np.frombuffer(b"".join(texts), np.uint8), offsets, only)
+            want = [lz.lz_hashes(t, only) for t in texts]
+            assert got.tolist() == [x for w in want for x in w.tolist()] and doc.tolist() == [k for k, w in enumerate(want) for _ in w]
+    seen, known = lz.Seen(300), set()
+    for _ in range(30):
+        keys = np.array(rng.sample(range(1, 400), 50), np.uint64)
+        assert seen.add(keys).tolist() == [k not in known for k in keys.tolist()]
+        known |= set(keys.tolist())
+
+
+@pytest.mark.parametrize("mode", ["documents", "occurrences"])
+def test_bounds_are_guaranteed(docs, mode):
+    spec = GramSpec(3, count_mode=mode)
+    want = {bytes(r.gram): r.cnt for r in counts.gram_counts(docs, spec).collect()}
+    for room in (1, 6, 10**4):
+        found = {bytes(r.gram): (r.lower, r.upper) for r in sketch.heavy_grams(docs, spec, room).collect()}
+        error = sum(want.values()) // (room + 1)
+        assert len(found) <= room and all(a <= want[g] <= b <= a + error for g, (a, b) in found.items())
+        assert {g for g, c in want.items() if c > error} <= set(found)
+    assert {g: a for g, (a, _) in found.items()} == want
+    assert sketch.heavy_grams(docs.limit(0), spec, 5).collect() == []
+
+
+def test_summaries_in_a_tree(docs):
+    """Many tasks, two at a time: no summary is larger than the room, and the error is what was taken away."""
+    spec, room = GramSpec(3), 5
+    rows = sketch.gram_summaries(docs.repartition(11), spec, room)
+    assert rows.count() == 11
+    row = sketch.merged_summary(rows, room, 2).collect()
+    want = counts.gram_counts(docs, spec).agg(F.sum("cnt")).first()[0]
+    assert len(row) == 1 and row[0].total == want and len(row[0].one) <= room and row[0].error <= want // (room + 1)
+
+
+def test_compacting_store(spark, docs, tmp_path):
+    spec, path = GramSpec(3), str(tmp_path / "store")
+    assert fed.totals(spark, path).collect() == []
+    named = docs.filter("doc_id IS NOT NULL")
+    for k in [*range(12), 5, 11, 0]:
+        fed.feed(named.filter(F.col("doc_id") % 12 == k), spec, path, f"b{k}" if k % 3 else str(k))
+    last = fed.manifest(spark, path)
+    rows = [s["rows"] for s in last["segments"]]
+    assert last["number"] == 12 and rows == sorted(rows, reverse=True) and len(rows) < 7
+    assert last["ranges"] == [[0, 0], [3, 3], [6, 6], [9, 9]] and len(last["names"]) == 8
+    whole = {r.bucket: r.cnt for r in counts.bucket_counts(named, spec).collect()}
+    assert {r.bucket: r.cnt for r in fed.totals(spark, path).collect()} == whole
+    kept = set(os.listdir(tmp_path / "store" / "segments"))
+    assert {s["name"] for s in last["segments"]} <= kept and len(kept) <= len(rows) + len(last["gone"])
+
+
+def test_feed_that_fails_counts_nothing(spark, docs, tmp_path, monkeypatch):
+    spec, path = GramSpec(3), str(tmp_path / "store")
+    fed.feed(docs.limit(5), spec, path, "one")
+    before = sorted(map(tuple, fed.totals(spark, path).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(fed, "_swap", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            fed.feed(docs, spec, path, "two")
+    assert sorted(map(tuple, fed.totals(spark, path).collect())) == before
+    with pytest.raises(RuntimeError):  # another feed was faster
+        fed._swap(spark, path, fed.manifest(spark, path))
+    fed.feed(docs, spec, path, "two")
+    assert fed.totals(spark, path).agg(F.sum("cnt")).first()[0] > sum(c for _, c in before)
+
+
+def test_ml_vectors_without_a_row_function(docs):
+    chosen = jobs.select_grams(docs, 3, 20)
+    typed = vectors.to_ml_vectors(vectors.vectorize(docs.withColumn("kind", F.lit("x")), chosen, "counts"))
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "MapInArrow" in plan
+    from pyspark.ml.feature import Normalizer
+
+    assert Normalizer(inputCol="features", outputCol="unit").transform(typed).count() == docs.count()
