@@ -16,31 +16,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytegrams.llm.common import cut, texts
+from bytegrams.llm.common import cut, fresh, texts
 
 PIECE = r"[^\x20\x09-\x0D]{1,8}"
-#: Low bits of a packed number hold the position; texts of more pieces than that share the last one.
-PLACE = 24
+#: Low bits of a packed number hold the position, the others the hash. Texts of LONG pieces or more need more for it.
+PLACE, PLACE_OF_LONG = 24, 31
+LONG = 1 << PLACE
 NONE = "----"
 
 
-def packed(hashes: Column) -> Column:
+def packed(hashes: Column, bits: int) -> Column:
     """Hash above, position below, as numbers that sort by hash, then position."""
-    last = (1 << PLACE) - 1
-    return F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE).bitwiseAND(F.lit((1 << 63) - 1 - last)).bitwiseOR(F.least(i, F.lit(last)).cast("long")))
+    return F.transform(hashes, lambda h, i: F.shiftleft(h, bits).bitwiseAND(F.lit((1 << 63) - (1 << bits))).bitwiseOR(i.cast("long")))
 
 
-def place_of(x: Column) -> Column:
-    return x.bitwiseAND(F.lit((1 << PLACE) - 1))
+def place_of(x: Column, bits: int) -> Column:
+    return x.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def hash_of(x: Column) -> Column:
-    return F.shiftright(x, PLACE)
+def hash_of(x: Column, bits: int) -> Column:
+    return F.shiftright(x, bits)
 
 
-def numbered(x: Column, occurrence: Column) -> Column:
+def numbered(x: Column, occurrence: Column, bits: int) -> Column:
     """A packed k-mer with the hash of (k-mer, occurrence) in the place of its own."""
-    return F.xxhash64(hash_of(x), occurrence.cast("int")).bitwiseAND(F.lit((1 << 63) - (1 << PLACE))).bitwiseOR(place_of(x))
+    return F.xxhash64(hash_of(x, bits), occurrence.cast("int")).bitwiseAND(F.lit((1 << 63) - (1 << bits))).bitwiseOR(place_of(x, bits))
 
 
 def starts_where(values: Column, key) -> Column:
@@ -51,38 +51,44 @@ def starts_where(values: Column, key) -> Column:
 def fingerprints(df: DataFrame, text: str, out: str, k: int = 2, sketches: int = 64) -> DataFrame:
     """df with column ``out``, an array of ``sketches`` strings of 4 hexadecimal digits, ---- for one without k-mers.
 
-    A text of fewer than k pieces is one k-mer; an empty one has none.
+    A text of fewer than k pieces is one k-mer; an empty one has none. Very
+    long texts are fingerprinted whole: from LONG pieces on positions take 31
+    bits, more than a text can have pieces, and 32 name a k-mer in place of 39.
     """
     bins = 2 * sketches
     bits = bins.bit_length() - 1
     if bins != 1 << bits:
         raise ValueError("sketches must be a power of two")
     keep = df.columns
+    w, long_, s, r, b, i_, m, at = fresh(df, "pieces", "long", "kmers", "runs", "numbered", "starts", "least", "at")
+    either = lambda f: F.when(F.col(long_), f(PLACE_OF_LONG)).otherwise(f(PLACE))
     # each step is a projection of its own: what a later one uses more than once is computed once
-    df = df.withColumn("__w", F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
-    n = F.size("__w")
-    kmers = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice("__w", i, k)))).when(n > 0, F.array(F.xxhash64("__w"))).otherwise(F.array().cast("array<bigint>"))
-    df = df.select(*keep, F.sort_array(packed(kmers)).alias("__s"))
-    df = df.withColumn("__r", starts_where(F.col("__s"), hash_of))  # the place in a run is the occurrence number
-    stop = lambda r: F.coalesce(F.get("__r", r + 1), F.size("__s"))
-    runs = F.flatten(F.transform("__r", lambda s, r: F.transform(F.slice("__s", s + 1, stop(r) - s), numbered)))
-    once = F.transform("__s", lambda x: numbered(x, F.lit(0)))
-    df = df.select(*keep, F.sort_array(F.when(F.size("__r") == F.size("__s"), once).otherwise(runs)).alias("__b"))
+    df = df.withColumn(w, F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
+    n = F.size(w)
+    kmers = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    df = df.select(*keep, (n >= LONG).alias(long_), kmers.alias(s))
+    df = df.select(*keep, long_, F.sort_array(either(lambda p: packed(F.col(s), p))).alias(s))
+    df = df.withColumn(r, either(lambda p: starts_where(F.col(s), lambda x: hash_of(x, p))))  # the place in a run is the occurrence number
+    stop = lambda i: F.coalesce(F.get(r, i + 1), F.size(s))
+    runs = lambda p: F.flatten(F.transform(r, lambda x, i: F.transform(F.slice(s, x + 1, stop(i) - x), lambda y, j: numbered(y, j, p))))
+    once = lambda p: F.transform(s, lambda x: numbered(x, F.lit(0), p))
+    df = df.select(*keep, long_, F.sort_array(F.when(F.size(r) == F.size(s), either(once)).otherwise(either(runs))).alias(b))
     bin_of = lambda x: F.shiftright(x, 63 - bits).cast("int")
-    df = df.withColumn("__i", starts_where(F.col("__b"), bin_of)).select(*keep, F.transform("__i", lambda i: F.get("__b", i)).alias("__m"))
-    full = F.size("__m") == bins
-    df = df.withColumn("__at", F.when(~full, F.map_from_arrays(F.transform("__m", bin_of), F.col("__m"))))
+    df = df.withColumn(i_, starts_where(F.col(b), bin_of)).select(*keep, long_, F.transform(i_, lambda i: F.get(b, i)).alias(m))
+    full = F.size(m) == bins
+    df = df.withColumn(at, F.when(~full, F.map_from_arrays(F.transform(m, bin_of), F.col(m))))
 
-    def sketch(j: Column) -> Column:
-        a, b = (F.when(full, F.get("__m", 2 * j + i)).otherwise(F.element_at("__at", 2 * j + i)) for i in (0, 1))
-        return _tuple(a, b)
+    def sketch(j: Column, p: int) -> Column:
+        x, y = (F.when(full, F.get(m, 2 * j + i)).otherwise(F.element_at(at, 2 * j + i)) for i in (0, 1))
+        return _tuple(x, y, p)
 
-    return df.select(*keep, F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), sketch).alias(out))
+    return df.select(*keep, either(lambda p: F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda j: sketch(j, p))).alias(out))
 
 
-def _tuple(a: Column, b: Column) -> Column:
+def _tuple(a: Column, b: Column, bits: int) -> Column:
     """The hash of two selected k-mers in text order."""
-    pair = F.when(place_of(a) <= place_of(b), F.xxhash64(hash_of(a), hash_of(b))).when(place_of(a) > place_of(b), F.xxhash64(hash_of(b), hash_of(a))).otherwise(F.xxhash64(hash_of(F.coalesce(a, b))))
+    one, two = hash_of(a, bits), hash_of(b, bits)
+    pair = F.when(place_of(a, bits) <= place_of(b, bits), F.xxhash64(one, two)).when(place_of(a, bits) > place_of(b, bits), F.xxhash64(two, one)).otherwise(F.xxhash64(hash_of(F.coalesce(a, b), bits)))
     return F.when(a.isNull() & b.isNull(), NONE).otherwise(F.lower(F.right(F.lpad(F.hex(pair), 16, "0"), F.lit(4))))
 
 

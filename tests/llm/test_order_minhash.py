@@ -19,16 +19,16 @@ def xx(*values):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def plain_fingerprint(text, k=2, sketches=64):
+def plain_fingerprint(text, k=2, sketches=64, bits=24):
     """Order MinHash as stated: minimal numbered k-mers of each bin, two bins a sketch, in text order."""
     pieces = [xx(p) for p in re.findall(r"[^\x20\x09-\x0d]{1,8}", text or "")]
     kmers = [xx(*pieces[i : i + k]) for i in range(max(1, len(pieces) - k + 1))] if pieces else []
     seen, least = {}, {}
     for place, h in enumerate(kmers):
-        h &= (1 << 39) - 1
+        h &= (1 << 63 - bits) - 1
         n = seen[h] = seen.get(h, -1) + 1
-        value = (xx(h, (n,)) & (1 << 63) - 1) >> 24
-        b = value >> 32
+        value = (xx(h, (n,)) & (1 << 63) - 1) >> bits
+        b = value >> 56 - bits
         least[b] = min(least.get(b, (1 << 63, 0)), (value, place))
     out = []
     for j in range(sketches):
@@ -87,6 +87,17 @@ def test_as_stated(spark):
         assert got == {i: plain_fingerprint(t, k) for i, t in enumerate(cases)}
 
 
+def test_texts_of_many_pieces(spark, monkeypatch):
+    """As if 50 pieces were too many for 24 bits; columns of the names that are used inside stay."""
+    monkeypatch.setattr(omh, "LONG", 50)
+    rng = random.Random(6)
+    cases = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 49, 50, 51, 3000)]
+    docs = spark.createDataFrame([(k, t, 7, "x") for k, t in enumerate(cases)], "doc_id long, text string, kmers int, at string")
+    rows = omh.fingerprints(docs, "text", "fingerprint").collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == {k: plain_fingerprint(t, bits=31 if len(t.split()) >= 50 else 24) for k, t in enumerate(cases)}
+    assert all((r.kmers, r.at) == (7, "x") for r in rows)
+
+
 def test_selects_minimal_and_keeps_order(spark):
     words = [f"w{k}" for k in range(400)]
     rng = random.Random(1)
