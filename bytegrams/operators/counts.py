@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytegrams.functions.bits import bit_map
@@ -57,9 +57,14 @@ def gram_counts(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None =
     return at_least(rows.groupBy("gram").agg(F.sum("cnt").alias("cnt")), min_count)
 
 
+def _place() -> list[Column]:
+    """Where a gram stands: one of its rows gives all three."""
+    return [F.first(c).alias(c) for c in ("holder", "at", "head")]
+
+
 def fingerprint_counts(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, min_count: int = 0, chunked: bool = False, buckets: DataFrame | None = None) -> DataFrame:
-    """(one, two, cnt, holder, at): exact counts of grams by their fingerprints of 122 bits, each with a place where it stands.
-    A row has the same few bytes for any gram size.
+    """(one, two, cnt, holder, at, head): exact counts of grams by their fingerprints of 122 bits, each with a place where it
+    stands and its first bytes. A row has the same few bytes for any gram size.
 
     buckets: any number of them, in place of whitelist; a bit map of them prunes windows, and a join by shuffle decides.
     """
@@ -68,11 +73,11 @@ def fingerprint_counts(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray |
     rows = scan.part_fingerprints(whole, spec, whitelist, counters, bits) if whole else None
     if split:
         each = scan.part_fingerprints(split, spec, whitelist, counters, bits, ["doc_id"])
-        each = each.groupBy("doc_id", "one", "two").agg(F.first("bucket").alias("bucket"), F.lit(1).cast("long").alias("cnt"), F.first("holder").alias("holder"), F.first("at").alias("at")).drop("doc_id")
+        each = each.groupBy("doc_id", "one", "two").agg(F.first("bucket").alias("bucket"), F.lit(1).cast("long").alias("cnt"), *_place()).drop("doc_id")
         rows = rows.unionByName(each) if rows else each
     if buckets:
         rows = rows.join(buckets.select("bucket"), "bucket", "left_semi")
-    return at_least(rows.groupBy("one", "two").agg(F.sum("cnt").alias("cnt"), F.first("holder").alias("holder"), F.first("at").alias("at")), min_count)
+    return at_least(rows.groupBy("one", "two").agg(F.sum("cnt").alias("cnt"), *_place()), min_count)
 
 
 #: Grams whose places may be broadcast: 40 bytes each.

@@ -215,70 +215,99 @@ def counter_hash(bucket: np.ndarray) -> np.ndarray:
     return (bucket.astype(np.uint32) * np.uint32(0x9E3779B1)).astype(np.uint64) << np.uint64(32)
 
 
+def _slab(number: int, counts: np.ndarray) -> pa.RecordBatch:
+    """A slab as a row: the places of counts that aren't 0 (none are named if nearly all are so), and the counts, with four
+    bytes each if they fit."""
+    kind = np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64
+    at = np.flatnonzero(counts)
+    places = at.astype(np.uint16).tobytes() if len(at) * 4 < len(counts) * 3 else b""
+    held = counts[at] if places else counts
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([places], pa.binary()), pa.array([held.astype(kind).tobytes()], pa.binary())], ["slab", "places", "counts"])
+
+
+def slab_counts(places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts) of a row of counter_slabs."""
+    n = len(places) // 2 or 1 << SLAB_BITS
+    at = np.frombuffer(places, np.uint16).astype(np.int64) if places else np.arange(n)
+    return at, np.frombuffer(counts, np.uint32 if len(counts) == 4 * n else np.int64).astype(np.int64)
+
+
+def _slabs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for number, places, counts in zip(*(batch.column(c).to_pylist() for c in ("slab", "places", "counts")), strict=True):
+            yield number, *slab_counts(places, counts)
+
+
+SLABS = "slab int, places binary, counts binary"
+
+
 def counter_slabs(docs: DataFrame, spec: GramSpec) -> DataFrame:
-    """(slab, counts): how many windows each of 2 ** COUNTER_BITS hash classes of buckets has, 2 ** SLAB_BITS of them a row, as
-    64-bit numbers. A task adds up its own in one array; no window becomes a row."""
-    size = 1 << SLAB_BITS
+    """(slab, places, counts): how many windows each of 2 ** COUNTER_BITS hash classes of buckets has, 2 ** SLAB_BITS of them a
+    row (slab_counts reads it). A task adds up its own in one array; no window becomes a row."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.uint32)
         windows = 0
+
+        def slabs() -> Iterator[pa.RecordBatch]:
+            return (_slab(k, x) for k, x in enumerate(total.reshape(-1, 1 << SLAB_BITS)) if x.any())
+
         for batch in batches:
             for _, buffer, offsets in parts(batch, "content"):
                 place = counter_hash(windows_of(buffer, offsets, spec).bucket) >> np.uint64(64 - COUNTER_BITS)
                 if (windows := windows + len(place)) >= 1 << 32:  # before a counter can be full
-                    yield from (slab(k, x.astype(np.int64)) for k, x in enumerate(total.reshape(-1, size)) if x.any())
+                    yield from slabs()
                     total[:], windows = 0, len(place)
                 np.add.at(total, place.astype(np.int64), np.uint32(1))
-        yield from (slab(k, x.astype(np.int64)) for k, x in enumerate(total.reshape(-1, size)) if x.any())
+        if windows:
+            yield from slabs()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column("slab").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
-        for k, x in total.items():
-            yield slab(k, x)
-
-    def slab(k: int, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["slab", "counts"])
+        for number, at, counts in _slabs_of(batches):
+            total.setdefault(number, np.zeros(1 << SLAB_BITS, np.int64))[at] += counts
+        for number, counts in total.items():
+            yield _slab(number, counts)
 
-    return docs.select("content").mapInArrow(counted, "slab int, counts binary").repartition("slab").mapInArrow(summed, "slab int, counts binary")
+    return docs.select("content").mapInArrow(counted, SLABS).repartition("slab").mapInArrow(summed, SLABS)
 
 
 def largest_counters(slabs: DataFrame, k: int) -> np.ndarray:
     """A bit map of the k largest counters that aren't 0; a slab gives k of its own at most."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, raw in zip(batch.column("slab").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts = np.frombuffer(raw, np.int64)
-                at = np.argsort(-counts, kind="stable")[:k]
-                at = at[counts[at] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array((number << SLAB_BITS) + at), pa.array(counts[at])], ["counter", "cnt"])
+        for number, at, counts in _slabs_of(batches):
+            first = np.argsort(-counts, kind="stable")[:k]
+            first = first[counts[first] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array((number << SLAB_BITS) + at[first]), pa.array(counts[first])], ["counter", "cnt"])
 
     rows = slabs.mapInArrow(best, "counter long, cnt long").orderBy(F.desc("cnt"), "counter").limit(k).select("counter").toArrow()
-    place = rows.column("counter").to_numpy()
-    out = np.zeros(1 << (COUNTER_BITS - 6), np.uint64)
-    np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
-    return out
+    return _bits(rows.column("counter").to_numpy())
 
 
 def counters_reaching(slabs: DataFrame, least: int) -> np.ndarray:
     """A bit map of the counters with ``least`` or more."""
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(np.frombuffer(raw, np.int64) >= least, bitorder="little").tobytes() for raw in batch.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("slab"), pa.array(bits, pa.binary())], ["slab", "bits"])
+        for number, at, counts in _slabs_of(batches):
+            bits = np.zeros(1 << SLAB_BITS, bool)
+            bits[at[counts >= least]] = True
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slab", "bits"])
 
-    out = np.zeros(1 << (COUNTER_BITS - 6), np.uint64)
+    out = _bits(np.zeros(0, np.int64))
     each = out.reshape(-1, 1 << (SLAB_BITS - 6))
     for row in slabs.mapInArrow(reached, "slab int, bits binary").collect():  # 2 ** COUNTER_BITS bits in all
         each[row["slab"]] = np.frombuffer(row["bits"], np.uint64)
     return out
 
 
+def _bits(counters: np.ndarray) -> np.ndarray:
+    """A bit map with those counters' bits."""
+    out = np.zeros(1 << (COUNTER_BITS - 6), np.uint64)
+    np.bitwise_or.at(out, counters >> 6, np.uint64(1) << (counters & 63).astype(np.uint64))
+    return out
+
+
 def fingerprint_groups(w: Windows, spec: GramSpec, by_document: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, its other half, count, number of a window that has it) of the distinct grams among windows, of those of
     each document if by_document."""
@@ -295,14 +324,23 @@ def fingerprint_groups(w: Windows, spec: GramSpec, by_document: bool = False) ->
     return one[begin], two[begin], count, order[begin]
 
 
+def heads(w: Windows, which: np.ndarray, size: int) -> np.ndarray:
+    """The first eight bytes of these windows (zeros after shorter ones) as signed numbers that sort like the bytes."""
+    out = np.zeros(len(which), np.uint64)
+    for k in range(min(size, 8)):
+        out |= w.buffer[w.start[which] + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def bucket_hash(bucket: Column) -> Column:
     """64-bit hashes of buckets for a bit map: their leading bits."""
     return F.shiftleft(bucket.cast("long"), 32)
 
 
 def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, buckets: np.ndarray | None = None, ids: Sequence[str] = ()) -> DataFrame:
-    """(one, two, bucket, cnt, holder, at): the fingerprint of each distinct gram of a part, how often it counts, and where it
-    stands once: at byte ``at`` of a document whose id has the hash ``holder``. No bytes of grams become rows.
+    """(one, two, bucket, cnt, holder, at, head): the fingerprint of each distinct gram of a part, how often it counts, where it
+    stands once: at byte ``at`` of a document whose id has the hash ``holder``, and its first eight bytes as a number that
+    sorts like them. No more of a gram's bytes becomes a row.
 
     Only windows in whitelisted buckets, and in those of the two bit maps, of counters and of bucket_hash. ids: columns that
     come first; then a gram has a row once a document.
@@ -319,13 +357,13 @@ def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | N
             w = w.where(probed(counters, counter_hash(w.bucket)))
         if not len(w.start):
             return None
-        one, two, count, at = fingerprint_groups(w, spec, bool(ids))
-        place = pa.array(w.doc[at])
-        bucket, at = pa.array(w.bucket[at]), w.start[at] - offsets[w.doc[at]]
-        return [*[rows.column(c).take(place) for c in ids], pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), bucket, pa.array(count), rows.column("holder").take(place), pa.array(at)]
+        one, two, count, order = fingerprint_groups(w, spec, bool(ids))
+        place = pa.array(w.doc[order])
+        bucket, at = pa.array(w.bucket[order]), w.start[order] - offsets[w.doc[order]]
+        return [*[rows.column(c).take(place) for c in ids], pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), bucket, pa.array(count), rows.column("holder").take(place), pa.array(at), pa.array(heads(w, order, spec.size))]
 
     types = "".join(f"{c} {_type(docs, c)}, " for c in ids)
-    return mapped(docs, [*ids, "holder"], f"{types}one long, two long, bucket long, cnt long, holder long, at long", each)
+    return mapped(docs, [*ids, "holder"], f"{types}one long, two long, bucket long, cnt long, holder long, at long, head long", each)
 
 
 def fingerprinted(grams: DataFrame, size: int) -> DataFrame:

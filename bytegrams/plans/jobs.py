@@ -50,15 +50,21 @@ def exact_top_grams(docs: DataFrame, spec: GramSpec, k: int, ties: str = "cut",
         reaching = scan.counters_reaching(slabs, least)
     finally:
         slabs.unpersist()
-    return topk.top_grams(_bytes_of_top(docs, counts.fingerprint_counts(docs, spec, counters=reaching, min_count=least, chunked=chunked), spec, k), k, ties)
+    return topk.top_grams(_bytes_of_top(docs, counts.fingerprint_counts(docs, spec, counters=reaching, min_count=least, chunked=chunked), spec, k, ties), k, ties)
 
 
-def _bytes_of_top(docs: DataFrame, found: DataFrame, spec: GramSpec, k: int) -> DataFrame:
-    """(gram, cnt) of the fingerprints that count as much as the k-th."""
+def _bytes_of_top(docs: DataFrame, found: DataFrame, spec: GramSpec, k: int, ties: str) -> DataFrame:
+    """(gram, cnt) of the fingerprints that count as much as the k-th; if ties are cut, of those that tie with it only where
+    their first bytes may be small enough. So few bytes are fetched, however many grams count the same."""
     found = found.persist()
     try:
-        last = found.orderBy(F.desc("cnt")).limit(k).agg(F.min("cnt")).first()[0] or 0
-        top = stored(counts.at_least(found, last), "top")
+        order = [F.desc("cnt"), F.col("head")]
+        last = found.orderBy(*order).limit(k).select(F.min(F.struct(F.col("cnt"), -F.col("head").cast("decimal(20,0)"))).alias("x")).select("x.*").first()
+        top = found
+        if last[0] is not None:
+            tied = F.col("cnt") == last[0]
+            top = found.filter((F.col("cnt") > last[0]) | (tied if ties == "keep" else tied & (F.col("head") <= int(-last[1]))))
+        top = stored(top, "top")
     finally:
         found.unpersist()
     return counts.with_bytes(docs, top, spec)
@@ -87,7 +93,7 @@ def select_grams(
     else:
         whitelist = np.sort(np.array([r["bucket"] for r in top.select("bucket").collect()], np.int64))
         found = counts.fingerprint_counts(docs, spec, whitelist, None, min_count, chunked)
-    grams = _bytes_of_top(docs, found, spec, k)
+    grams = _bytes_of_top(docs, found, spec, k, ties)
     if k > most:
         grams = stored(topk.first_rows(grams, k, "gram") if ties == "cut" else grams, "grams")
         rows = topk.numbered(grams, "feature_idx", F.desc("cnt"), F.col("gram"))

@@ -29,12 +29,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return corpus.docs_from_table(read(spark, sf_dir, "documents"), "doc_id", "text", *keep)
+    return corpus.docs_from_table(corpus.dealt(read(spark, sf_dir, "documents")), "doc_id", "text", *keep)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation is a document."""
-    rows = read(spark, sf_dir, "conversations").withColumn("name", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    rows = corpus.dealt(read(spark, sf_dir, "conversations")).withColumn("name", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     return corpus.docs_from_table(rows, "name", "text", "role", "conv_id")
 
 

@@ -36,6 +36,13 @@ def docs_from_table(table: DataFrame, id_column: str, column: str, *keep: str) -
     return table.select(F.col(id_column).alias("doc_id"), content.alias("content"), *keep)
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores, dealt out to all of them: one file can be one partition. Larger
+    tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def is_gzip(content: Column) -> Column:
     """Whether a header says so: bytes 1f 8b, then a method of 0 to 8."""
     head = F.hex(F.substring(content, 1, 3))

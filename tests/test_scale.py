@@ -58,7 +58,7 @@ def test_late_bytes(docs, n, mode):
 
 def test_shuffle_has_no_bytes(docs):
     """The rows that are grouped have numbers only."""
-    assert [t for _, t in counts.fingerprint_counts(docs, GramSpec(300)).dtypes] == ["bigint"] * 5
+    assert [t for _, t in counts.fingerprint_counts(docs, GramSpec(300)).dtypes] == ["bigint"] * 6
 
 
 def test_only_split_documents_are_made_distinct(docs):
@@ -75,8 +75,15 @@ def test_only_split_documents_are_made_distinct(docs):
 
 def test_counters_that_fill_up(spark, docs):
     slabs = scan.counter_slabs(docs, GramSpec(2)).collect()
-    total = sum(int(np.frombuffer(r["counts"], np.int64).sum()) for r in slabs)
+    total = sum(int(scan.slab_counts(r["places"], r["counts"])[1].sum()) for r in slabs)
     assert total == sum(max(0, len(t or b"") - 1) for t in [*TEXTS.values(), TEXTS[8], TEXTS[7], TEXTS[9]])
+    for some, largest in ((0, 0), (100, 5), (60_000, 2**31), (65_536, 2**40), (9, 2**40)):
+        counts_ = np.zeros(1 << scan.SLAB_BITS, np.int64)
+        counts_[:some] = largest
+        at, held = scan.slab_counts(*(scan._slab(3, counts_).column(c)[0].as_py() for c in ("places", "counts")))
+        back = np.zeros_like(counts_)
+        back[at] = held
+        assert (back == counts_).all()
 
 
 @pytest.mark.parametrize("exact", [True, False])
