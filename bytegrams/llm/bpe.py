@@ -167,8 +167,9 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     vocabulary: the tokenizer's JSON, at a path that every executor has, or a
     name given to SparkContext.addFile. Null and empty texts have no tokens.
-    Rows are coded each on their own: repeated rows and ids stay. No rows: no
-    rows. Further columns are ignored.
+    Rows are coded each on their own: repeated rows and ids stay. Very long
+    texts are coded whole, split by split. No rows: no rows. Further columns
+    are ignored.
     """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

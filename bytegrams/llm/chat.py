@@ -82,8 +82,9 @@ def format_chat(turns: DataFrame, template: ChatTemplate | None = None) -> DataF
 
     Null text, null parts and null role are empty. Rows with the same turn
     stay, ordered by role, then content. A null conv_id is a conversation of
-    its own, a null turn comes first. No rows: no rows. Further columns are
-    ignored.
+    its own, a null turn comes first. No rows: no rows. Very long texts stay
+    whole; a conversation is one row, so its texts must fit into one. Further
+    columns are ignored.
     """
     template = template or ChatTemplate()
     parts = F.col("parts").cast(PARTS_TYPE) if "parts" in turns.columns else text_part(F.col("text"))

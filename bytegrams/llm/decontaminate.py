@@ -112,7 +112,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_grams:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_grams: int = 200_000) -> DataFrame:
-    """The rows of docs, all columns, whose own text isn't contaminated, whatever other rows have their id."""
+    """The rows of docs, all columns, whose own text isn't contaminated, whatever other rows have their id.
+
+    Null and empty texts are clean, and so is all where the benchmark is
+    empty; repeated rows go or stay together. No rows: no rows.
+    """
     content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     # the text's hash goes through in the place of the id, as it is the text that is judged
     named = docs.select(content.alias("doc_id"), "text")

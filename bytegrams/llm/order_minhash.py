@@ -153,7 +153,8 @@ def edit_test(docs: DataFrame, k: int = 2, sketches: int = 64) -> DataFrame:
 
     edited: the last half (rounded down) of the code points gives way to the
     first as many, or all, of the next text (see ``with_next``). Null texts
-    are empty ones. No rows: no rows. Further columns are ignored.
+    are empty ones. Very long texts are read whole, and repeated rows are
+    rows each. No rows: no rows. Further columns are ignored.
     """
     # a fingerprint is one string where it is shuffled
     marked = fingerprints(texts(docs), "text", "fingerprint", k, sketches).withColumn("fingerprint", as_text(F.col("fingerprint")))

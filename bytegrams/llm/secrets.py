@@ -103,6 +103,8 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     Null texts are empty and share the blob of the empty text. A repeated row
     is another path of its blob. No rows: nothing found, nothing to append.
     Further columns are ignored. Where rules overlap, all their spans stay.
+    Very long texts are scanned whole, and many findings take work in
+    proportion.
     """
     new = cut(scan_unseen(docs, ledger, rules))
     known = new if ledger is None else new.unionByName(ledger.select("blob", "rule", "spans"))
