@@ -6,7 +6,6 @@ Grams are compared as hexadecimal strings. The SQL splits a text into its bytes
 from __future__ import annotations
 
 import gzip
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from bytegrams.operators import counts, labels, occurrences, sketch, topk, vecto
 from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
 from bytegrams.sources import corpus, libsvm, profile, ranges
-from bytegrams.sources.shared import remove, shared_folder, stored
+from bytegrams.sources.shared import place, remove, stored
 from bytegrams.streaming import counts as fed
 
 K, N = 20, 8
@@ -115,7 +114,7 @@ def profile_stored(spark, sf_dir):
 
 
 def _saved(spark, chosen):
-    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    path = place(spark, "profile")
     profile.save_profile(chosen, path)
     return profile.load_profile(spark, path)
 
@@ -260,7 +259,7 @@ def gzip_decode(spark, sf_dir):
 
 def range_grams(spark, sf_dir):
     """Documents as gzipped text files, read in ranges of 64 KB that overlap: grams of three bytes inside lines."""
-    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    path = place(spark, "files")
     read(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("compression", "gzip").text(path)
     rows = stored(ranges.read_ranges(spark, path, 2, 1 << 16), "ranges")
     remove(spark, path)
@@ -290,7 +289,7 @@ def heavy_bounds(spark, sf_dir):
 
 def counts_fed(spark, sf_dir):
     """Turns in ten feeds, some of them run again: a replayed batch counts once."""
-    path = f"{shared_folder(spark)}/fed-{uuid.uuid4().hex}"
+    path = place(spark, "fed")
     docs = turns(spark, sf_dir)
     for k in (0, 1, 2, 2, 3, 4, 5, 6, 3, 7, 8, 9):
         fed.feed(docs.filter(F.col("conv_id") % 10 == k), GramSpec(N), path, str(k))

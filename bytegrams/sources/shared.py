@@ -20,9 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet, below the one of this application."""
+    return f"{shared_folder(spark)}/{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"stored-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: later jobs neither compute it again nor depend on an executor."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -31,3 +40,8 @@ def remove(spark: SparkSession, path: str) -> None:
     """A folder that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """All that this application has stored: for the end of a job, when its results are written."""
+    remove(spark, f"{shared_folder(spark)}/{_own(spark)}")

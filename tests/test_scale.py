@@ -13,7 +13,7 @@ from bytegrams.functions import bits, hashing, lz
 from bytegrams.operators import counts, scan, sketch, topk, vectors
 from bytegrams.operators.scan import GramSpec
 from bytegrams.plans import jobs
-from bytegrams.sources import corpus, profile, ranges
+from bytegrams.sources import corpus, profile, ranges, shared
 from bytegrams.streaming import counts as fed
 
 TEXTS = {k: bytes(random.Random(k).choices(b"abc\x00", k=random.Random(-k).randrange(400))) for k in range(40)} | {50: None, 51: b"", 52: b"ab" * 700, 53: b"ab" * 700}
@@ -269,3 +269,12 @@ def test_ml_vectors_without_a_row_function(docs):
     from pyspark.ml.feature import Normalizer
 
     assert Normalizer(inputCol="features", outputCol="unit").transform(typed).count() == docs.count()
+
+
+def test_what_is_stored_can_go(spark):
+    kept = shared.stored(spark.range(3), "three")
+    path = kept.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    assert kept.count() == 3 and os.path.exists(path)
+    other = shared.place(spark, "other")
+    shared.remove_stored(spark)
+    assert not os.path.exists(path) and other != shared.place(spark, "other")
