@@ -165,7 +165,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"a window has {PERIOD} words at least")
-    rows = texts(docs).select(F.xxhash64("text").alias("content"), F.hash("text").alias("content2"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
+    # the last bit of a name tells a null id; as a column of its own it would make the two shuffles of the texts differ
+    content = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    rows = texts(docs).select(content.alias("content"), F.hash("text").alias("content2"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
     firsts = rows.groupBy(*NAME).agg(F.min("doc_id").alias("first_id"))
     gone = removals(rows, firsts, window, anchor).select(*NAME, "runs")
 
@@ -199,7 +201,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("none"), pa.array(w.counts.astype(np.int64)), pa.array((w.counts - n_kept).astype(np.int64)), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "none", "n_words", "n_removed", "kept"])
 
     marked = rows.join(firsts.join(gone, NAME, "left"), NAME)
-    marked = marked.select("doc_id", "none", "text", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
+    marked = marked.select("doc_id", (F.col("content").bitwiseAND(F.lit(1)) == 1).alias("none"), "text", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
     done = marked.mapInArrow(kept, "doc_id long, none boolean, n_words long, n_removed long, kept string")
     return done.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 

@@ -57,6 +57,14 @@ def test_largest_and_smallest_ids(spark):
     assert {r.doc_id for r in sub.dedup_substrings(spark.createDataFrame(lone, "doc_id long, text string")).collect()} == {2**63 - 1, None}
 
 
+def test_texts_are_shuffled_once(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    rows = op5_substring_dedup(spark, sf_dir)
+    assert rows.collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") >= 1
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, n, x, hashlib.sha256(t.encode()).hexdigest()) for i, n, x, t in brute(rows))
