@@ -66,3 +66,27 @@ def test_clean_rows_stay(spark, most):
     kept = dec.keep_clean(docs, spark.createDataFrame([(1, bad)], "item_id long, text string"), max_grams=most)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in rows if not (t or "").startswith(bad)), key=str)
+
+
+def test_large_benchmark(spark):
+    """300,000 windows in one plan: only windows of the benchmark, and few others, are rows before the join."""
+    some = random.Random(5)
+    text = " ".join(f"w{some.randrange(40_000)}" for _ in range(300_100))
+    part = text.split()[1000:1030]
+    docs = spark.createDataFrame([(k, " ".join(f"w{some.randrange(40_000)}" for _ in range(500))) for k in range(40)] + [(100, "w1 " + " ".join(part) + " w2")], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([("big", text)], "item_id string, text string")
+    got = {r.doc_id: r for r in dec.decontaminate(docs, b).collect()}
+    assert [i for i, r in got.items() if r.contaminated] == [100]
+    assert got[100].n_hit >= 30 and got[100].n_words == 32 and got[100]["items"] == ["big"]
+    grams = dec.cut(dec.benchmark_grams(b))
+    asked = docs.select(dec.words_of(dec.F.col("text")).alias("words"), dec.bit_map(grams, 26).alias("held"))
+    rows = asked.select(dec.F.explode(dec.hit_positions(dec.F.col("words"), [10], dec.F.col("held"), 26))).count()
+    assert 21 <= rows < 21 + 40 * 491 // 10
+
+
+def test_long_text(spark):
+    """A text of a million words is searched whole."""
+    items = spark.createDataFrame([("a", "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "y " * 1_000_000 + "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10")], "doc_id long, text string")
+    (r,) = dec.decontaminate(docs, items).collect()
+    assert (r.n_words, r.n_hit, r.n_items) == (1_000_010, 10, 1)
