@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Spark's bound on the bytes of an Arrow batch, and what it is set to.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have about BATCH bytes, unless it has a bound of its own. The number of rows
+    bounds no bytes: with long rows a task has several times as much in its buffers, on both sides of the pipe to Python."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, BATCH)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -3,6 +3,9 @@
 Every stage takes all that its predecessor kept. The first four return the
 columns of documents; each stage's result is written to the shared folder and
 read again, so a lost executor costs no more than the stage that it was in.
+
+Stages that run Python bound the bytes of Arrow batches. A stage's plan runs
+after the stage returns, so the session keeps the bound; run() takes it back.
 """
 
 from __future__ import annotations
@@ -14,16 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrams.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from bytegrams.llm.common import shared_folder, table
+from bytegrams.llm.common import BATCH_BYTES, bounded_batches, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, fitted on what came in, rejects go."""
+    bounded_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
+    bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -41,6 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    bounded_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -59,13 +65,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    done = None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if done:
-            remove(spark, done)
-        done = f"{folder}/{name}"
+    done, bounded = None, spark.conf.get(BATCH_BYTES, None) is not None
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if done:
+                remove(spark, done)
+            done = f"{folder}/{name}"
+    finally:
+        if not bounded:
+            spark.conf.unset(BATCH_BYTES)
     return docs
 
 

@@ -1,10 +1,13 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from bytegrams.llm import toxicity
+from bytegrams.llm.common import BATCH_BYTES
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_jaccard import brute as near
 from tests.llm.test_secrets import base
@@ -74,3 +77,27 @@ def test_run_with_odd_rows(spark, sf_dir, tmp_path):
     assert {None, -1, -2, -3} <= set(ids) and all(r.n_tokens == len(r.ids) // 4 for r in rows)
     docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name, operator, function", [("toxicity", cp.toxicity, "keep_clean"), ("jaccard_join", cp.jaccard, "keep_one"), ("bpe", cp.bpe, "encode")])
+def test_python_gets_batches_of_bounded_bytes(spark, sf_dir, monkeypatch, name, operator, function):
+    """4,000 texts of 3,000 characters are 12 MB: no batch has much more than one, every row comes, and a bound that the session has stays."""
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 3000) AS text")
+    monkeypatch.setattr(operator, function, lambda docs, *_: docs.mapInArrow(seen, "rows long, bytes long"))
+    try:
+        got = dict(cp.STAGES)[name](spark, docs, sf_dir).collect()
+        assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 1_200_000
+        spark.conf.set(BATCH_BYTES, "3m")
+        got = dict(cp.STAGES)[name](spark, docs, sf_dir).collect()
+        assert sum(r.rows for r in got) == 4000 and 2_000_000 < max(r.bytes for r in got) < 4_000_000
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
+def test_run_takes_the_bound_back(spark, sf_dir):
+    assert cp.run(spark, sf_dir).count() and spark.conf.get(BATCH_BYTES, None) is None
