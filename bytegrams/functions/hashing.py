@@ -48,11 +48,11 @@ def rolling_hash(values: np.ndarray, n: int, starts: np.ndarray | None = None) -
 
     With S[t] the sum of values[j] * 31 ** -j below t, it is (S[i + n] - S[i]) * 31 ** (i + n - 1): no work grows with n.
     """
-    if starts is None:
-        starts = np.arange(max(0, len(values) - n + 1))
     up, down = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, U32)
     np.cumsum(values * down[: len(values)], out=sums[1:], dtype=U32)
+    if starts is None:
+        return (sums[n:] - sums[:-n]) * up[n - 1 : len(values)]
     return (sums[starts + n] - sums[starts]) * up[starts + n - 1]
 
 
@@ -64,6 +64,30 @@ def gram_hash(gram: bytes) -> int:
     return h
 
 
+def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of each ``size`` neighbours: of the rest of a block and the beginning of the next, whatever the size."""
+    if len(x) < size:
+        return x[:0]
+    blocks = np.concatenate([x, np.full(-len(x) % size, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, size)
+    rest = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    beginning = np.minimum.accumulate(blocks, axis=1).ravel()
+    return np.minimum(rest[: len(x) - size + 1], beginning[size - 1 : len(x)])
+
+
+def anchors(values: np.ndarray, n: int) -> np.ndarray:
+    """Where the anchor of every window of n symbols begins: of its pieces of n // 2 symbols the one whose hash is smallest, the
+    first of equals. It depends on the window alone, so equal windows have equal anchors, at the same distance. As a window
+    moves on the anchor never moves back, and stays for a quarter of n on average."""
+    hashed = finish(rolling_hash(values, n // 2)).astype(U64)
+    return (_sliding_min(hashed << U64(32) | np.arange(len(hashed), dtype=U64), n - n // 2 + 1) & U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchor_names(values: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for the anchor at each place, for a bit map too."""
+    first, second = (rolling_hash(x, n // 2, places).astype(U64) for x in (values, finish(values)))
+    return ((finish(first).astype(U64) << U64(32) | second) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _round(h: np.ndarray, k: np.ndarray) -> np.ndarray:
     h = h ^ scramble(k)
     return ((h << U32(13)) | (h >> U32(19))) * U32(5) + U32(ADD)
@@ -113,17 +137,23 @@ def _mul61(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return _mod61(((a1 * b1) << U64(1)) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << low) + a0 * b0)
 
 
-@lru_cache(maxsize=8)
+_known61: dict[int, np.ndarray] = {}
+
+
 def _powers61(base: int, size: int) -> np.ndarray:
-    """base ** 0, 1, ..., doubling what is known each time."""
-    out = np.ones(1, U64)
+    """base ** 0, 1, ..., size of them at least, doubling what is known each time. One array a base is kept."""
+    out = _known61.get(base, np.ones(1, U64))
     while len(out) < size:
         out = np.concatenate([out, _mul61(out, pow(base, len(out), P61))])
+    _known61[base] = out
     return out
 
 
 def fingerprints(buffer: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers below 2 ** 61 that name the n bytes from each start: polynomials at two bases. No work grows with n."""
+    if 2 * len(starts) < len(buffer):  # only bytes that windows have; those of a window stay together
+        used = np.cumsum(np.bincount(starts, minlength=len(buffer) + 1) - np.bincount(starts + n, minlength=len(buffer) + 1))[:-1] > 0
+        buffer, starts = buffer[used], (np.cumsum(used) - 1)[starts]
     size = 1 << max(10, len(buffer).bit_length())
     out = []
     for base in BASES:

@@ -57,12 +57,22 @@ def gram_counts(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None =
     return at_least(rows.groupBy("gram").agg(F.sum("cnt").alias("cnt")), min_count)
 
 
+def anchor_counts(docs: DataFrame, spec: GramSpec, chunked: bool = False) -> DataFrame:
+    """(anchor, cnt) over all documents: no gram counts more than its anchor."""
+    whole, split = divided(docs, spec, chunked)
+    rows = scan.part_anchors(whole, spec) if whole else None
+    if split:
+        each = scan.anchor_rows(split, spec).groupBy("doc_id", "anchor").agg(F.lit(1).cast("long").alias("cnt")).select("anchor", "cnt")
+        rows = rows.unionByName(each) if rows else each
+    return rows.groupBy("anchor").agg(F.sum("cnt").alias("cnt"))
+
+
 def _place() -> list[Column]:
     """Where a gram stands: one of its rows gives all three."""
     return [F.first(c).alias(c) for c in ("holder", "at", "head")]
 
 
-def fingerprint_counts(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, min_count: int = 0, chunked: bool = False, buckets: DataFrame | None = None) -> DataFrame:
+def fingerprint_counts(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, min_count: int = 0, chunked: bool = False, buckets: DataFrame | None = None, sieve: scan.Sieve | None = None) -> DataFrame:
     """(one, two, cnt, holder, at, head): exact counts of grams by their fingerprints of 122 bits, each with a place where it
     stands and its first bytes. A row has the same few bytes for any gram size.
 
@@ -70,9 +80,9 @@ def fingerprint_counts(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray |
     """
     bits = bit_map(buckets.select(scan.bucket_hash(F.col("bucket")).alias("hash")), "hash") if buckets else None
     whole, split = divided(docs, spec, chunked)
-    rows = scan.part_fingerprints(whole, spec, whitelist, counters, bits) if whole else None
+    rows = scan.part_fingerprints(whole, spec, whitelist, counters, bits, sieve=sieve) if whole else None
     if split:
-        each = scan.part_fingerprints(split, spec, whitelist, counters, bits, ["doc_id"])
+        each = scan.part_fingerprints(split, spec, whitelist, counters, bits, ["doc_id"], sieve)
         each = each.groupBy("doc_id", "one", "two").agg(F.first("bucket").alias("bucket"), F.lit(1).cast("long").alias("cnt"), *_place()).drop("doc_id")
         rows = rows.unionByName(each) if rows else each
     if buckets:

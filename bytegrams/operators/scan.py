@@ -108,17 +108,65 @@ def symbols(buffer: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return (value if width == 4 else hashing.symbol_table(width)[value]), first, counts
 
 
-def windows_of(buffer: np.ndarray, offsets: np.ndarray, spec: GramSpec) -> Windows:
-    """All complete windows of a part whose bucket the stride keeps."""
+def _begins(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first symbol) of all complete windows."""
+    full = np.maximum(counts - n + 1, 0)
+    inner = np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full)
+    return np.repeat(np.arange(len(counts)), full), np.repeat(np.cumsum(counts) - counts, full) + inner
+
+
+#: Grams of so many symbols or more are sieved by anchors, shorter ones by counters.
+ANCHORED = 256
+
+
+@dataclass(frozen=True)
+class Sieve:
+    """Windows whose anchor is in the bit map ``some``; where head is given, those whose first bytes (heads) are larger must have
+    theirs in ``more``."""
+
+    some: np.ndarray
+    more: np.ndarray | None = None
+    head: int | None = None
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where another number begins."""
+    return np.r_[True, x[1:] != x[:-1]][: len(x)]
+
+
+def _sieved(sieve: Sieve, values: np.ndarray, first: np.ndarray, begin: np.ndarray, buffer: np.ndarray, spec: GramSpec) -> np.ndarray:
+    place = hashing.anchors(values, spec.n)[begin]
+    new = _new(place)
+    names, number = hashing.anchor_names(values, spec.n, place[new]).view(np.uint64), np.cumsum(new) - 1
+    keep = probed(sieve.some, names)[number]
+    if sieve.head is not None:
+        at = np.flatnonzero(keep & ~probed(sieve.more, names)[number])
+        keep[at] = _heads(buffer, first[begin[at]], spec.size) <= sieve.head
+    return keep
+
+
+def document_anchors(buffer: np.ndarray, offsets: np.ndarray, spec: GramSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, anchor, count), once each: the anchors of windows, counted by the places they have. No gram with that anchor
+    counts more, as grams at different places have it at different ones."""
+    values, _, counts = symbols(buffer, offsets, spec.width)
+    doc, begin = _begins(counts, spec.n)
+    place = hashing.anchors(values, spec.n)[begin]
+    new = _new(place)
+    doc, place = doc[new], place[new]
+    return _per_document(Windows(doc, place, hashing.anchor_names(values, spec.n, place), buffer), spec)
+
+
+def windows_of(buffer: np.ndarray, offsets: np.ndarray, spec: GramSpec, sieve: Sieve | None = None) -> Windows:
+    """All complete windows of a part whose bucket the stride keeps, and the sieve."""
     if spec.lz:
         hashed, doc = lz_hashes_of(buffer, offsets, spec.phrases_only)
         start = np.zeros(len(doc), np.int64)
     else:
         values, first, counts = symbols(buffer, offsets, spec.width)
-        full = np.maximum(counts - spec.n + 1, 0)
-        doc = np.repeat(np.arange(len(counts)), full)
-        inner = np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full)
-        begin = np.repeat(np.cumsum(counts) - counts, full) + inner
+        doc, begin = _begins(counts, spec.n)
+        if sieve is not None:
+            keep = _sieved(sieve, values, first, begin, buffer, spec)
+            doc, begin = doc[keep], begin[keep]
         start = first[begin] if len(begin) else begin
         hashed = hashing.rolling_hash(values, spec.n, begin) if spec.hasher == "rabin_karp" else hashing.window_murmur3(buffer, spec.n, start)
     bucket = (hashed % np.uint32(spec.filter_size) if spec.filter_size < 1 << 32 else hashed).astype(np.int64)
@@ -196,6 +244,26 @@ def part_buckets(docs: DataFrame, spec: GramSpec) -> DataFrame:
     return mapped(docs, [], "bucket long, cnt long", each)
 
 
+def part_anchors(docs: DataFrame, spec: GramSpec) -> DataFrame:
+    """(anchor, cnt) summed over the documents of a part: a row for a quarter of n windows or so."""
+
+    def each(rows, buffer, offsets):
+        _, anchor, count = document_anchors(buffer, offsets, spec)
+        return [pa.array(x) for x in _sum_by(anchor, count)]
+
+    return mapped(docs, [], "anchor long, cnt long", each)
+
+
+def anchor_rows(docs: DataFrame, spec: GramSpec) -> DataFrame:
+    """(doc_id, anchor): once a row of docs."""
+
+    def each(rows, buffer, offsets):
+        doc, anchor, _ = document_anchors(buffer, offsets, spec)
+        return [rows.column("doc_id").take(pa.array(doc)), pa.array(anchor)]
+
+    return mapped(docs, ["doc_id"], f"doc_id {_type(docs, 'doc_id')}, anchor long", each)
+
+
 def kept_windows(w: Windows, whitelist: np.ndarray | None) -> Windows:
     """Windows whose bucket is in the sorted whitelist."""
     if whitelist is None:
@@ -326,9 +394,13 @@ def fingerprint_groups(w: Windows, spec: GramSpec, by_document: bool = False) ->
 
 def heads(w: Windows, which: np.ndarray, size: int) -> np.ndarray:
     """The first eight bytes of these windows (zeros after shorter ones) as signed numbers that sort like the bytes."""
-    out = np.zeros(len(which), np.uint64)
+    return _heads(w.buffer, w.start[which], size)
+
+
+def _heads(buffer: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(start), np.uint64)
     for k in range(min(size, 8)):
-        out |= w.buffer[w.start[which] + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+        out |= buffer[start + k].astype(np.uint64) << np.uint64(56 - 8 * k)
     return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
@@ -337,20 +409,20 @@ def bucket_hash(bucket: Column) -> Column:
     return F.shiftleft(bucket.cast("long"), 32)
 
 
-def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, buckets: np.ndarray | None = None, ids: Sequence[str] = ()) -> DataFrame:
+def part_fingerprints(docs: DataFrame, spec: GramSpec, whitelist: np.ndarray | None = None, counters: np.ndarray | None = None, buckets: np.ndarray | None = None, ids: Sequence[str] = (), sieve: Sieve | None = None) -> DataFrame:
     """(one, two, bucket, cnt, holder, at, head): the fingerprint of each distinct gram of a part, how often it counts, where it
     stands once: at byte ``at`` of a document whose id has the hash ``holder``, and its first eight bytes as a number that
     sorts like them. No more of a gram's bytes becomes a row.
 
-    Only windows in whitelisted buckets, and in those of the two bit maps, of counters and of bucket_hash. ids: columns that
-    come first; then a gram has a row once a document.
+    Only windows in whitelisted buckets, in those of the two bit maps, of counters and of bucket_hash, and of the sieve. ids:
+    columns that come first; then a gram has a row once a document.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((whitelist, counters, buckets))
+    shared = docs.sparkSession.sparkContext.broadcast((whitelist, counters, buckets, sieve))
     docs = docs.withColumn("holder", F.xxhash64("doc_id"))
 
     def each(rows, buffer, offsets):
-        whitelist, counters, buckets = shared.value
-        w = kept_windows(windows_of(buffer, offsets, spec), whitelist)
+        whitelist, counters, buckets, sieve = shared.value
+        w = kept_windows(windows_of(buffer, offsets, spec, sieve), whitelist)
         if buckets is not None:
             w = w.where(probed(buckets, w.bucket.astype(np.uint64) << np.uint64(32)))
         if counters is not None:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytegrams.functions.bits import bit_map
 from bytegrams.functions.grams import symbol_width
 from bytegrams.functions.hashing import FILTER_SIZE
 from bytegrams.operators import counts, scan, topk
@@ -15,7 +16,7 @@ from bytegrams.operators.scan import GramSpec
 from bytegrams.operators.vectors import vectorize
 from bytegrams.sources.libsvm import write_libsvm
 from bytegrams.sources.profile import MOST_ROWS, ROWS, Profile
-from bytegrams.sources.shared import stored
+from bytegrams.sources.shared import bounded_batches, stored
 
 
 def _profile(spec: GramSpec, exact: bool, k: int, rows: DataFrame, most: int) -> Profile:
@@ -36,12 +37,20 @@ def _profile(spec: GramSpec, exact: bool, k: int, rows: DataFrame, most: int) ->
 def exact_top_grams(docs: DataFrame, spec: GramSpec, k: int, ties: str = "cut", chunked: bool = False) -> DataFrame:
     """(gram, cnt): the k most frequent grams of all, exactly, without counting each gram.
 
-    No gram counts more than the counter that its hash falls into, and
-    counters are added up without a row for each window. The grams in the k
-    largest counters give a count that the k-th gram has at least; only grams
-    in counters that reach it are counted, by fingerprint, and the bytes are
-    fetched for the k that come out and for ties at rank k.
+    No gram counts more than the counter that its hash falls into, or, from
+    ANCHORED symbols on, than its anchor. Counters are added up without a row
+    for each window, anchors with one for many. The grams in the k largest
+    give a count that the k-th gram has at least; only grams in those that
+    reach it are counted, by fingerprint, and the bytes are fetched for the k
+    that come out and for ties at rank k.
     """
+    with bounded_batches(docs.sparkSession):
+        found = (_found_by_anchors if spec.n >= scan.ANCHORED else _found_by_counters)(docs, spec, k, ties, chunked)
+        top = _bytes_of_top(docs, found, spec, k, ties)
+    return topk.top_grams(top, k, ties)
+
+
+def _found_by_counters(docs: DataFrame, spec: GramSpec, k: int, ties: str, chunked: bool) -> DataFrame:
     slabs = scan.counter_slabs(docs, spec).persist()  # asked twice; a lost part is counted again
     try:
         some = counts.fingerprint_counts(docs, spec, counters=scan.largest_counters(slabs, k), chunked=chunked)
@@ -50,7 +59,35 @@ def exact_top_grams(docs: DataFrame, spec: GramSpec, k: int, ties: str = "cut",
         reaching = scan.counters_reaching(slabs, least)
     finally:
         slabs.unpersist()
-    return topk.top_grams(_bytes_of_top(docs, counts.fingerprint_counts(docs, spec, counters=reaching, min_count=least, chunked=chunked), spec, k, ties), k, ties)
+    return counts.fingerprint_counts(docs, spec, counters=reaching, min_count=least, chunked=chunked)
+
+
+#: How many anchors may reach a count, times k, before more are looked at for a better one; how many of the largest then, at most.
+WIDER, WIDEST = 64, 1 << 16
+
+
+def _found_by_anchors(docs: DataFrame, spec: GramSpec, k: int, ties: str, chunked: bool) -> DataFrame:
+    """The k best grams known also have first bytes that bound those of others with the same count as the last."""
+    named = counts.anchor_counts(docs, spec, chunked).persist()  # asked several times
+    in_map = lambda rows: bit_map(rows, "anchor")
+    most = k
+    try:
+        while True:
+            largest = named.orderBy(F.desc("cnt"), "anchor").limit(most)
+            some = counts.fingerprint_counts(docs, spec, sieve=scan.Sieve(in_map(largest)), chunked=chunked)
+            last = F.min(F.struct("cnt", -F.col("head").cast("decimal(20,0)")))
+            n, last = some.orderBy(F.desc("cnt"), "head").limit(k).agg(F.count(F.lit(1)), last).first()
+            least, head = (last[0], int(-last[1])) if n == k else (1, None)
+            below = largest.agg(F.min("cnt")).first()[0] or 0
+            if below <= least or most >= WIDEST or named.filter(F.col("cnt") >= least).count() <= WIDER * k:
+                break
+            most *= WIDER
+        reaching = in_map(named.filter(F.col("cnt") >= least))
+        more = in_map(named.filter(F.col("cnt") > least)) if ties == "cut" and head is not None else None
+    finally:
+        named.unpersist()
+    sieve = scan.Sieve(reaching, more, None if more is None else head)
+    return counts.fingerprint_counts(docs, spec, min_count=least, chunked=chunked, sieve=sieve)
 
 
 def _bytes_of_top(docs: DataFrame, found: DataFrame, spec: GramSpec, k: int, ties: str) -> DataFrame:

@@ -5,9 +5,28 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's bound on the bytes of an Arrow batch, and what it is set to.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of the jobs that run inside have about BATCH bytes, unless the session has a bound of its own. The number of
+    rows bounds no bytes: a task has what 10,000 documents need several times over, on both sides of the pipe to Python."""
+    bounded = spark.conf.get(BATCH_BYTES, None) is not None
+    if not bounded:
+        spark.conf.set(BATCH_BYTES, BATCH)
+    try:
+        yield
+    finally:
+        if not bounded:
+            spark.conf.unset(BATCH_BYTES)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names for all executors; one of this machine only where all runs in one process."""

@@ -3,6 +3,8 @@
 import gzip
 import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -61,6 +63,59 @@ def test_shuffle_has_no_bytes(docs):
     assert [t for _, t in counts.fingerprint_counts(docs, GramSpec(300)).dtypes] == ["bigint"] * 6
 
 
+@pytest.mark.parametrize("n, width, stride, mode", [(6, 1, 1, "documents"), (4, 2, 1, "occurrences"), (5, 1, 3, "documents")])
+def test_top_by_anchors(docs, monkeypatch, n, width, stride, mode):
+    """As if these grams were long: what counts most, with ties cut and kept, whatever is looked at first."""
+    monkeypatch.setattr(scan, "ANCHORED", 2)
+    spec = GramSpec(n, width=width, stride=stride, count_mode=mode)
+    want = {bytes(r.gram): r.cnt for r in counts.gram_counts(docs, spec).collect()}
+    for k, wider in ((1, 64), (9, 2)):
+        monkeypatch.setattr(jobs, "WIDER", wider)
+        top = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:k]
+        assert [(bytes(r.gram), r.cnt) for r in jobs.exact_top_grams(docs, spec, k).collect()] == top
+        assert {bytes(r.gram): r.cnt for r in jobs.exact_top_grams(docs, spec, k, "keep").collect()} == {g: c for g, c in want.items() if c >= top[-1][1]}
+
+
+def test_anchors_of_equal_windows():
+    """Equal windows have equal anchors at equal distances, also where a document repeats itself."""
+    for alphabet in (b"a", b"ab", b"abcd"):
+        values = hashing.symbol_table()[np.frombuffer(bytes(random.Random(1).choices(alphabet, k=900)), np.uint8)]
+        for n in (2, 3, 17, 900, 901):
+            places, starts = hashing.anchors(values, n), np.arange(max(0, 901 - n))
+            names = hashing.anchor_names(values, n, places)
+            assert len(places) == len(starts) and (np.diff(places) >= 0).all() and ((starts <= places) & (places + n // 2 <= starts + n)).all()
+            known = {}
+            for s, p, name in zip(starts.tolist(), places.tolist(), names.tolist(), strict=True):
+                assert known.setdefault(values[s : s + n].tobytes(), (p - s, name)) == (p - s, name)
+
+
+MEMORY = """
+import resource, random
+import pyarrow as pa
+from pyspark.sql import SparkSession, functions as F
+from bytegrams.operators.scan import GramSpec
+from bytegrams.plans import jobs
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.driver.memory", "2g").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+hexed = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)).cast("binary"), 512) for k in range(32)])
+docs = spark.range(8000, numPartitions=1).select(F.col("id").alias("doc_id"), F.encode(F.when(F.col("id") < 7, F.lit("ab" * 520)).otherwise(hexed), "utf-8").alias("content"))
+print("TOP", [(bytes(r.gram[:2]), len(r.gram), r.cnt) for r in jobs.exact_top_grams(docs, GramSpec(1024), 2).collect()])
+def peak(batches):
+    for _ in batches:
+        yield pa.RecordBatch.from_pydict({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024]})
+print("MB", spark.range(1).repartition(1).mapInArrow(peak, "mb long").first()["mb"])
+"""
+
+
+def test_long_grams_take_little_memory():
+    """Of one task over 33 MB of documents in one partition: Python's part of it (before: the counters, batches of all 33 MB,
+    and parts of 4 MB with numbers for each window)."""
+    done = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, timeout=600)
+    said = dict(line.split(" ", 1) for line in done.stdout.splitlines() if line.startswith(("TOP ", "MB ")))
+    assert said["TOP"] == str([(b"ab", 1024, 7), (b"ba", 1024, 7)]), done.stderr[-2000:]
+    assert int(said["MB"]) < 400
+
+
 def test_only_split_documents_are_made_distinct(docs):
     spec = GramSpec(4)
     rows = corpus.split_large(docs.filter("doc_id IS NOT NULL AND doc_id <> 7"), 200, 3)
